@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from .chat import op1_chat_format
+from .html_extract import op7_html_extract
 from .langid import op8_langid
 from .media import op6_media
 from .mixing import op2_mixing
 from .packing import op3_packing
 from .pii import op10_pii
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_mixing, op3_packing, op6_media, op8_langid, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_mixing, op3_packing, op6_media, op7_html_extract, op8_langid, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
