@@ -9,6 +9,7 @@ from .media import op6_media
 from .mixing import op2_mixing
 from .packing import op3_packing
 from .pii import op10_pii
+from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_mixing, op3_packing, op6_media, op7_html_extract, op8_langid, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_mixing, op3_packing, op4_toxicity, op6_media, op7_html_extract, op8_langid, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
