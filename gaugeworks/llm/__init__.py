@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import op1_chat_format
+from .embed_dedup import op5_embed_dedup
 from .html_extract import op7_html_extract
 from .jaccard_join import op9_jaccard_join
 from .langid import op8_langid
@@ -12,5 +13,5 @@ from .packing import op3_packing
 from .pii import op10_pii
 from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_mixing, op3_packing, op4_toxicity, op6_media, op7_html_extract, op8_langid, op9_jaccard_join, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_mixing, op3_packing, op4_toxicity, op5_embed_dedup, op6_media, op7_html_extract, op8_langid, op9_jaccard_join, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
