@@ -1,20 +1,41 @@
-"""All queries of the library, by name, with their SQL."""
+"""All queries of the library, by name, with the SQL that DuckDB checks them with."""
 
 from __future__ import annotations
 
 import importlib
 import pkgutil
+from collections.abc import Callable
 
-from . import plans
+from pyspark.sql import DataFrame, SparkSession
 
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
 
-def modules():
-    return [importlib.import_module(f"{plans.__name__}.{m.name}") for m in pkgutil.iter_modules(plans.__path__)]
 
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a function (spark, sf_dir) -> DataFrame under its name, with its SQL where SQL can express it."""
 
-def queries() -> dict:
-    return {name: q for m in modules() for name, q in getattr(m, "QUERIES", {}).items()}
+    def keep(f):
+        _queries[name or f.__name__] = f
+        if sql:
+            _sql[name or f.__name__] = sql
+        return f
+
+    return keep
+
+
+def load() -> None:
+    from . import plans
+
+    for m in pkgutil.iter_modules(plans.__path__):
+        importlib.import_module(f"{plans.__name__}.{m.name}")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    load()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q for m in modules() for name, q in getattr(m, "ORACLE_SQL", {}).items()}
+    load()
+    return dict(_sql)
