@@ -44,7 +44,7 @@ def j_ambig(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SIGNALS}, {OUTCOMES}, one AS (SELECT event_id, strategy, min(version) AS single FROM signals GROUP BY ALL HAVING count(*) = 1)
- SELECT o.event_id, coalesce(version, single, CASE WHEN o.event_id % 14 = 0 THEN 'v2' END) AS version, coalesce(version, single, CASE WHEN o.event_id % 14 = 0 THEN 'v2' END) IS NULL AS unresolved FROM outcomes o LEFT JOIN one USING (event_id, strategy)""")
+ SELECT o.event_id, coalesce(version, single, CASE WHEN o.event_id % 14 = 0 AND o.event_id < 10000000 THEN 'v2' END) AS version, coalesce(version, single, CASE WHEN o.event_id % 14 = 0 AND o.event_id < 10000000 THEN 'v2' END) IS NULL AS unresolved FROM outcomes o LEFT JOIN one USING (event_id, strategy)""")
 def j_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing versions filled where exactly one signal matches, then from an explicit repair table."""
     one = signals(spark, sf_dir).groupBy("event_id", "strategy").agg(F.min("version").alias("only"), F.count("*").alias("n")).where("n = 1").drop("n")
