@@ -20,8 +20,8 @@ d(x, y) = 1 - |x n y| / |x u y| is a metric. Two sets are linked when d <= 0.2,
    first by sketch, and those with any partner left exactly, linking groups by union-find. No pair is ever emitted
    more than once for each point and group, and nothing is dropped.
 
-Shingles are 64-bit hashes of five word hashes; points are 64-bit hashes of sets. With n documents two different sets
-share one with a chance of about n^2 / 2^65.
+Shingles are 64-bit polynomial hashes; points are 64-bit hashes of sets. With n documents two different sets share one
+with a chance of about n^2 / 2^65.
 
 Defined results: words are split at blank and \\x09-\\x0D and lower-cased from A to Z; a text of one to four words is one
 shingle; an empty or null text has no shingles and its own id as component; repeated rows are copies of each other; a
@@ -49,41 +49,54 @@ FILTER_BITS = 1 << 24
 LEVELS = 3
 #: Points of a region that one task holds at a time.
 BLOCK = 1024
-HELD_WORDS = 500_000
 SEEN_POINTS = 500_000
 
 
-class WordIds(dict):
-    """64-bit ids of words, remembered."""
+class Powers:
+    """Powers of an odd factor and of its inverse modulo 2^64, as many as the longest text so far needs."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > HELD_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            more = 1 << int(n - 1).bit_length()
+            each = np.full(more, FACTOR, np.uint64)
+            each[0] = 1
+            self.up = np.multiply.accumulate(each)
+            each[1:] = np.uint64(pow(int(FACTOR), -1, 1 << 64))
+            self.down = np.multiply.accumulate(each)
+        return self.up[:n], self.down[:n]
 
 
-_ids = WordIds()
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
+LETTER = np.random.default_rng(20240229).integers(1, 2**64, 256, dtype=np.uint64, endpoint=False)
+_powers = Powers()
 
 
 def stirred(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    words = text.encode().lower().split() if text else []
-    n = len(words)
-    if not n:
+    """The sorted distinct shingle hashes of a text: polynomial hashes of five words with single blanks between them,
+    taken as differences of one running sum over the text's bytes."""
+    plain = b" ".join(text.encode().lower().split()) if text else b""
+    if not plain:
         return np.empty(0, np.uint64)
-    ids = np.fromiter(map(_ids.__getitem__, words), dtype=np.uint64, count=n)
-    size = min(n, WORDS)
-    h = np.full(n - size + 1, size, dtype=np.uint64)
-    for k in range(size):
-        h = stirred(h * FACTOR + ids[k : n - size + 1 + k])
-    return np.unique(h)
+    raw = np.frombuffer(plain, np.uint8)
+    up, down = _powers.upto(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(LETTER[raw] * up[:-1], out=total[1:])
+    blanks = np.flatnonzero(raw == 32)
+    if len(blanks) < WORDS - 1:
+        begin, end = np.zeros(1, np.int64), np.array([len(raw)])
+    else:
+        begin = np.concatenate([np.zeros(1, np.int64), blanks[: len(blanks) - WORDS + 1] + 1])
+        end = np.concatenate([blanks[WORDS - 1 :], np.array([len(raw)])])
+    return np.unique(stirred((total[end] - total[begin]) * down[begin]))
 
 
 def point_of(s: np.ndarray) -> int:
