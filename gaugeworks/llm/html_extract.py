@@ -14,7 +14,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,31 +46,54 @@ BIAS, PER_LOG_WORD, LINKED, SENTENCES, PARAGRAPH, HEADING, ITEM, WITHIN, BESIDE,
 NAMED_MAIN = 1.5
 ADJACENT, SIBLING = 0.8, 0.5
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S)
+# Quoted values may hold >. The bounds keep broken quotes from making the scan quadratic; beyond them a tag ends at its first >.
+MARKUP = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']{1,4096}+|\"[^\"]{0,8192}+\"|'[^']{0,8192}+'){0,256}+|[^>]*+)>",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)")
 NAME_PART = re.compile(r"[A-Za-z]+")
 SENTENCE_END = re.compile(r"[.!?…:;,](?=\s|$)")
 
 
 class Element:
-    __slots__ = ("tag", "up", "depth", "cue", "hidden", "keeps", "outside", "main")
+    """An open element. What its ancestors say is carried down when it opens, so no text walks up a deep page."""
+
+    __slots__ = ("tag", "up", "depth", "cue", "hidden", "linked", "block", "within", "main", "keeps", "against")
 
     def __init__(self, tag: str, up: Element | None, attributes: str = ""):
         self.tag, self.up, self.depth = tag, up, up.depth + 1 if up else 0
         named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
         parts = {p.lower() for k in ("class", "id", "role") for p in NAME_PART.findall(named.get(k, ""))}
-        self.cue = bool(parts & CUES) and tag not in ("html", "body")
-        self.main = bool(parts & MAIN_CUES) and not self.cue and tag not in ("html", "body")
-        self.hidden = tag in UNSEEN or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes)) or "display:none" in named.get("style", "").replace(" ", "").lower()
+        page = tag in ("html", "body")
+        self.cue = bool(parts & CUES) and not page
+        unseen = tag in UNSEEN or bool(HIDDEN.search(attributes)) or "display:none" in named.get("style", "").replace(" ", "").lower()
+        self.hidden = unseen or bool(up and up.hidden)
+        self.linked = tag == "a" or bool(up and up.linked)
+        self.block = self if tag in BLOCK or up is None else up.block
+        self.within = tag in INSIDE and not self.cue or bool(up and up.within)
+        self.main = bool(parts & MAIN_CUES) and not self.cue and not page or bool(up and up.main)
         #: Holds a headline or a main part, so that its own name doesn't speak against it.
         self.keeps = False
-        self.outside = tag in OUTSIDE
-
-    def line(self):
-        e = self
-        while e:
-            yield e
+        #: What it and its ancestors add to the log-odds, once the page is read.
+        self.against: float | None = 0.0 if up is None else None
+
+    def own_weight(self) -> float:
+        if self.tag in OUTSIDE or self.tag == "form" and not self.keeps or self.tag == "header" and not self.within:
+            return BESIDE
+        if self.cue and not self.keeps and self.tag != "h1":
+            return BESIDE if self.tag in BLOCK else PLAIN_CUE
+        return 0.0
+
+    def weight(self) -> float:
+        path, e = [], self
+        while e.against is None:
+            path.append(e)
             e = e.up
+        for x in reversed(path):
+            x.against = x.up.against + x.own_weight()
+        return self.against
 
 
 class Block:
@@ -83,6 +106,7 @@ class Block:
 def blocks_of(page: str) -> list[Block]:
     """The page's visible text blocks in order. Inline elements don't end a block, and <br> is white space in it."""
     root = now = Element("", None)
+    opened: Counter = Counter()
     out: list[Block] = []
     pieces: list[str] = []
     linked = 0
@@ -93,20 +117,26 @@ def blocks_of(page: str) -> list[Block]:
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
-                at = next(e for e in now.line() if e.tag in BLOCK or e is root)
-                out.append(Block(text, min(linked, len(text)), at, at.tag))
+                out.append(Block(text, min(linked, len(text)), now.block, now.block.tag))
             pieces.clear()
         linked = 0
 
     def say(text: str) -> None:
         nonlocal linked
-        if text and not any(e.hidden for e in now.line()):
+        if text and not now.hidden:
             pieces.append(text)
-            if any(e.tag == "a" for e in now.line()):
+            if now.linked:
                 linked += len(text.strip())
 
-    at = 0
-    while m := MARKUP.search(page, at):
+    def close_one() -> None:
+        nonlocal now
+        opened[now.tag] -= 1
+        now = now.up
+
+    at, last = 0, page.rfind(">") + 1
+    tail = page.find("<!--", last)
+    tail = len(page) if tail < 0 else tail  # an unclosed comment runs to the end
+    while m := MARKUP.search(page, at, last):
         say(page[at : m.start()])
         at = m.end()
         if m[2] is None:
@@ -117,27 +147,30 @@ def blocks_of(page: str) -> list[Block]:
         elif tag == "br":
             say(" ")
         if m[1]:
-            if any(e.tag == tag for e in now.line()):
+            if opened[tag] > 0:
                 while now.tag != tag:
-                    now = now.up
-                now = now.up
+                    close_one()
+                close_one()
             continue
         while now.up and tag in CLOSED_BY.get(now.tag, ()):
-            now = now.up
-        if tag in BLOCK and tag not in ("li", "dd", "dt", "td", "th", "tr"):
-            opened = next((e for e in now.line() if e.tag in BLOCK), None)
-            if opened and opened.tag == "p":
-                now = opened.up
+            close_one()
+        if tag in BLOCK and now.block.tag == "p" and tag not in ("li", "dd", "dt", "td", "th", "tr"):
+            inner = now.block
+            while now is not inner.up:
+                close_one()
         if tag in VOID or m[3].endswith("/"):
             continue
         now = Element(tag, now, m[3])
+        opened[tag] += 1
         if tag == "h1" or tag in INSIDE and not now.cue:
-            for e in now.up.line():
+            e = now.up
+            while e and not e.keeps:
                 e.keeps = True
+                e = e.up
         if tag in RAW:
             close = lower.find(f"</{tag}", at)
             at = len(page) if close < 0 else close
-    say(page[at:])
+    say(page[at:tail] if at <= tail else "")
     end_block()
     return out
 
@@ -147,22 +180,13 @@ def log_odds(b: Block) -> float:
     words = b.text.count(" ") + 1
     score = BIAS + PER_LOG_WORD * math.log1p(words) + LINKED * b.linked / len(b.text) + SENTENCES * bool(SENTENCE_END.search(b.text))
     score += {"p": PARAGRAPH, "blockquote": PARAGRAPH, "pre": PARAGRAPH, "li": ITEM}.get(b.tag, HEADING if re.fullmatch("h[1-6]", b.tag) else 0)
-    within = False
-    for e in b.at.line():
-        if e.tag in INSIDE and not e.cue:
-            within = True
-    score += WITHIN if within else NAMED_MAIN * any(e.main for e in b.at.line())
-    for e in b.at.line():
-        if e.outside or e.tag == "form" and not e.keeps or e.tag == "header" and not any(x.tag in INSIDE for x in e.line()):
-            score += BESIDE
-        elif e.cue and not e.keeps and e.tag != "h1":
-            score += PLAIN_CUE + (BESIDE - PLAIN_CUE) * (e.tag in BLOCK)
-    return score
-
-
-def tree_distance(a: Element, b: Element) -> int:
+    return score + (WITHIN if b.at.within else NAMED_MAIN * b.at.main) + b.at.weight()
+
+
+def tree_distance(a: Element, b: Element, most: int = 12) -> int:
+    """Steps through the tree from one element to the other, counted up to `most`."""
     steps = 0
-    while a is not b:
+    while a is not b and steps < most:
         if a.depth >= b.depth:
             a = a.up
         else:
