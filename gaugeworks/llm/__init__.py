@@ -9,9 +9,11 @@ from .jaccard_join import op9_jaccard_join
 from .langid import op8_langid
 from .media import op6_media
 from .mixing import op2_mixing
+from .oracle import ORACLE_SQL
 from .packing import op3_packing
 from .pii import op10_pii
 from .toxicity import op4_toxicity
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_mixing, op3_packing, op4_toxicity, op5_embed_dedup, op6_media, op7_html_extract, op8_langid, op9_jaccard_join, op10_pii)}
-ORACLE_SQL: dict[str, str] = {}
