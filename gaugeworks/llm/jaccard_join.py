@@ -15,7 +15,7 @@ d(x, y) = 1 - |x n y| / |x u y| is a metric. Two sets are linked when d <= 0.2,
    costs one comparison a copy.
 3. Windows. A point o outside the ball can be linked to a point b in it only if d(b, pivot) >= d(o, pivot) - 0.2: the
    points of the ball in that window are replicated to the outer region, which is joined the same way, with its own
-   pivot, while regions of more than one group are left, for LEVELS levels.
+   pivot, while more than BOTTOM_ROWS rows are left in regions of more than one group, for LEVELS levels.
 4. Bottom. What is left of a region is split into blocks; every point outside the region's group meets every block,
    first by sketch, and those with any partner left exactly, linking groups by union-find. No pair is ever emitted
    more than once for each point and group, and nothing is dropped.
@@ -47,6 +47,8 @@ COUNTERS, PARTS = 1 << 21, 16
 #: Bits of the filter that says which points' sets are wanted.
 FILTER_BITS = 1 << 24
 LEVELS = 3
+#: With fewer rows left than this, the bottom is cheaper than another level.
+BOTTOM_ROWS = 1_000_000
 #: Points of a region that one task holds at a time.
 BLOCK = 1024
 SEEN_POINTS = 500_000
@@ -96,7 +98,9 @@ def shingles(text: str | None) -> np.ndarray:
     else:
         begin = np.concatenate([np.zeros(1, np.int64), blanks[: len(blanks) - WORDS + 1] + 1])
         end = np.concatenate([blanks[WORDS - 1 :], np.array([len(raw)])])
-    return np.unique(stirred((total[end] - total[begin]) * down[begin]))
+    found = stirred((total[end] - total[begin]) * down[begin])
+    found.sort()
+    return found[np.concatenate([np.ones(1, bool), found[1:] != found[:-1]])]
 
 
 def point_of(s: np.ndarray) -> int:
@@ -424,7 +428,7 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         outer = outer_regions(members, measured, links, groups)
         if outer.isEmpty():
             break
-        if level == LEVELS - 1 or outer.count() < 50 * BLOCK:
+        if level == LEVELS - 1 or outer.count() < BOTTOM_ROWS:
             groups = materialize(connected_components(every_link.unionAll(bottom_links(docs, outer, classes))), "groups")
             break
         members = outer.where("point <> pivot").select("region", "pivot", "point")
