@@ -5,8 +5,8 @@ order. A document's own most frequent n-grams are ranked the same way, and each
 far each n-gram is out of place, PROFILE for one that the profile lacks. The nearest profile wins, the first by name
 on a tie; the score is 1 minus its distance as a share of the largest possible one.
 
-Learning counts the words of all labelled documents for each language, map-side first, and then the n-grams of the
-distinct words, so that its shuffle holds words and n-grams and not texts.
+An n-gram is a 64-bit number with 21 bits a character, so that a text's n-grams are shifts of one array of code points.
+Learning sorts and counts them for each task and language, and only distinct n-grams with their counts are shuffled.
 
 Defined results: null text or text without a letter is `und` with score 0; a null language teaches nothing; without
 any labelled text every document is `und`. Texts are read whole.
@@ -14,73 +14,105 @@ any labelled text every document is `und`. Texts are read whole.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, table
 
-PROFILE, LONGEST = 400, 3
-LETTERS = re.compile(r"[^\W\d_]+")
-#: Distinct words that a task holds before it passes its counts on, or before it empties its memo of n-grams.
-HELD_WORDS = 200_000
+PROFILE = 400
+BLANK, FIRST, BITS = 1, 2, np.uint64(21)
+#: n-grams that a task holds for a language before it counts them.
+HELD = 2_000_000
 
 
-def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """For each code point its number in an n-gram: FIRST and up for letters, BLANK for all else."""
+    every = np.arange(0x110000, dtype=np.uint64) + np.uint64(FIRST)
+    every[[not chr(i).isalpha() for i in range(0x110000)]] = BLANK
+    return every
 
 
-def grams_of(word: str) -> list[str]:
-    padded = f" {word} "
-    return [padded[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(padded) - n + 1) if padded[i : i + n] != " "]
+def grams_of(text: str | None) -> np.ndarray:
+    """The n-grams of one to three characters in a text's words, each word led and ended by a blank."""
+    codes = letters()[np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)] if text else np.empty(0, np.uint64)
+    c = np.concatenate([[np.uint64(BLANK)], codes, [np.uint64(BLANK)]])
+    word = c != BLANK
+    c = c[word | np.concatenate([[True], word[:-1]])]
+    if len(c) < 2 or c[1] == BLANK:
+        return np.empty(0, np.uint64)
+    two = c[:-1] << BITS | c[1:]
+    three = c[:-2] << (BITS + BITS) | two[1:]
+    return np.concatenate([c[c != BLANK], two, three[c[1:-1] != BLANK]])
 
 
-def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) -> (lang, gram, n) of this task's words so far."""
-    held: dict[str, Counter] = {}
+def counted(grams: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams in order, and how often each occurs."""
+    if weight is None:
+        grams = np.sort(grams)
+    else:
+        order = np.argsort(grams, kind="stable")
+        grams, weight = grams[order], weight[order]
+    if not len(grams):
+        return grams, np.empty(0, np.int64)
+    start = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    n = np.diff(np.append(start, len(grams))) if weight is None else np.add.reduceat(weight, start)
+    return grams[start], n
 
-    def flush() -> pa.RecordBatch:
-        rows = []
-        for lang, words in held.items():
-            grams: Counter = Counter()
-            for w, n in words.items():
-                for g in grams_of(w):
-                    grams[g] += n
-            rows += [(lang, g, n) for g, n in grams.items()]
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "gram", "n"])
+
+def spelled(gram: int) -> str:
+    parts = [(gram >> k) & 0x1FFFFF for k in (42, 21, 0)]
+    return "".join(" " if p == BLANK else chr(p - FIRST) for p in parts if p)
+
+
+def gram_id(gram: str) -> int:
+    out = 0
+    for ch in gram:
+        out = out << 21 | (BLANK if ch == " " else ord(ch) + FIRST)
+    return out
+
+
+def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) -> (lang, gram, n): the n-grams of this task's texts, counted for each language."""
+    held: dict[str, list[np.ndarray]] = {}
+    size: dict[str, int] = {}
+    done: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def settle(lang: str) -> None:
+        g, n = counted(np.concatenate(held.pop(lang)))
+        if lang in done:
+            g, n = counted(np.concatenate([done[lang][0], g]), np.concatenate([done[lang][1], n]))
+        done[lang], size[lang] = (g, n), 0
 
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-            held.setdefault(lang, Counter()).update(words_of(text))
-        if sum(map(len, held.values())) > HELD_WORDS:
-            yield flush()
-    yield flush()
+            held.setdefault(lang, []).append(grams_of(text))
+            size[lang] = size.get(lang, 0) + len(held[lang][-1])
+            if size[lang] > HELD:
+                settle(lang)
+    for lang in list(held):
+        settle(lang)
+    for lang, (g, n) in done.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
 def learn_profiles(df: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE) -> dict[str, list[str]]:
     """Each language's most frequent n-grams in order. What comes to the driver is languages x size."""
     rows = df.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counted = rows.mapInArrow(count_words, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    totals = rows.mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= size).select("lang", "gram", "rank").collect()
+    top = totals.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= size).select("lang", "gram", "rank").collect()
     out: dict[str, list[str]] = {}
     for r in sorted(top, key=lambda r: (r["lang"], r["rank"])):
-        out.setdefault(r["lang"], []).append(r["gram"])
+        out.setdefault(r["lang"], []).append(spelled(r["gram"]))
     return out
 
 
-def gram_id(gram: str) -> int:
-    return xxhash.xxh3_64_intdigest(gram.encode())
-
-
 class Profiles:
     """Looks up, for the ids of n-grams, their rank in every profile."""
 
@@ -93,27 +125,15 @@ class Profiles:
         for k, name in enumerate(self.names):
             for rank, g in enumerate(profiles[name]):
                 self.ranks[np.searchsorted(self.ids, np.uint64(every[g])), k] = rank
-        self.memo: dict[str, np.ndarray] = {}
-
-    def grams(self, word: str) -> np.ndarray:
-        if (found := self.memo.get(word)) is None:
-            if len(self.memo) > HELD_WORDS:
-                self.memo.clear()
-            found = self.memo[word] = np.array([gram_id(g) for g in grams_of(word)], dtype=np.uint64)
-        return found
 
     def classify(self, text: str | None) -> tuple[str, float]:
-        words = Counter(words_of(text))
-        if not words or not self.names:
+        ids, n = counted(grams_of(text))
+        if not len(ids) or not self.names:
             return "und", 0.0
-        each = [self.grams(w) for w in words]
-        weight = np.repeat(np.fromiter(words.values(), dtype=np.int64), [len(g) for g in each])
-        ids, where = np.unique(np.concatenate(each), return_inverse=True)
-        count = np.bincount(where, weights=weight)
-        top = np.lexsort((ids, -count))[: self.size]
-        at = np.searchsorted(self.ids, ids[top])
+        top = ids[np.argsort(-n, kind="stable")[: self.size]]
+        at = np.searchsorted(self.ids, top)
         at[at == len(self.ids)] = 0
-        at = np.where(self.ids[at] == ids[top], at, len(self.ids))
+        at = np.where(self.ids[at] == top, at, len(self.ids))
         ranks = self.ranks[at]
         apart = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(top))[:, None])).sum(axis=0)
         best = int(np.argmin(apart))
