@@ -29,10 +29,10 @@ from .common import connected_components, materialize, table
 
 THRESHOLD = 0.95
 #: The fit's sample, the rows wanted in a cell, the most cells, and the rows of a block.
-SAMPLE, CELL, CELLS, BLOCK = 20_000, 4096, 1024, 2048
+SAMPLE, CELL, CELLS, BLOCK = 20_000, 16_384, 1024, 8192
 ROUNDS = 8
 #: Visitors that meet a block in one matrix product.
-PANEL = 512
+PANEL = 256
 
 
 def unit_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,8 +112,9 @@ class CellBlock:
     def meet(self, points: np.ndarray, copies: np.ndarray, units: list[bytes]) -> None:
         near = np.stack([np.frombuffer(u) for u in units]) @ self.x.T >= self.threshold
         near &= points[:, None] != self.points[None]
-        self.links += near.T @ copies
-        for i in np.flatnonzero(near.any(axis=1)):
+        hits = np.flatnonzero(near.any(axis=1))
+        self.links += near[hits].T @ copies[hits]
+        for i in hits:
             told = np.unique(self.label[near[i]])
             low = told[0]
             if len(told) > 1:
