@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,20 +90,51 @@ def rate_interval(df: DataFrame, groups: list[str]) -> DataFrame:
     return agg.select(*groups, "n", "positives", F.try_divide(F.col("positives"), F.col("n")).alias("rate"), low.alias("low"), high.alias("high"))
 
 
-def squared_error_ranks(df: DataFrame) -> DataFrame:
+def signed_ranks(df: DataFrame) -> DataFrame:
     """Wilcoxon's signed ranks of paired squared errors. df: a, b (two models' scores), y.
 
-    Pairs without a difference are dropped, ties share the mean rank, the p-value is the tie-corrected normal one.
-    Differences are grouped before they are ranked, and ranked by running sums."""
+    Pairs without a difference are dropped and ties share the mean rank; z is corrected for ties. Differences are
+    grouped before they are ranked, and ranked by running sums. Also the ties' sum and the largest difference."""
     d = F.round(F.pow(F.col("a") - F.col("y"), 2) - F.pow(F.col("b") - F.col("y"), 2), 12)
     per = df.select(d.alias("d")).where("d <> 0").groupBy(F.abs("d").alias("m")).agg(F.sum((F.col("d") > 0).cast("long")).alias("up"), F.count("*").alias("k"))
     ranked = running(per, [], "m", ["k"]).withColumn("rank", F.col("k_before") + (F.col("k") + 1) / 2.0)
     k = F.col("k").cast("double")
-    s = ranked.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("pairs"), F.coalesce(F.sum(F.col("up") * F.col("rank")), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum((F.col("k") - F.col("up")) * F.col("rank")), F.lit(0.0)).alias("w_minus"), F.coalesce(F.sum(k * k * k - k), F.lit(0.0)).alias("ties"))
+    s = ranked.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("pairs"), F.coalesce(F.sum(F.col("up") * F.col("rank")), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum((F.col("k") - F.col("up")) * F.col("rank")), F.lit(0.0)).alias("w_minus"), F.coalesce(F.sum(k * k * k - k), F.lit(0.0)).alias("ties"), F.coalesce(F.max("m"), F.lit(0.0)).alias("largest"))
     n = F.col("pairs").cast("double")
     s = s.withColumn("statistic", F.least("w_plus", "w_minus")).withColumn("variance", n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
     z = F.try_divide(F.col("statistic") - n * (n + 1) / 4, F.sqrt("variance"))
-    return s.select("pairs", "w_plus", "w_minus", "statistic", z.alias("z"))
+    return s.select("pairs", "w_plus", "w_minus", "statistic", z.alias("z"), "ties", "largest")
+
+
+def squared_error_ranks(df: DataFrame) -> DataFrame:
+    """The pairs, rank sums, statistic and z of signed_ranks(); paired_comparison() has the p-value and the verdict."""
+    return signed_ranks(df).select("pairs", "w_plus", "w_minus", "statistic", "z")
+
+
+def wilcoxon_p(pairs: int, statistic: float, z: float | None, ties: float, zeros: int) -> float:
+    """Two-sided p-value: exact for up to 50 pairs without ties and zeros, else from z."""
+    if pairs == 0 or z is None:
+        return 1.0
+    if pairs <= 50 and not ties and not zeros:
+        ways = [1] + [0] * (pairs * (pairs + 1) // 2)
+        for r in range(1, pairs + 1):
+            for t in range(len(ways) - 1, r - 1, -1):
+                ways[t] += ways[t - r]
+        return min(1.0, 2 * sum(ways[: int(statistic) + 1]) / 2**pairs)
+    return math.erfc(abs(z) / math.sqrt(2))
+
+
+def paired_comparison(df: DataFrame) -> DataFrame:
+    """Candidate a against baseline b on y: both Brier scores, statistic, p-value, and the verdict at p < .05. Without a
+    difference above 1e-8 the statistic is 0 and p is 1."""
+    y = F.col("y").cast("double")
+    scores = df.agg(F.count("*").alias("n"), F.avg(F.pow(F.col("b") - y, 2)).alias("baseline_brier"), F.avg(F.pow(F.col("a") - y, 2)).alias("candidate_brier"))
+    r = signed_ranks(df).crossJoin(F.broadcast(scores))
+    same, p = F.col("largest") <= 1e-8, F.udf(wilcoxon_p, "double")("pairs", "statistic", "z", "ties", F.col("n") - F.col("pairs"))
+    r = r.withColumn("p_value", F.when(same, 1.0).otherwise(p)).withColumn("statistic", F.when(same, 0.0).otherwise(F.col("statistic")))
+    better, worse = F.col("candidate_brier") < F.col("baseline_brier"), F.col("candidate_brier") > F.col("baseline_brier")
+    verdict = F.when((F.col("p_value") < 0.05) & better, "candidate significantly better (lower Brier)").when((F.col("p_value") < 0.05) & worse, "candidate significantly worse").otherwise("no significant difference")
+    return r.select("n", "pairs", "baseline_brier", "candidate_brier", "statistic", "z", "p_value", verdict.alias("verdict"))
 
 
 def top_fraction(df: DataFrame, fraction: float = 0.2) -> DataFrame:

@@ -104,6 +104,12 @@ def m_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.squared_error_ranks(rows).withColumn("z", F.round("z", 6))
 
 
+@query()
+def a_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M-PAIRED as a whole, with p-value and verdict; m_paired is the part that its SQL repeats."""
+    return M.paired_comparison(scored(spark, sf_dir).selectExpr("s AS a", "baseline AS b", "y"))
+
+
 @query(f"""WITH {LABELLED}, a AS (SELECT family, count(*) AS n, sum(y)::bigint AS positives FROM labelled GROUP BY family), p AS (SELECT *, positives::double / n AS rate FROM a)
  SELECT family, n, positives, round(rate, 6) AS rate,
   round(greatest(0, (rate + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(rate * (1 - rate) / n + 3.8416 / (4.0 * n * n)) / (1 + 3.8416 / n)), 6) AS low,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import metrics as M
 from ..registry import query
 from ..sources.tables import table
 from .bindings import LABELLED, labelled
@@ -31,6 +32,79 @@ def classes_of(df: DataFrame, groups: list[str], values: list[str]) -> DataFrame
     return per.withColumn("hi", F.sum("k").over(w)).withColumn("lo", F.col("hi") - F.col("k")).withColumn("n", F.sum("k").over(Window.partitionBy(*groups)))
 
 
+#: Positions that one exploded array holds.
+CHUNK = 65_536
+
+
+def resamples(df: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
+    """df (s, y), s in [0, 1] -> (replicate, s, y, w): each replicate draws as many rows as df has, with replacement.
+
+    Rows get the positions 0 to n - 1 in the order of (s, y); a draw is a hash modulo n and meets its row by an equi
+    join, and map-side sums leave one row a replicate and class."""
+    spark = df.sparkSession
+    per = df.groupBy("s").agg(F.count("*").alias("k"), F.sum(F.col("y").cast("long")).alias("pos"))
+    per = M.running(per, [], "s", ["k"])
+    n = df.count()
+    each = F.explode(F.array(F.struct(F.lit(0).alias("y"), (F.col("k") - F.col("pos")).alias("k"), F.col("k_before").alias("lo")), F.struct(F.lit(1).alias("y"), F.col("pos").alias("k"), (F.col("k_before") + F.col("k") - F.col("pos")).alias("lo"))))
+    classes = per.select("s", each.alias("e")).select("s", "e.*").where("k > 0")
+    chunks = classes.select("s", "y", "lo", "k", F.explode(F.sequence(F.lit(0), F.floor((F.col("k") - 1) / CHUNK))).alias("c"))
+    ends = F.least(F.col("k"), (F.col("c") + 1) * CHUNK) - 1
+    rows = chunks.select("s", "y", F.explode(F.sequence(F.col("lo") + F.col("c") * CHUNK, F.col("lo") + ends)).alias("at"))
+    drawn_at = spark.range(replicates * n).select(F.floor(F.col("id") / max(n, 1)).alias("replicate"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(n, 1))).alias("at"))
+    return drawn_at.join(rows, "at").groupBy("replicate", "s", "y").agg(F.count("*").alias("w"))
+
+
+def resampled_metrics(w: DataFrame) -> DataFrame:
+    """Rate, ECE over ten bins, Brier score and AUC of each replicate of resamples(). The AUC is null where a replicate
+    has one outcome class or one score."""
+    y, k = F.col("y").cast("double"), F.col("w")
+    base = w.groupBy("replicate").agg((F.sum(k * y) / F.sum(k)).alias("rate"), (F.sum(k * F.pow(F.col("s") - y, 2)) / F.sum(k)).alias("brier"), (F.min("s") < F.max("s")).alias("differ"))
+    bins = w.groupBy("replicate", M.bin_of(F.col("s"), 10).alias("bin")).agg(F.sum(k).alias("n"), F.abs(F.sum(k * F.col("s")) - F.sum(k * y)).alias("gap"))
+    ece = bins.groupBy("replicate").agg((F.sum("gap") / F.sum("n")).alias("ece"))
+    per = w.groupBy("replicate", "s").agg(F.sum(k * F.col("y")).alias("pos"), F.sum(k * (1 - F.col("y"))).alias("neg"))
+    wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0))
+    auc = M.running(per, ["replicate"], "s", ["pos", "neg"]).groupBy("replicate").agg(F.try_divide(wins, F.sum("pos") * F.sum("neg").cast("double")).alias("auc"))
+    return base.join(ece, "replicate").join(auc, "replicate").select("replicate", "rate", "ece", "brier", F.when(F.col("differ"), F.col("auc")).alias("auc"))
+
+
+def bootstrap_metrics(df: DataFrame, replicates: int = 500, seed: int = 0) -> DataFrame:
+    """One row: 95% intervals of rate, ECE, Brier score and AUC, and the replicates that had an AUC."""
+    per = resampled_metrics(resamples(df, replicates, seed))
+    ends = [F.percentile(c, F.lit(p)).alias(f"{c}_{n}") for c in ("rate", "ece", "brier", "auc") for n, p in (("low", 0.025), ("high", 0.975))]
+    return per.agg(*ends, F.count("auc").alias("usable"), F.count("*").alias("replicates"))
+
+
+def bootstrap_yield(df: DataFrame, target_positive: int = 50, target_negative: int = 50, replicates: int = 2000, seed: int = 0) -> DataFrame:
+    """df (c), 'p', 'q' or else neither -> one row: intervals of both rates over resamples of all rows, the records that
+    the targets imply at the observed and at the low rates, and the status.
+
+    A draw falls below the positives, below positives and negatives, or beyond; sums are map-side, nothing is joined."""
+    spark = df.sparkSession
+    n, p, q = df.agg(F.count("*"), F.coalesce(F.sum((F.col("c") == "p").cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("c") == "q").cast("long")), F.lit(0))).first()
+    at = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(n, 1)))
+    picks = spark.range(replicates * n).select(F.floor(F.col("id") / max(n, 1)).alias("replicate"), at.alias("at"))
+    rates = picks.groupBy("replicate").agg(F.avg((F.col("at") < p).cast("int")).alias("positive"), F.avg(((F.col("at") >= p) & (F.col("at") < p + q)).cast("int")).alias("negative"))
+    ends = [F.percentile(c, F.lit(x)).alias(f"{c}_{e}") for c in ("positive", "negative") for e, x in (("low", 0.025), ("high", 0.975))]
+    implied = lambda a, b: F.when((a > 0) & (b > 0), F.greatest(F.ceil(target_positive / a), F.ceil(target_negative / b)))
+    status = "no_labeled_events" if not p + q else "no_positive_events" if not p else "no_negative_events" if not q else "estimable"
+    rate = lambda k: F.lit(k / n if n else None).cast("double")
+    out = rates.agg(F.count("*").alias("replicates"), *ends).select(F.lit(n).alias("n"), F.lit(p).alias("positives"), F.lit(q).alias("negatives"), "*")
+    return out.select("*", implied(rate(p), rate(q)).alias("implied"), implied(F.col("positive_low"), F.col("negative_low")).alias("implied_low"), F.lit(status).alias("status"))
+
+
+@query()
+def a_bootmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M-BOOTMETRIC as a whole: 500 resamples, each of all rows. m_bootmetric is the part that its SQL repeats."""
+    return bootstrap_metrics(labelled(spark, sf_dir).where("family = 'quality' AND y IS NOT NULL").select("s", "y"))
+
+
+@query()
+def a_bootyield(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M-BOOTYIELD as a whole: 2,000 resamples of all orders, both classes, with a status."""
+    c = F.when(F.col("o_orderstatus") == "F", "p").when(F.col("o_orderstatus") == "O", "q").otherwise("z")
+    return bootstrap_yield(table(spark, sf_dir, "orders").select(c.alias("c")))
+
+
 DRAWS = "draws AS (SELECT r AS replicate, d AS draw, ('0x' || substr(md5('0:' || r || ':' || d), 1, 8))::bigint AS h FROM range({reps}) a(r), range({n}) b(d))"
 
 
