@@ -11,20 +11,20 @@ from ..streaming import feeds
 from .knowledge import anchors
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.event_stream(spark, f"{sf_dir}/events.parquet")
+def events(spark: SparkSession, sf_dir: str, closing: str | None = None) -> DataFrame:
+    return feeds.replay(table(spark, sf_dir, "events"), closing)
 
 
 @query()
 def st_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly means in append mode: hours that the watermark has closed."""
-    return feeds.run_to_table(feeds.hourly_means(events(spark, sf_dir)), "hourly").select("hour", F.round("mean", 6).alias("mean"), "n")
+    """Hourly means in append mode; a closing row lets the last hours out too."""
+    return feeds.run_to_table(feeds.hourly_means(events(spark, sf_dir, "2 hours")), "hourly").select("hour", F.round("mean", 6).alias("mean"), "n")
 
 
 @query()
 def st_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     intervals = anchors(spark, sf_dir).select("anchor", F.col("start").cast("timestamp").alias("start"), F.col("stop").cast("timestamp").alias("stop"))
-    return feeds.run_to_table(feeds.interval_counts(events(spark, sf_dir), intervals), "intervals").groupBy("anchor").agg(F.sum("n").alias("n"))
+    return feeds.run_to_table(feeds.interval_counts(events(spark, sf_dir, "2 hours"), intervals), "intervals").groupBy("anchor").agg(F.sum("n").alias("n"))
 
 
 @query("SELECT event_id, user_id, value FROM events")
@@ -37,8 +37,9 @@ def st_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, round(least(value / 40, 1), 6) AS score, event_type = 'error' AS occurred FROM events WHERE event_id % 3 = 0")
 def st_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signals = events(spark, sf_dir).withColumn("score", F.round(F.least(F.col("value") / 40, F.lit(1.0)), 6))
-    outcomes = events(spark, sf_dir).where("event_id % 3 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 10 MINUTES")).withColumn("occurred", F.col("event_type") == "error")
+    feed = events(spark, sf_dir)
+    signals = feed.withColumn("score", F.round(F.least(F.col("value") / 40, F.lit(1.0)), 6))
+    outcomes = feed.where("event_id % 3 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 10 MINUTES")).withColumn("occurred", F.col("event_type") == "error")
     return feeds.run_to_table(feeds.pairs(signals, outcomes), "pairs")
 
 

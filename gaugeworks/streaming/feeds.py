@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.store import scratch
 
+#: Rows in a file of a replay, so that a trigger holds a bounded number of them.
+FILE_ROWS = 250_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -22,6 +25,28 @@ def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def replay(events: DataFrame, closing: str | None = None, files: int | None = None) -> DataFrame:
+    """A table of events as a stream in the order of ts, whatever the order of its files: nothing comes behind the watermark.
+
+    The rows are written in ranges of ts, and the files' times set in that order, which is the one that a file source
+    keeps. closing is a watermark's delay; one last row without values, an hour and more beyond it, then closes the
+    hours before, in which append mode otherwise holds the last rows back. Its own hour stays open."""
+    spark = events.sparkSession
+    out = scratch(spark, "replay")
+    ranged = events.repartitionByRange(files, "ts", "event_id") if files else events.repartitionByRange("ts", "event_id")
+    ranged.sortWithinPartitions("ts", "event_id").write.option("maxRecordsPerFile", FILE_ROWS).parquet(out)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    written = sorted((f.getPath() for f in store.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda path: path.getName())
+    now = int(time.time() * 1000)
+    for k, path in enumerate(written):
+        store.setTimes(path, now - (len(written) - k) * 1000, -1)
+    if closing:
+        last = events.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL").withColumn("ts", F.expr(f"ts + INTERVAL {closing} + INTERVAL 2 HOURS"))
+        last.select(*(F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema)).write.mode("append").parquet(out)
+    return event_stream(spark, out)
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there now and returns what it wrote; state and output lie in the shared folder."""
     spark = stream.sparkSession

@@ -3,9 +3,15 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from gaugeworks import registry
 from gaugeworks.operators import metrics as M
 from gaugeworks.plans import resampling as R
+from gaugeworks.plans.knowledge import covered
+from gaugeworks.streaming import feeds
+
+from .conftest import SMALL
 
 
 def test_resamples_draw_all_rows_and_measure_as_brute_force(spark):
@@ -51,3 +57,34 @@ def test_paired_verdict(spark):
     assert r["p_value"] == pytest.approx(2 / 2**10) and r["verdict"].startswith("candidate significantly better")
     r = M.paired_comparison(spark.createDataFrame([(b, a, y) for a, b, y in better], kind)).first()
     assert r["verdict"] == "candidate significantly worse"
+
+
+def hourly(df):
+    return {(r["hour"], r["n"]) for r in df.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")).agg(F.count("*").alias("n")).collect()}
+
+
+@pytest.fixture(scope="module")
+def shuffled(spark, tmp_path_factory):
+    """The smallest events in 20 files in no order."""
+    to = tmp_path_factory.mktemp("shuffled")
+    spark.read.parquet(f"{SMALL}/events.parquet").repartition(20, F.xxhash64("event_id")).write.parquet(f"{to}/events.parquet")
+    return str(to)
+
+
+def test_streams_lose_nothing_of_shuffled_files(spark, shuffled):
+    e, q = spark.read.parquet(f"{shuffled}/events.parquet").cache(), registry.queries()
+    n = e.count()
+    assert q["st_ingest"](spark, shuffled).agg(F.count("*"), F.count_distinct("event_id")).first() == (n, n)
+    assert q["st_pairs"](spark, shuffled).count() == e.where("event_id % 3 = 0").count()
+    assert {(r["hour"], r["n"]) for r in q["st_hourly"](spark, shuffled).collect()} == hourly(e)
+    want = {tuple(r) for r in covered(spark, shuffled).groupBy("anchor").agg(F.count("*")).collect()}
+    assert {(r["anchor"], r["n"]) for r in q["st_interval"](spark, shuffled).collect()} == want
+    want = {tuple(r) for r in e.groupBy("user_id").agg(F.count("*") - 1, F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))).collect() if r[1]}
+    assert {tuple(r) for r in q["st_gaps"](spark, shuffled).collect()} == want
+
+
+def test_replay_over_many_triggers(spark, shuffled):
+    e = spark.read.parquet(f"{shuffled}/events.parquet")
+    got = feeds.run_to_table(feeds.hourly_means(feeds.replay(e, "2 hours", files=20)), "hourly")
+    assert {(r["hour"], r["n"]) for r in got.collect()} == hourly(e)
+    assert feeds.run_to_table(feeds.ingest(feeds.replay(e, files=20)), "ingest").count() == e.count()
