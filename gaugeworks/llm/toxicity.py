@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import held_out, materialize, table
 
 SAMPLE, CALIBRATION = 20_000, 5_000
-TRIGRAMS, MARKERS = 60_000, 50_000
+MARKERS = 50_000
 THRESHOLD = 0.3
 HELD_WORDS = 200_000
 #: Longer tokens (links, keys, encoded data) are not words in disguise; the letters in them count as they stand.
@@ -52,7 +52,43 @@ LETTERS = re.compile(r"[^\W\d_]+")
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W_] ){3,}[^\W_](?![^\W_])")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 EDGE = " \t\r\n.,;:?\"'()[]{}<>«»“”„…%&"
-Model = tuple[dict[str, float], float]
+#: Bits of a character in the number of an n-gram; trigrams lie above all pairs, as no word holds characters below the blank.
+BITS = 21
+HELD_GRAMS = 500_000
+
+
+def gram_number(gram: str) -> int:
+    k = 0
+    for c in gram:
+        k = k << BITS | ord(c)
+    return k
+
+
+class Characters:
+    """Log-probabilities of a character after two others and after one: all n-grams of the corpus as two sorted arrays,
+    12 bytes each, and the ones that were asked for lately in a table."""
+
+    def __init__(self, grams: np.ndarray, logs: np.ndarray, unseen: float):
+        self.grams, self.logs, self.unseen, self.memo = grams, logs, unseen, {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"memo": {}}
+
+    def look_up(self, gram: str) -> float | None:
+        k = gram_number(gram)
+        at = int(np.searchsorted(self.grams, np.int64(k)))
+        return float(self.logs[at]) if at < len(self.grams) and self.grams[at] == k else None
+
+    def log_p(self, state: str, c: str) -> float:
+        """Of c after the two characters of state; after one, at a discount, where the trigram was never seen."""
+        gram = state + c
+        if (v := self.memo.get(gram)) is None:
+            if len(self.memo) > HELD_GRAMS:
+                self.memo.clear()
+            if (v := self.look_up(gram)) is None and (v := self.look_up(gram[1:])) is None:
+                v = self.unseen
+            self.memo[gram] = v
+        return v
 
 
 def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +102,7 @@ def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for i in range(len(padded) - 2):
                 grams[padded[i : i + 3]] += n
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(map(gram_number, grams)), pa.int64()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
 
     for b in batches:
         for text in b.column("text").to_pylist():
@@ -76,23 +112,21 @@ def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield flush()
 
 
-def learn_characters(docs: DataFrame) -> Model:
-    """Log-probabilities of a character after two others and after one, over all documents: (by n-gram, for unseen ones)."""
-    counted = docs.select("text").mapInArrow(count_trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = {r["gram"]: r["n"] for r in counted.orderBy(F.desc("n"), "gram").limit(TRIGRAMS).collect()}
-    after_two, after_one, pairs = Counter(), Counter(), Counter()
-    for g, n in rows.items():
-        after_two[g[:2]] += n
-        after_one[g[1]] += n
-        pairs[g[1:]] += n
-    backed = {g: BACKOFF + math.log(n / after_one[g[0]]) for g, n in pairs.items()}
-    return backed | {g: math.log(n / after_two[g[:2]]) for g, n in rows.items()}, math.log(1e-4)
+def learn_characters(docs: DataFrame) -> Characters:
+    """Counts and context totals are those of all documents, whatever the script; the model grows with their distinct
+    n-grams, which are far fewer than their words."""
+    counted = docs.select("text").mapInArrow(count_trigrams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    three = materialize(counted, "trigrams")
+    two = three.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 2 * BITS) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
 
+    def logs(grams: DataFrame, penalty: float) -> DataFrame:
+        led = grams.withColumn("led", F.shiftright("gram", BITS))
+        return led.join(led.groupBy("led").agg(F.sum("n").alias("all")), "led").select("gram", (F.log(F.col("n") / F.col("all")) + penalty).cast("float").alias("p"))
 
-def log_p(model: Model, state: str, c: str) -> float:
-    """Of c after the two characters of state; after one, at a discount, where the trigram was never seen."""
-    by, unseen = model
-    return by.get(state + c) or by.get(state[1] + c, unseen)
+    rows = logs(three, 0.0).unionAll(logs(two, BACKOFF)).toArrow()
+    grams, p = rows.column("gram").to_numpy(), rows.column("p").to_numpy()
+    order = np.argsort(grams)
+    return Characters(grams[order], p[order], math.log(1e-4))
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
@@ -114,7 +148,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, model: Model) -> list[str]:
+def decode(token: str, model: Characters) -> list[str]:
     """The likeliest letters behind a token, the best first: Viterbi over the last two letters."""
     best = {"  ": (0.0, "")}
     for options in lattice(token):
@@ -123,16 +157,16 @@ def decode(token: str, model: Model) -> list[str]:
             for letters, cost in options:
                 s, now = state, score - cost
                 for c in letters:
-                    now += log_p(model, s, c)
+                    now += model.log_p(s, c)
                     s = s[1] + c
                 if s not in nxt or now > nxt[s][0]:
                     nxt[s] = (now, word + letters)
         best = nxt
-    ends = sorted(((score + log_p(model, s, " "), word) for s, (score, word) in best.items()), reverse=True)[:READINGS]
+    ends = sorted(((score + model.log_p(s, " "), word) for s, (score, word) in best.items()), reverse=True)[:READINGS]
     return [word for score, word in ends if score >= ends[0][0] - NEAR_BEST and word]
 
 
-def words_in(token: str, model: Model) -> list[str]:
+def words_in(token: str, model: Characters) -> list[str]:
     """The words of a token that holds no white space, restored if it looks obfuscated."""
     core = token.strip(EDGE)
     if core.isalpha() and not TRIPLE.search(core):
@@ -162,7 +196,7 @@ def features_of(word: str) -> list[str]:
     return [f"={word}", *(word[:n] for n in PREFIXES if len(word) >= n)]
 
 
-def count_features(model: Model):
+def count_features(model: Characters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked, clean = Counter(), Counter()
         for b in batches:
@@ -175,7 +209,7 @@ def count_features(model: Model):
 
 
 class Scorer:
-    def __init__(self, model: Model, weights: dict[str, float], curve: tuple[float, float, float] | None):
+    def __init__(self, model: Characters, weights: dict[str, float], curve: tuple[float, float, float] | None):
         self.model, self.weights, self.curve, self.memo = model, weights, curve, {}
 
     def weight(self, token: str) -> float:
@@ -216,7 +250,7 @@ def log_odds(marked, clean, n_marked: int, n_clean: int):
     return F.log(((marked + prior) / (n_marked + 1.0)) / ((clean + (1 - prior)) / (n_clean + 1.0)))
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, dict[str, float], tuple[float, float, float] | None]:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Characters, dict[str, float], tuple[float, float, float] | None]:
     """docs (doc_id, text), labels (doc_id, toxic) -> the character model, the markers' log-odds and the curve."""
     model = learn_characters(docs)
     usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -256,7 +290,8 @@ def scorer_for(key: str, sent) -> Scorer:
 
 
 def toxicity_score(spark: SparkSession, learned, text: str = "text") -> Column:
-    """The score of a text column, 0 to 1. The tables sent to the executors are bounded by TRIGRAMS and MARKERS."""
+    """The score of a text column, 0 to 1. The markers sent to the executors are bounded by MARKERS; the
+    character model has 12 bytes for each distinct n-gram of the corpus."""
     sent, key = spark.sparkContext.broadcast(learned), uuid.uuid4().hex
 
     def scores(texts: pa.Array) -> pa.Array:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks import registry
+from gaugeworks.llm import toxicity
 from gaugeworks.operators import metrics as M
 from gaugeworks.plans import resampling as R
 from gaugeworks.plans.knowledge import covered
@@ -88,3 +89,13 @@ def test_replay_over_many_triggers(spark, shuffled):
     got = feeds.run_to_table(feeds.hourly_means(feeds.replay(e, "2 hours", files=20)), "hourly")
     assert {(r["hour"], r["n"]) for r in got.collect()} == hourly(e)
     assert feeds.run_to_table(feeds.ingest(feeds.replay(e, files=20)), "ingest").count() == e.count()
+
+
+def test_character_model_keeps_rare_trigrams_and_all_totals(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(chr(0xAC00 + rnd.randrange(11_000)) for _ in range(3))
+    rows = [(" ".join([word() for _ in range(150)] * 2),) for _ in range(120)] + [("moron monk",)]
+    model = toxicity.learn_characters(spark.createDataFrame(rows, "text string"))
+    assert len(model.grams) > 60_000
+    assert [model.log_p(*g) for g in (("mo", "r"), ("or", "o"), ("zz", "q"))] == pytest.approx([-0.693147, 0, model.unseen], abs=1e-4)
+    assert model.log_p("xo", "r") == pytest.approx(toxicity.BACKOFF + toxicity.math.log(1 / 3), abs=1e-4)
