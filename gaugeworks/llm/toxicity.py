@@ -1,7 +1,8 @@
 """Toxicity with noisy-channel deobfuscation.
 
-A token with digits or signs among its letters, with a letter three times in a row, or spelled with gaps is read as a
+A token of any length with digits, signs or a repeated letter, or letters and signs spelled with gaps, is read as a
 lattice: every sign stands for some letters, or for nothing, at a cost, and a run of one letter for one or two of it.
+What separates (dots, dashes, slashes, gaps) stands for nothing or for the end of a word.
 Viterbi decoding finds the likeliest letters under a character trigram model, whose counts come from the words of all
 documents. The restored words are then scored as if they had stood there.
 
@@ -33,8 +34,6 @@ SAMPLE, CALIBRATION = 20_000, 5_000
 MARKERS = 50_000
 THRESHOLD = 0.3
 HELD_WORDS = 200_000
-#: Longer tokens (links, keys, encoded data) are not words in disguise; the letters in them count as they stand.
-LONGEST_TOKEN = 60
 PREFIXES = (4, 5)
 
 # What signs stand for, and the costs of the channel, in nats.
@@ -42,15 +41,18 @@ SIGNS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "tl", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h",
 }
-SIGN_COST, SIGN_DROP_COST, DROP_COST, FOLD_COST, DOUBLE_COST = 0.7, 12.0, 0.5, 0.3, 0.8
+SIGN_COST, SIGN_DROP_COST, DROP_COST, SPLIT_COST, FOLD_COST, DOUBLE_COST = 0.7, 12.0, 0.5, 0.5, 0.3, 0.8
 #: What falling back from two characters to one costs.
 BACKOFF = math.log(0.2)
 #: Readings of a token that end in other letters count too if they are this near to the best one, in nats.
 NEAR_BEST, READINGS = 4.0, 5
 
 LETTERS = re.compile(r"[^\W\d_]+")
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W_] ){3,}[^\W_](?![^\W_])")
-TRIPLE = re.compile(r"([^\W\d_])\1\1")
+#: Three or more single letters or signs with white space between them.
+ONE = r"(?:[^\W_]|[@$!|+(€£¡*#])"
+SPACED = re.compile(rf"(?<![^\W_]){ONE}(?:[.,;:_-]?\s+{ONE}){{2,}}(?![^\W_])")
+RUNS = re.compile(r"(.)\1*")
+REPEAT = re.compile(r"([^\W\d_])\1")
 EDGE = " \t\r\n.,;:?\"'()[]{}<>«»“”„…%&"
 #: Bits of a character in the number of an n-gram; trigrams lie above all pairs, as no word holds characters below the blank.
 BITS = 21
@@ -129,8 +131,9 @@ def learn_characters(docs: DataFrame) -> Characters:
     return Characters(grams[order], p[order], math.log(1e-4))
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each run of one sign, the strings that it may stand for and their costs."""
+def lattice(token: str, split: bool = False) -> list[list[tuple[str, float]]]:
+    """For each run of one sign, the strings that it may stand for and their costs. With split, a separator may also
+    end a word."""
     out, i = [], 0
     while i < len(token):
         c, j = token[i], i
@@ -143,51 +146,81 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             options = [(s, SIGN_COST) for s in SIGNS[c]] + [("", SIGN_DROP_COST)]
             options += [(s * 2, SIGN_COST + DOUBLE_COST) for s in SIGNS[c]] if run > 1 else []
         else:
-            options = [("", DROP_COST)]
+            options = [("", DROP_COST), (" ", SPLIT_COST)] if split else [("", DROP_COST)]
         out.append(options)
     return out
 
 
-def decode(token: str, model: Characters) -> list[str]:
-    """The likeliest letters behind a token, the best first: Viterbi over the last two letters."""
-    best = {"  ": (0.0, "")}
-    for options in lattice(token):
-        nxt: dict[str, tuple[float, str]] = {}
-        for state, (score, word) in best.items():
+def decode(token: str, model: Characters, split: bool = False) -> list[str]:
+    """The likeliest letters behind a token, the best first: Viterbi over the last two letters. With split, words have
+    blanks between them. A path is a chain of links, so that the work is linear in the token's length."""
+    best: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}
+    log_p = model.log_p
+    for options in lattice(token, split):
+        nxt: dict[str, tuple[float, tuple | None]] = {}
+        for state, (score, path) in best.items():
             for letters, cost in options:
                 s, now = state, score - cost
-                for c in letters:
-                    now += model.log_p(s, c)
-                    s = s[1] + c
+                if letters == " ":
+                    if s == "  ":
+                        continue
+                    now, s = now + log_p(s, " "), "  "
+                else:
+                    for c in letters:
+                        now += log_p(s, c)
+                        s = s[1] + c
                 if s not in nxt or now > nxt[s][0]:
-                    nxt[s] = (now, word + letters)
+                    nxt[s] = (now, (path, letters) if letters else path)
         best = nxt
-    ends = sorted(((score + model.log_p(s, " "), word) for s, (score, word) in best.items()), reverse=True)[:READINGS]
-    return [word for score, word in ends if score >= ends[0][0] - NEAR_BEST and word]
+    ends = sorted(((score + (log_p(s, " ") if s != "  " else 0.0), s) for s, (score, _) in best.items()), reverse=True)[:READINGS]
+    words = []
+    for score, s in ends:
+        if score >= ends[0][0] - NEAR_BEST:
+            path, letters = best[s][1], []
+            while path:
+                path, last = path
+                letters.append(last)
+            words.append("".join(reversed(letters)))
+    return [w for w in words if w]
 
 
 def words_in(token: str, model: Characters) -> list[str]:
-    """The words of a token that holds no white space, restored if it looks obfuscated."""
+    """The words of a token, restored if it looks obfuscated: it has a sign, a digit, a gap or a repeated letter."""
     core = token.strip(EDGE)
-    if core.isalpha() and not TRIPLE.search(core):
+    if core.isalpha() and not REPEAT.search(core):
         return [core]
     found = LETTERS.findall(core)
-    if len(core) <= LONGEST_TOKEN and sum(map(len, found)) >= 2:
-        found += decode(core.rstrip("!*|+#"), model)
+    core = core.rstrip("!*|+#")
+    if any(c.isalpha() or c in SIGNS for c in core):
+        found += decode(core, model)
+        if not all(c.isalpha() or c in SIGNS for c in core):
+            found += [w for words in decode(core, model, split=True) for w in words.split()]
     return found
 
 
+def readings_of(core: str, most: int = 16) -> list[str] | None:
+    """All that the lattice can read a token of letters alone as; None if these are more than most."""
+    out = [""]
+    for run in RUNS.finditer(core):
+        ways = [run[1]] if len(run[0]) == 1 else [run[1], run[1] * 2]
+        out = [a + b for a in out for b in ways]
+        if len(out) > most:
+            return None
+    return out
+
+
 def spaced_words(text: str) -> list[str]:
-    """Words spelled with a blank between their letters, with the blanks taken out."""
-    return [m[0].replace(" ", "") for m in SPACED.finditer(text)]
+    """Letters and signs spelled with white space between them, a blank for each gap; words_in() reads them."""
+    return [" ".join(m[0].split()) for m in SPACED.finditer(text)]
 
 
 def tokens_of(text: str | None) -> set[str]:
     if not text:
         return set()
     low = text.lower()
-    tokens = set(low.split())
-    if sum(len(t) == 1 for t in tokens) >= 3:
+    split = low.split()
+    tokens = set(split)
+    if sum(len(t) <= 2 for t in split) >= 3:
         tokens.update(spaced_words(low))
     return tokens
 
@@ -216,9 +249,15 @@ class Scorer:
         if (w := self.memo.get(token)) is None:
             if len(self.memo) > HELD_WORDS:
                 self.memo.clear()
-            w = self.memo[token] = max((self.weights.get(f, 0.0) for word in words_in(token, self.model) for f in features_of(word)), default=0.0)
+            w = self.memo[token] = self.strongest(token)
         return w
 
+    def strongest(self, token: str) -> float:
+        core = token.strip(EDGE)
+        if core.isalpha() and (every := readings_of(core)) and not any(f in self.weights for word in (core, *every) for f in features_of(word)):
+            return 0.0  # whichever reading is the likeliest
+        return max((self.weights.get(f, 0.0) for word in words_in(token, self.model) for f in features_of(word)), default=0.0)
+
     def evidence(self, text: str | None) -> tuple[float, float]:
         """The strongest token's log-odds, and the logarithm of the total."""
         found = [w for w in map(self.weight, tokens_of(text)) if w]
