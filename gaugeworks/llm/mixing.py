@@ -8,7 +8,8 @@ that this moves are given back to documents that met at the root.
 
 The reduction tree: documents meet in buckets of about BUCKET by a hash of the document, each bucket leaves one
 undecided document, and those meet again, so a source of any size takes log_BUCKET(n) rounds and no task sees more
-than a bucket. Randomness is a hash of the pair, so reruns and lost executors repeat the same mix.
+than a bucket. A source is settled at the level where it has one bucket; each bucket below sends its part of
+SPARES decided documents, of all sizes, along with the undecided one. Randomness is a hash of the pair, so reruns and lost executors repeat the same mix.
 
 Defined results: null text has size 0 and is taken 0 words; a null source is a source of its own, ordered last; rows
 that repeat (doc_id, source, size) are decided together and alike; an empty table gives an empty result.
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize, table
 
-BUCKET, SEED, CAP = 256, 17, 3
+#: SPARES: about so many decided documents meet at a root besides those of its own bucket.
+BUCKET, SEED, CAP, SPARES = 256, 17, 3, 1024
 DONE = "array<struct<mass:double,doc_id:bigint,size:bigint,up:int>>"
 
 
@@ -85,15 +87,22 @@ def settle(carry: Column, done: Column) -> Column:
 
 
 def round_level(items: DataFrame, level: int) -> DataFrame:
-    """One round of the tree: (source, carry, done), a row per bucket. items: source, items, mass, doc_id, size, p."""
+    """One round of the tree: (source, items, carry, done, spares), a row per bucket. items: source, items, mass, doc_id,
+    size, p, spares. At the root all spares are in done; below, done keeps what the spares leave."""
     buckets = F.greatest(F.lit(1), F.ceil(F.col("items") / float(BUCKET ** (level + 1))))
-    placed = items.select("source", "items", F.pmod(F.xxhash64(F.lit(SEED + level), "doc_id", "size"), buckets).alias("bucket"), F.struct((-F.col("mass")).alias("order"), "mass", "doc_id", "size", "p").alias("e"))
-    met = placed.groupBy("source", "items", "bucket").agg(F.sort_array(F.collect_list("e")).alias("es"))
+    placed = items.select("source", "items", F.pmod(F.xxhash64(F.lit(SEED + level), "doc_id", "size"), buckets).alias("bucket"), F.struct((-F.col("mass")).alias("order"), "mass", "doc_id", "size", "p").alias("e"), "spares")
+    met = placed.groupBy("source", "items", "bucket").agg(F.sort_array(F.collect_list("e")).alias("es"), F.flatten(F.collect_list("spares")).alias("sent"))
     es = F.transform("es", lambda e: F.struct(e["mass"].alias("mass"), e["doc_id"].alias("doc_id"), e["size"].alias("size"), e["p"].alias("p")))
-    met = met.select("source", "items", es.alias("es"))
+    met = met.select("source", "items", es.alias("es"), "sent")
     start = F.struct(F.col("es")[0].alias("carry"), F.array().cast(DONE).alias("done"))
     done = F.aggregate(F.slice("es", 2, F.size("es")), start, lambda acc, x: pivot_pair(acc, x, level))
-    return met.select("source", "items", done.alias("r")).select("source", "items", "r.carry", "r.done")
+    met = met.select("source", "items", done.alias("r"), "sent").select("source", "items", "r.carry", F.sort_array(F.concat("r.done", "sent")).alias("all"))
+    # Evenly spaced by size from a hashed start, so that many buckets send all sizes.
+    step = F.greatest(F.lit(1), F.ceil(F.size("all") / F.ceil(SPARES / buckets))).cast("int")
+    first = F.pmod(F.xxhash64("carry.doc_id", "carry.size"), step)
+    root = F.col("items") <= BUCKET ** (level + 1)
+    goes = lambda k: (k % step == first) & ~root
+    return met.select("source", "items", "carry", F.filter("all", lambda d, k: ~goes(k)).alias("done"), F.filter("all", lambda d, k: goes(k)).alias("spares"))
 
 
 def mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
@@ -103,15 +112,16 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP)
     rated = targets.select("source", F.col("items"), F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("p"))
     once = sized.where("size > 0").groupBy("doc_id", "source", "size").agg(F.count("*").alias("k"))
     on = lambda a, b, *names: [a[n].eqNullSafe(b[n]) for n in names]
-    items = once.join(rated, on(once, rated, "source")).where("p > 1e-12").select(once["source"], "items", (F.col("k") * F.col("size")).cast("double").alias("mass"), "doc_id", "size", "p")
+    items = once.join(rated, on(once, rated, "source")).where("p > 1e-12").select(once["source"], "items", (F.col("k") * F.col("size")).cast("double").alias("mass"), "doc_id", "size", "p", F.array().cast(DONE).alias("spares"))
     largest, level, decided = targets.agg(F.max("items")).first()[0] or 0, 0, []
     while largest:
         met = materialize(round_level(items, level), f"level{level}")
+        root = F.col("items") <= BUCKET ** (level + 1)
+        decided.append(met.where(root).select("source", F.inline(settle(F.col("carry"), F.col("done")))))
         if largest <= BUCKET ** (level + 1):
-            decided.append(met.select("source", F.inline(settle(F.col("carry"), F.col("done")))))
             break
-        decided.append(met.select("source", F.inline("done")))
-        items, level = met.select("source", "items", "carry.*"), level + 1
+        decided.append(met.where(~root).select("source", F.inline("done")))
+        items, level = met.where(~root).select("source", "items", "carry.*", "spares"), level + 1
     out = sized.join(targets, on(sized, targets, "source"), "left").select("doc_id", sized["source"], "size", "source_size", "target")
     if not decided:
         return out.withColumn("copies", F.lit(0).cast("long"))

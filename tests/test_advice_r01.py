@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks import registry
-from gaugeworks.llm import toxicity
+from gaugeworks.llm import mixing, toxicity
 from gaugeworks.operators import metrics as M
 from gaugeworks.plans import resampling as R
 from gaugeworks.plans.knowledge import covered
@@ -121,3 +121,17 @@ def test_disguises_reach_the_decoder(spark):
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(probe, learned).collect()}
     assert [t[:20] for i, t in enumerate(disguised) if not got[i]] == []
     assert [t[:20] for i, t in enumerate(clean) if got[len(disguised) + i]] == []
+
+
+def test_small_sources_are_settled_beside_large_ones(spark):
+    rnd = random.Random(9)
+    rows = [(i, "hot", rnd.randrange(50, 300)) for i in range(20_000)]
+    for k, items in enumerate([100, 100, 100, 200, 250, 300, 400, 700] * 2):
+        rows += [(100_000 + 1000 * k + i, f"s{k:02d}", 20_000 if i == 0 else 200 + i % 7) for i in range(items)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long"), weights=(80, *[1] * 16)).collect()
+    target, taken = {}, {}
+    for r in got:
+        target[r["source"]] = r["target"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["copies"] * r["size"]
+    assert len(got) == len(rows)
+    assert {s: round(taken[s] - target[s]) for s in target if abs(taken[s] - target[s]) > 210} == {}
