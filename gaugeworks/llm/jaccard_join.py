@@ -8,35 +8,40 @@ d(x, y) = 1 - |x n y| / |x u y| is a metric. Two sets are linked when d <= 0.2,
    singleton sets {s}: d(x, {s}) = 1 - 1/|x| if s is in x, else 1. A point is nearest to all its own shingles at once,
    and a global order (rarest first, by a count sketch of all documents) breaks the tie. A linked point differs in at
    most a fifth of its shingles, so the boundary window is the first |x| - ceil(0.8 |x|) + 1 of them: two linked
-   points always meet in a region of that window.
+   points always meet in a region of that window. Rows go to their regions in one exchange; regions of one point end
+   there, regions that hold the same points become one, and a region that the sketch calls hot is dealt in shares.
 2. Pivots and balls. Each region takes a point as pivot and measures the others. A parity sketch (two bits or more a
    shingle) bounds |x - y| from below and drops nearly all pairs that are apart; the rest are compared exactly. Points
    in the pivot's ball (d <= 0.2) are linked to it and need not be compared with each other, so a region of copies
    costs one comparison a copy.
 3. Windows. A point o outside the ball can be linked to a point b in it only if d(b, pivot) >= d(o, pivot) - 0.2: the
    points of the ball in that window are replicated to the outer region, which is joined the same way, with its own
-   pivot, while more than BOTTOM_ROWS rows are left in regions of more than one group, for LEVELS levels.
-4. Bottom. What is left of a region is split into blocks; every point outside the region's group meets every block,
-   first by sketch, and those with any partner left exactly, linking groups by union-find. No pair is ever emitted
-   more than once for each point and group, and nothing is dropped.
+   pivot. The recursion ends for a region that is empty or holds one group, and for one that its pivot did not halve:
+   there points are too far from each other for balls to help. So there are at most log2 of the largest region levels.
+4. Leaves. Such a region is split into blocks; every point outside the region's group meets every block, first by
+   sketch, and those with any partner left exactly, linking groups by union-find. No pair is ever emitted more than
+   once for each point and group, and nothing is dropped.
 
-Shingles are 64-bit polynomial hashes; points are 64-bit hashes of sets. With n documents two different sets share one
-with a chance of about n^2 / 2^65.
+The count sketch has a fixed size. What it must tell apart are shingles that make large regions: with N shingles in all
+a counter holds N / COUNTERS by chance, give or take the square root of that, and a shingle of more documents than a
+few of these roots stands out at any N. Shingles are 64-bit polynomial hashes; points are 128-bit hashes of sets.
 
 Defined results: words are split at blank and \\x09-\\x0D and lower-cased from A to Z; a text of one to four words is one
 shingle; an empty or null text has no shingles and its own id as component; repeated rows are copies of each other; a
-null id takes part but is never a component's name unless it is alone. Texts are read whole.
+null id takes part but is never a component's name unless it is alone; an empty table gives no rows. Columns other than
+the id and the text are not read, so their names can't clash. Texts are read whole.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, discard, materialize, table
@@ -44,12 +49,9 @@ from .common import connected_components, discard, materialize, table
 WORDS = 5
 #: Counters of the sketch that orders shingles by how common they are, and into how many blocks it is cut.
 COUNTERS, PARTS = 1 << 21, 16
-#: Bits of the filter that says which points' sets are wanted.
-FILTER_BITS = 1 << 24
-LEVELS = 3
-#: With fewer rows left than this, the bottom is cheaper than another level.
-BOTTOM_ROWS = 1_000_000
-#: Points of a region that one task holds at a time.
+#: Bits of the filter that says which points' sets are wanted: 16 for each, within these bounds.
+FILTER_BITS = (1 << 16, 1 << 27)
+#: Points of a region that one task holds at a time, and points of a share of a hot region.
 BLOCK = 1024
 SEEN_POINTS = 500_000
 
@@ -103,8 +105,8 @@ def shingles(text: str | None) -> np.ndarray:
     return found[np.concatenate([np.ones(1, bool), found[1:] != found[:-1]])]
 
 
-def point_of(s: np.ndarray) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()))))
+def point_of(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -129,22 +131,23 @@ def apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
 
 
-def linked(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether the sorted sets x and y have 100 |x n y| >= 80 |x u y|."""
-    n = len(x) + len(y)
-    if 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
-        return False
+def difference(x: np.ndarray, y: np.ndarray) -> int:
+    """The size of the symmetric difference of the sorted sets x and y."""
     merged = np.concatenate([x, y])
     merged.sort()
-    common = int(np.count_nonzero(merged[1:] == merged[:-1]))
-    return 9 * (n - 2 * common) <= n
+    return len(merged) - 2 * int(np.count_nonzero(merged[1:] == merged[:-1]))
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether 100 |x n y| >= 80 |x u y|."""
+    return 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 9 * difference(x, y) <= len(x) + len(y)
 
 
 def batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-FIRST = pa.schema([("doc_id", pa.int64()), ("point", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
+FIRST = pa.schema([("doc_id", pa.int64()), ("point", pa.binary()), ("n", pa.int64()), ("bits", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
 
 
 def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,78 +199,121 @@ def window(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def enter_regions(sent):
-    kind = pa.schema([("region", pa.int64()), ("point", pa.int64())])
+    """text -> (region, share, point). A region that more than BLOCK documents enter by the sketch is dealt in shares
+    from 1 on; all others have share 0."""
+    kind = pa.schema([("region", pa.int64()), ("share", pa.int32()), ("point", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sent.value, set()
+        by_chance = counts.mean() if len(counts) else 0.0
         for b in batches:
-            regions, points = [], []
+            regions, shares, points, times = [], [], [], []
             for text in b.column(0).to_pylist():
                 s = shingles(text)
-                if len(s) and (p := point_of(s)) not in seen:
-                    if len(seen) < SEEN_POINTS:
-                        seen.add(p)  # copies in the same task enter once
-                    regions.append(window(s, counts).view(np.int64))
-                    points.append(np.full(len(regions[-1]), p))
+                if not len(s) or (p := point_of(s)) in seen:
+                    continue
+                if len(seen) < SEEN_POINTS:
+                    seen.add(p)  # copies in the same task enter once
+                w = window(s, counts)
+                needs = np.ceil((counts[(w & np.uint64(COUNTERS - 1)).astype(np.int64)] - by_chance) / BLOCK)
+                regions.append(w.view(np.int64))
+                shares.append(np.where(needs > 1, 1 + int.from_bytes(p[:4], "little") % np.maximum(needs, 1), 0).astype(np.int32))
+                points.append(p), times.append(len(w))
             if regions:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(regions)), pa.array(np.concatenate(points))], schema=kind)
+                each = np.repeat(np.frombuffer(b"".join(points), "V16"), times)
+                ends = np.arange(len(each) + 1, dtype=np.int32) * 16
+                named = pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer(ends), pa.py_buffer(each)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(regions)), pa.array(np.concatenate(shares)), named], schema=kind)
 
     return run
 
 
-def wanted_filter(keys: DataFrame) -> bytes:
-    """A bit for each wanted key, modulo FILTER_BITS."""
+def form_regions(entered: DataFrame) -> DataFrame:
+    """(region, pivot, point): the regions of more than one point, the pivot itself left out.
+
+    All rows are exchanged once. Regions of the same points get the same name, from their points' hashes."""
+    here = Window.partitionBy("region", "share")
+    low, high, mark = F.min("point").over(here), F.max("point").over(here), F.bit_xor(F.xxhash64("point")).over(here)
+    held = entered.select("region", "share", "point", low.alias("low"), high.alias("high"), mark.alias("mark")).where("share > 0 OR low <> high")
+    held = held.select(F.when(F.col("share") > 0, F.col("region")).otherwise(F.xxhash64("low", "high", "mark")).alias("region"), "point")
+    held = materialize(held.distinct(), "held")
+    pivots = held.groupBy("region").agg(F.min("point").alias("pivot"), F.max("point").alias("last")).where("pivot <> last").select("region", "pivot")
+    members = materialize(held.join(pivots, "region").where("point <> pivot").select("region", "pivot", "point"), "members")
+    discard(held)
+    return members
+
+
+def wanted_filter(keys: DataFrame, bits: int) -> bytes:
+    """A bit for each wanted (point, rep), modulo bits."""
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
+        held = np.zeros(bits, bool)
         for b in batches:
-            bits[b.column(0).to_numpy(zero_copy_only=False) & (FILTER_BITS - 1)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["bits"])
+            for p, rep in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held[filter_key(p, rep) & (bits - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(held).tobytes(), 1)], pa.binary())], ["bits"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(FILTER_BITS // 8, np.uint8)
+        total = np.zeros(bits // 8, np.uint8)
         for b in batches:
             for v in b.column(0):
                 total |= np.frombuffer(zlib.decompress(v.as_py()), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["bits"])
 
-    few = keys.mapInArrow(marked, "bits binary").repartition(8).mapInArrow(joined, "bits binary").collect()
-    total = np.zeros(FILTER_BITS // 8, np.uint8)
+    few = keys.select("point", "rep").mapInArrow(marked, "bits binary").repartition(8).mapInArrow(joined, "bits binary").collect()
+    total = np.zeros(bits // 8, np.uint8)
     for r in few:
         total |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     return total.tobytes()
 
 
-def sets_of(docs: DataFrame, points: DataFrame, classes: DataFrame) -> DataFrame:
-    """(point, items): the shingle sets of the given points, each from the document that stands for it.
+def filter_key(point: bytes, rep: int | None) -> int:
+    return int.from_bytes(point[:8], "little") ^ (rep or 0)
 
-    A filter of fixed size keeps other documents' sets out of the shuffle; what it lets through by chance, the join drops."""
-    wanted = materialize(classes.join(points.distinct(), "point", "left_semi").select("point", "rep"), "wanted")
-    sent = docs.sparkSession.sparkContext.broadcast(wanted_filter(wanted.select(F.col("point").bitwiseXOR(F.coalesce("rep", F.lit(0))).alias("key"))))
-    kind = pa.schema([("point", pa.int64()), ("items", pa.binary())])
+
+def sets_of(docs: DataFrame, points: DataFrame, classes: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """(point, items): the shingle sets of the given points, each from the document that stands for it, beside those held.
+
+    A filter keeps other documents' sets out of the shuffle; what it lets through by chance, the join drops."""
+    points = points.distinct()
+    if held is not None:
+        points = points.join(held.select("point"), "point", "left_anti")
+    wanted = materialize(classes.join(points, "point", "left_semi").select("point", "rep"), "wanted")
+    if not (n := wanted.count()):
+        discard(wanted)
+        return held if held is not None else docs.sparkSession.createDataFrame([], "point binary, items binary")
+    low, high = FILTER_BITS
+    bits = min(high, max(low, 1 << (16 * n - 1).bit_length()))
+    sent = docs.sparkSession.sparkContext.broadcast(wanted_filter(wanted, bits))
+    kind = pa.schema([("point", pa.binary()), ("items", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(sent.value, np.uint8))
+        asked = np.frombuffer(sent.value, np.uint8)
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(text)
-                if len(s) and bits[((p := point_of(s)) ^ (doc or 0)) & (FILTER_BITS - 1)]:
-                    rows.append((p, s.tobytes()))
+                if len(s):
+                    k = filter_key(p := point_of(s), doc) & (bits - 1)
+                    if asked[k >> 3] & (128 >> (k & 7)):
+                        rows.append((p, s.tobytes()))
             yield batch(kind, rows)
 
-    found = docs.mapInArrow(run, "point long, items binary").join(wanted, "point", "left_semi")
-    return materialize(found.groupBy("point").agg(F.max("items").alias("items")), "sets")
+    found = docs.mapInArrow(run, "point binary, items binary").join(wanted, "point", "left_semi")
+    more = materialize(found.groupBy("point").agg(F.max("items").alias("items")), "sets")
+    discard(wanted)
+    return more if held is None else held.unionAll(more)
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of pairs (a, b) that are linked, by exact comparison."""
+    """The rows of pairs (a, b) with their exact distance d and whether they are linked."""
 
     def exact(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(a, b, strict=True)], pa.bool_())
+        return pa.array([difference(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(a, b, strict=True)], pa.int64())
 
     both = pairs.join(sets.selectExpr("point AS a", "items AS x"), "a").join(sets.selectExpr("point AS b", "items AS y"), "b")
-    return both.where(F.arrow_udf(exact, "boolean")("x", "y")).select(*pairs.columns)
+    both = both.select("a", "b", ((F.length("x") + F.length("y")) / 8).alias("n"), F.arrow_udf(exact, "bigint")("x", "y").alias("apart"))
+    return both.select("a", "b", (2 * F.col("apart") / (F.col("n") + F.col("apart"))).alias("d"), (9 * F.col("apart") <= F.col("n")).alias("linked"))
 
 
 def bounds(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -283,34 +329,32 @@ def bounds(members: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.select("a", "b", (2 * F.col("_apart") / (total + F.col("_apart"))).alias("far"), (9 * F.col("_apart") <= total).alias("near"))
 
 
-def ball_links(docs: DataFrame, near: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links of near pairs (a, b). A point is compared with its least pivot first, and with others only if that leaves them apart."""
-    sets = sets_of(docs, near.selectExpr("a AS point").unionAll(near.selectExpr("b AS point")), classes)
-    first = materialize(compare(near.groupBy("a").agg(F.min("b").alias("b")), sets), "links")
-    root = lambda p: first.selectExpr(f"a AS {p}", f"b AS r{p}")
+def ball_distances(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, d, linked) of near pairs. A point is compared with its least pivot first, and with others only if that leaves them apart."""
+    first = materialize(compare(near.groupBy("a").agg(F.min("b").alias("b")), sets), "first_pairs")
+    root = lambda p: first.where("linked").selectExpr(f"a AS {p}", f"b AS r{p}")
     more = near.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-    first_least = near.groupBy("a").agg(F.min("b").alias("b"))
-    rest = materialize(compare(more.join(first_least, ["a", "b"], "left_anti"), sets), "links")
-    out = materialize(first.unionAll(rest), "links")
-    for t in (sets, first, rest):
-        discard(t)
+    rest = compare(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), sets)
+    out = materialize(first.unionAll(rest), "distances")
+    discard(first)
     return out
 
 
-def outer_regions(members: DataFrame, measured: DataFrame, links: DataFrame, groups: DataFrame) -> DataFrame:
-    """(region, point, grp, outside) for regions of more than one group: points outside the pivot's group, and those
-    of the ball that lie in a window of one of them. members: (region, pivot, point), the pivot itself left out."""
+def outer_regions(members: DataFrame, measured: DataFrame, distances: DataFrame, groups: DataFrame) -> DataFrame:
+    """(region, pivot, point, grp, outside, halved) for regions that still have more than one group: points outside the
+    old pivot's group, and those of its ball that lie in a window of one of them; the new pivot is one of the outside.
+    members: (region, pivot, point), the pivot itself left out."""
     named = members.join(groups.selectExpr("node AS point", "component AS pg"), "point", "left").join(groups.selectExpr("node AS pivot", "component AS vg"), "pivot", "left")
     named = named.selectExpr("region", "point", "pivot", "coalesce(pg, point) AS grp", "coalesce(vg, pivot) AS of_pivot").withColumn("outside", F.expr("grp <> of_pivot"))
-    named = named.join(measured.selectExpr("a AS point", "b AS pivot", "far", "near"), ["point", "pivot"])
-    direct = links.selectExpr("a AS point", "b AS pivot", "true AS direct")
-    named = materialize(named.join(direct, ["point", "pivot"], "left").selectExpr("region", "point", "grp", "outside", "far", "coalesce(direct, false) AS direct"), "named")
+    named = named.join(measured.selectExpr("a AS point", "b AS pivot", "far"), ["point", "pivot"])
+    exact = distances.selectExpr("a AS point", "b AS pivot", "d", "linked")
+    named = named.join(exact, ["point", "pivot"], "left").selectExpr("region", "point", "grp", "outside", "coalesce(d, far) AS far", "CASE WHEN linked THEN d END AS d")
+    named = materialize(named, "named")
     opened = named.groupBy("region").agg(F.min(F.when(F.col("outside"), F.col("far"))).alias("nearest"), F.count("*").alias("k")).where("nearest IS NOT NULL AND k > 1")
-    # A ball's point lies within 0.2 of the pivot, so from 0.4 on no window holds any of them.
-    kept = named.join(materialize(opened, "opened"), "region").where("outside OR NOT direct OR nearest <= 0.4")
-    kept = materialize(kept.select("region", "point", "grp", "outside"), "outer")
-    alive = kept.groupBy("region").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.min(F.when(F.col("outside"), F.col("point"))).alias("pivot")).where("lo <> hi")
-    out = materialize(kept.join(materialize(alive.select("region", "pivot"), "alive"), "region").select("region", "pivot", "point", "grp", "outside"), "outer")
+    kept = named.join(opened, "region").where(F.col("outside") | F.col("d").isNull() | (F.col("d") >= F.col("nearest") - 0.2 - 1e-9))
+    kept = materialize(kept.select("region", "point", "grp", "outside", "k"), "kept")
+    left = kept.groupBy("region").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.min(F.when(F.col("outside"), F.col("point"))).alias("pivot"), (2 * F.count("*") <= F.max("k") + 1).alias("halved"))
+    out = materialize(kept.join(left.where("lo <> hi").select("region", "pivot", "halved"), "region").select("region", "pivot", "point", "grp", "outside", "halved"), "outer")
     for t in (named, kept):
         discard(t)
     return out
@@ -320,15 +364,15 @@ class Forest:
     """Union-find over group names."""
 
     def __init__(self):
-        self.up: dict[int, int] = {}
+        self.up: dict[bytes, bytes] = {}
 
-    def root(self, x: int) -> int:
+    def root(self, x: bytes) -> bytes:
         while (u := self.up.get(x, x)) != x:
             self.up[x] = self.up.get(u, u)
             x = u
         return x
 
-    def join(self, a: int, b: int) -> None:
+    def join(self, a: bytes, b: bytes) -> None:
         a, b = sorted((self.root(a), self.root(b)))
         self.up[b] = a
 
@@ -339,7 +383,7 @@ def blocks_of(outer: DataFrame) -> DataFrame:
     placed = outer.join(sizes, "region")
     home = placed.withColumn("block", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int")).withColumn("visits", F.lit(False))
     visits = placed.where("outside").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("visits", F.lit(True))
-    return home.unionByName(visits).drop("blocks", "pivot")
+    return home.unionByName(visits).select("region", "block", "visits", "point", "grp")
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -350,7 +394,7 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(region, block, visits, point, grp, n, bits), residents of a block first -> (region, point) with a partner that
     neither sizes nor sketches rule out. Residents are held, visitors pass by one at a time."""
-    kind = pa.schema([("region", pa.int64()), ("point", pa.int64())])
+    kind = pa.schema([("region", pa.int64()), ("point", pa.binary())])
     key, grp, n, bits, points, stacks, out = None, [], [], [], [], None, set()
     for region, block, visits, point, g, size, sketch in rows_of(batches):
         if (region, block) != key:
@@ -363,10 +407,11 @@ def by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, x in enumerate(bits):
                 by_len.setdefault(len(x), []).append(i)
             stacks = [(np.array(idx), np.stack([bits[i] for i in idx])) for idx in by_len.values()]
-            grp_of, n_of = np.array(grp), np.array(n)
+            numbers = {g: i for i, g in enumerate(dict.fromkeys(grp))}
+            grp_of, n_of = np.array([numbers[g] for g in grp]), np.array(n)
         mine = np.frombuffer(sketch, np.uint8)
         for idx, stack in stacks:
-            fit = (grp_of[idx] != g) & (5 * np.minimum(n_of[idx], size) >= 4 * np.maximum(n_of[idx], size))
+            fit = (grp_of[idx] != numbers.get(g, -1)) & (5 * np.minimum(n_of[idx], size) >= 4 * np.maximum(n_of[idx], size))
             if fit.any():
                 width = min(len(mine), stack.shape[1])
                 apart_by = np.bitwise_count(folded(stack[fit], width) ^ folded(mine, width)).sum(axis=1)
@@ -380,7 +425,7 @@ def by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def by_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(region, block, visits, point, grp, items) -> links (a, b) that join groups, by exact comparison."""
-    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    kind = pa.schema([("a", pa.binary()), ("b", pa.binary())])
     key, residents, forest, out = None, [], Forest(), []
     for region, block, visits, point, g, items in rows_of(batches):
         if (region, block) != key:
@@ -396,47 +441,66 @@ def by_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch(kind, out)
 
 
-def bottom_links(docs: DataFrame, outer: DataFrame, classes: DataFrame) -> DataFrame:
-    blocks = blocks_of(outer)
+def leaf_links(docs: DataFrame, leaves: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     order = ["region", "block", "visits"]
-    sketched = blocks.join(classes.select("point", "n", "bits"), "point").select(*order, "point", "grp", "n", "bits")
-    left = sketched.repartition("region", "block").sortWithinPartitions(*order, "point").mapInArrow(by_sketch, "region long, point long")
+    sketched = blocks_of(leaves).join(classes.select("point", "n", "bits"), "point").select(*order, "point", "grp", "n", "bits")
+    left = sketched.repartition("region", "block").sortWithinPartitions(*order, "point").mapInArrow(by_sketch, "region long, point binary")
     left = materialize(left.distinct(), "left")
-    sets = sets_of(docs, left.select("point"), classes)
-    rows = blocks_of(outer.join(left, ["region", "point"], "left_semi")).join(sets, "point").select(*order, "point", "grp", "items")
-    return materialize(rows.repartition("region", "block").sortWithinPartitions(*order, "point").mapInArrow(by_items, "a long, b long"), "links")
+    sets = sets_of(docs, left.select("point"), classes, sets)
+    rows = blocks_of(leaves.join(left, ["region", "point"], "left_semi")).join(sets, "point").select(*order, "point", "grp", "items")
+    links = materialize(rows.repartition("region", "block").sortWithinPartitions(*order, "point").mapInArrow(by_items, "a binary, b binary"), "links")
+    discard(left)
+    return links
+
+
+def grown(groups: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The groups (node, component) after more links (a, b)."""
+    edges = links if groups is None else groups.selectExpr("node AS a", "component AS b").unionAll(links)
+    out = materialize(connected_components(edges), "groups")
+    if groups is not None:
+        discard(groups)
+    return out
 
 
 def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of df."""
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    first = materialize(docs.mapInArrow(first_pass, "doc_id long, point long, n long, bits binary, part int, counts binary"), "first")
+    first = materialize(docs.mapInArrow(first_pass, "doc_id long, point binary, n long, bits binary, part int, counts binary"), "first")
     every = first.where("part IS NULL").select("doc_id", "point", "n")
     classes = materialize(first.where("point IS NOT NULL").groupBy("point").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits")), "classes")
     sent = spark.sparkContext.broadcast(count_sketch(first))
-    entered = materialize(docs.select("text").mapInArrow(enter_regions(sent), "region long, point long"), "entered")
-    pivots = entered.groupBy("region").agg(F.min("point").alias("pivot"), F.max("point").alias("last")).where("pivot <> last").select("region", "pivot")
-    members = materialize(entered.join(materialize(pivots, "pivots"), "region").where("point <> pivot").select("region", "pivot", "point").distinct(), "members")
-    discard(entered)
-    every_link = None
-    for level in range(LEVELS):
+    members = form_regions(docs.select("text").mapInArrow(enter_regions(sent), "region long, share int, point binary"))
+    groups = sets = None
+    leaves, outers = [], []
+    while True:
         measured = materialize(bounds(members, classes), "measured")
-        links = ball_links(docs, measured.where("near").select("a", "b"), classes)
-        every_link = links if every_link is None else every_link.unionAll(links)
-        groups = materialize(connected_components(every_link), "groups")
-        outer = outer_regions(members, measured, links, groups)
-        if outer.isEmpty():
+        near = measured.where("near").select("a", "b")
+        sets = sets_of(docs, near.selectExpr("a AS point").unionAll(near.selectExpr("b AS point")), classes, sets)
+        distances = ball_distances(near, sets)
+        groups = grown(groups, distances.where("linked").select("a", "b"))
+        outer = outer_regions(members, measured, distances, groups)
+        for t in (members, measured, distances):
+            discard(t)
+        outers.append(outer)
+        leaves.append(outer.where("NOT halved").withColumn("region", F.xxhash64("region", F.lit(len(leaves)))))
+        members = materialize(outer.where("halved AND point <> pivot").select("region", "pivot", "point"), "members")
+        if members.isEmpty():
             break
-        if level == LEVELS - 1 or outer.count() < BOTTOM_ROWS:
-            groups = materialize(connected_components(every_link.unionAll(bottom_links(docs, outer, classes))), "groups")
-            break
-        members = outer.where("point <> pivot").select("region", "pivot", "point")
+    rest = reduce(DataFrame.unionAll, leaves).select("region", "point", "outside")
+    rest = materialize(rest.join(groups.selectExpr("node AS point", "component"), "point", "left").select("region", "point", F.coalesce("component", "point").alias("grp"), "outside"), "leaves")
+    if not rest.isEmpty():
+        groups = grown(groups, leaf_links(docs, rest, classes, sets))
+    for t in (*outers, members, rest):
+        discard(t)
     named = groups.selectExpr("node AS point", "component").join(classes.select("point", "rep"), "point")
-    least = materialize(named.groupBy("component").agg(F.min("rep").alias("least")), "least")
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
     grouped = groups.selectExpr("node AS point", "component").join(least, "component").select("point", "least")
     names = classes.select("point", "rep").join(grouped, "point", "left").select("point", F.coalesce("least", "rep").alias("component_id"))
-    done = every.join(materialize(names, "names"), "point", "left")
+    names = materialize(names, "names")
+    for t in (groups, classes):
+        discard(t)
+    done = every.join(names, "point", "left")
     return done.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("point").isNull(), F.col("doc_id"))).alias("component_id"))
 
 
