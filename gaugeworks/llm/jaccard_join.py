@@ -54,6 +54,8 @@ FILTER_BITS = (1 << 16, 1 << 27)
 #: Points of a region that one task holds at a time, and points of a share of a hot region.
 BLOCK = 1024
 SEEN_POINTS = 500_000
+#: So many pairs of points (32 bytes each) at most are sent to all executors, so that only their own sets are exchanged.
+FEW_PAIRS = 100_000
 
 
 class Powers:
@@ -109,6 +111,11 @@ def point_of(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
+def handle_of(point: bytes) -> int:
+    """The first half of a point, which stands for it in the exchange into regions."""
+    return int.from_bytes(point[:8], "little", signed=True)
+
+
 def parity(s: np.ndarray) -> bytes:
     """One bit for each of at least 2 |s| cells: whether an odd number of shingles falls there."""
     cells = 1 << max(6, int(2 * len(s) - 1).bit_length())
@@ -147,7 +154,8 @@ def batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-FIRST = pa.schema([("doc_id", pa.int64()), ("point", pa.binary()), ("n", pa.int64()), ("bits", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
+FIRST = pa.schema([("doc_id", pa.int64()), ("point", pa.binary()), ("handle", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
+FIRST_SQL = "doc_id long, point binary, handle long, n long, bits binary, part int, counts binary"
 
 
 def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,13 +169,14 @@ def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if held > COUNTERS:
                 counts += np.bincount(np.concatenate(cells), minlength=COUNTERS)
                 cells, held = [], 0
-            rows.append((doc, point_of(s) if len(s) else None, len(s), parity(s) if len(s) else None, None, None))
+            p = point_of(s) if len(s) else None
+            rows.append((doc, p, handle_of(p) if p else None, len(s), parity(s) if p else None, None, None))
         yield batch(FIRST, rows)
         rows = []
     if held:
         counts += np.bincount(np.concatenate(cells), minlength=COUNTERS)
     if counts.any():
-        yield batch(FIRST, [(None, None, None, None, k, packed(c)) for k, c in enumerate(counts.reshape(PARTS, -1))])
+        yield batch(FIRST, [(None, None, None, None, None, k, packed(c)) for k, c in enumerate(counts.reshape(PARTS, -1))])
 
 
 def packed(counts: np.ndarray) -> bytes:
@@ -199,47 +208,48 @@ def window(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def enter_regions(sent):
-    """text -> (region, share, point). A region that more than BLOCK documents enter by the sketch is dealt in shares
+    """text -> (region, share, handle). A region that more than BLOCK documents enter by the sketch is dealt in shares
     from 1 on; all others have share 0."""
-    kind = pa.schema([("region", pa.int64()), ("share", pa.int32()), ("point", pa.binary())])
+    kind = pa.schema([("region", pa.int64()), ("share", pa.int32()), ("handle", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sent.value, set()
         by_chance = counts.mean() if len(counts) else 0.0
         for b in batches:
-            regions, shares, points, times = [], [], [], []
+            regions, shares, handles = [], [], []
             for text in b.column(0).to_pylist():
                 s = shingles(text)
-                if not len(s) or (p := point_of(s)) in seen:
+                if not len(s) or (h := handle_of(point_of(s))) in seen:
                     continue
                 if len(seen) < SEEN_POINTS:
-                    seen.add(p)  # copies in the same task enter once
+                    seen.add(h)  # copies in the same task enter once
                 w = window(s, counts)
                 needs = np.ceil((counts[(w & np.uint64(COUNTERS - 1)).astype(np.int64)] - by_chance) / BLOCK)
                 regions.append(w.view(np.int64))
-                shares.append(np.where(needs > 1, 1 + int.from_bytes(p[:4], "little") % np.maximum(needs, 1), 0).astype(np.int32))
-                points.append(p), times.append(len(w))
+                shares.append(np.where(needs > 1, 1 + h % np.maximum(needs, 1), 0).astype(np.int32))
+                handles.append(np.full(len(w), h))
             if regions:
-                each = np.repeat(np.frombuffer(b"".join(points), "V16"), times)
-                ends = np.arange(len(each) + 1, dtype=np.int32) * 16
-                named = pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer(ends), pa.py_buffer(each)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(regions)), pa.array(np.concatenate(shares)), named], schema=kind)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (regions, shares, handles)], schema=kind)
 
     return run
 
 
-def form_regions(entered: DataFrame) -> DataFrame:
+def form_regions(entered: DataFrame, classes: DataFrame) -> DataFrame:
     """(region, pivot, point): the regions of more than one point, the pivot itself left out.
 
-    All rows are exchanged once. Regions of the same points get the same name, from their points' hashes."""
+    All rows are exchanged once. Regions of the same points get the same name, from their points' hashes. Two points of
+    one handle both come out wherever either went in, which adds candidates; they would miss each other only if they
+    were linked and shared 64 bits as well."""
     here = Window.partitionBy("region", "share")
-    low, high, mark = F.min("point").over(here), F.max("point").over(here), F.bit_xor(F.xxhash64("point")).over(here)
-    held = entered.select("region", "share", "point", low.alias("low"), high.alias("high"), mark.alias("mark")).where("share > 0 OR low <> high")
-    held = held.select(F.when(F.col("share") > 0, F.col("region")).otherwise(F.xxhash64("low", "high", "mark")).alias("region"), "point")
+    low, high, mark = F.min("handle").over(here), F.max("handle").over(here), F.bit_xor(F.xxhash64("handle")).over(here)
+    held = entered.select("region", "share", "handle", low.alias("low"), high.alias("high"), mark.alias("mark")).where("share > 0 OR low <> high")
+    held = held.select(F.when(F.col("share") > 0, F.col("region")).otherwise(F.xxhash64("low", "high", "mark")).alias("region"), "handle")
     held = materialize(held.distinct(), "held")
-    pivots = held.groupBy("region").agg(F.min("point").alias("pivot"), F.max("point").alias("last")).where("pivot <> last").select("region", "pivot")
-    members = materialize(held.join(pivots, "region").where("point <> pivot").select("region", "pivot", "point"), "members")
+    named = materialize(held.join(classes.select("handle", "point"), "handle").select("region", "point"), "named")
+    pivots = named.groupBy("region").agg(F.min("point").alias("pivot"), F.max("point").alias("last")).where("pivot <> last").select("region", "pivot")
+    members = materialize(named.join(pivots, "region").where("point <> pivot").select("region", "pivot", "point"), "members")
     discard(held)
+    discard(named)
     return members
 
 
@@ -311,7 +321,12 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def exact(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([difference(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(a, b, strict=True)], pa.int64())
 
-    both = pairs.join(sets.selectExpr("point AS a", "items AS x"), "a").join(sets.selectExpr("point AS b", "items AS y"), "b")
+    few = pairs.count() <= FEW_PAIRS
+    sent = F.broadcast if few else (lambda d: d)
+    x = sets.selectExpr("point AS a", "items AS x").join(sent(pairs), "a")
+    y = sets.selectExpr("point AS b", "items AS y")
+    y = y.join(sent(pairs.select("b").distinct()), "b", "left_semi") if few else y
+    both = x.join(y, "b")
     both = both.select("a", "b", ((F.length("x") + F.length("y")) / 8).alias("n"), F.arrow_udf(exact, "bigint")("x", "y").alias("apart"))
     return both.select("a", "b", (2 * F.col("apart") / (F.col("n") + F.col("apart"))).alias("d"), (9 * F.col("apart") <= F.col("n")).alias("linked"))
 
@@ -331,12 +346,16 @@ def bounds(members: DataFrame, classes: DataFrame) -> DataFrame:
 
 def ball_distances(near: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, d, linked) of near pairs. A point is compared with its least pivot first, and with others only if that leaves them apart."""
-    first = materialize(compare(near.groupBy("a").agg(F.min("b").alias("b")), sets), "first_pairs")
+    if near.isEmpty():
+        return materialize(near.selectExpr("a", "b", "0.0D AS d", "true AS linked"), "distances")
+    pairs = materialize(near.groupBy("a").agg(F.min("b").alias("b")), "pairs")
+    first = materialize(compare(pairs, sets), "first_pairs")
     root = lambda p: first.where("linked").selectExpr(f"a AS {p}", f"b AS r{p}")
     more = near.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-    rest = compare(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), sets)
-    out = materialize(first.unionAll(rest), "distances")
-    discard(first)
+    more = materialize(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), "more_pairs")
+    out = first if more.isEmpty() else materialize(first.unionAll(compare(more, sets)), "distances")
+    for t in (pairs, more, first) if out is not first else (pairs, more):
+        discard(t)
     return out
 
 
@@ -442,14 +461,20 @@ def by_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def leaf_links(docs: DataFrame, leaves: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """leaves (region, point, grp, outside) -> links (a, b). After the sketches, regions that are left with the same
+    points become one."""
     order = ["region", "block", "visits"]
     sketched = blocks_of(leaves).join(classes.select("point", "n", "bits"), "point").select(*order, "point", "grp", "n", "bits")
     left = sketched.repartition("region", "block").sortWithinPartitions(*order, "point").mapInArrow(by_sketch, "region long, point binary")
     left = materialize(left.distinct(), "left")
-    sets = sets_of(docs, left.select("point"), classes, sets)
-    rows = blocks_of(leaves.join(left, ["region", "point"], "left_semi")).join(sets, "point").select(*order, "point", "grp", "items")
+    names = left.groupBy("region").agg(F.min("point").alias("low"), F.max("point").alias("high"), F.bit_xor(F.xxhash64("point")).alias("mark"))
+    left_of = left.join(names, "region").select(F.xxhash64("low", "high", "mark").alias("region"), "point").distinct()
+    left_of = materialize(left_of.join(leaves.select("point", "grp").distinct(), "point").select("region", "point", "grp", F.lit(True).alias("outside")), "left_of")
+    sets = sets_of(docs, left_of.select("point"), classes, sets)
+    rows = blocks_of(left_of).join(sets, "point").select(*order, "point", "grp", "items")
     links = materialize(rows.repartition("region", "block").sortWithinPartitions(*order, "point").mapInArrow(by_items, "a binary, b binary"), "links")
     discard(left)
+    discard(left_of)
     return links
 
 
@@ -466,17 +491,19 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """(doc_id, n_shingles, component_id), a row for each row of df."""
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    first = materialize(docs.mapInArrow(first_pass, "doc_id long, point binary, n long, bits binary, part int, counts binary"), "first")
+    first = materialize(docs.mapInArrow(first_pass, FIRST_SQL), "first")
     every = first.where("part IS NULL").select("doc_id", "point", "n")
-    classes = materialize(first.where("point IS NOT NULL").groupBy("point").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits")), "classes")
+    classes = materialize(first.where("point IS NOT NULL").groupBy("point").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("handle").alias("handle")), "classes")
     sent = spark.sparkContext.broadcast(count_sketch(first))
-    members = form_regions(docs.select("text").mapInArrow(enter_regions(sent), "region long, share int, point binary"))
+    members = form_regions(docs.select("text").mapInArrow(enter_regions(sent), "region long, share int, handle long"), classes)
+    met = members.select("point").unionAll(members.select("pivot")).distinct()
+    candidates = materialize(classes.join(met, "point", "left_semi"), "candidates")
     groups = sets = None
     leaves, outers = [], []
     while True:
-        measured = materialize(bounds(members, classes), "measured")
+        measured = materialize(bounds(members, candidates), "measured")
         near = measured.where("near").select("a", "b")
-        sets = sets_of(docs, near.selectExpr("a AS point").unionAll(near.selectExpr("b AS point")), classes, sets)
+        sets = sets_of(docs, near.selectExpr("a AS point").unionAll(near.selectExpr("b AS point")), candidates, sets)
         distances = ball_distances(near, sets)
         groups = grown(groups, distances.where("linked").select("a", "b"))
         outer = outer_regions(members, measured, distances, groups)
@@ -490,8 +517,8 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rest = reduce(DataFrame.unionAll, leaves).select("region", "point", "outside")
     rest = materialize(rest.join(groups.selectExpr("node AS point", "component"), "point", "left").select("region", "point", F.coalesce("component", "point").alias("grp"), "outside"), "leaves")
     if not rest.isEmpty():
-        groups = grown(groups, leaf_links(docs, rest, classes, sets))
-    for t in (*outers, members, rest):
+        groups = grown(groups, leaf_links(docs, rest, candidates, sets))
+    for t in (*outers, members, rest, candidates):
         discard(t)
     named = groups.selectExpr("node AS point", "component").join(classes.select("point", "rep"), "point")
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
