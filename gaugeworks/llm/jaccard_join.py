@@ -10,7 +10,8 @@ d(x, y) = 1 - |x n y| / |x u y| is a metric. Two sets are linked when d <= 0.2,
    most a fifth of its shingles, so the boundary window is the first |x| - ceil(0.8 |x|) + 1 of them: two linked
    points always meet in a region of that window. Rows go to their regions in one exchange; regions of one point end
    there, regions that hold the same points become one, and a region that the sketch calls hot is dealt in shares.
-2. Pivots and balls. Each region takes a point as pivot and measures the others. A parity sketch (two bits or more a
+2. Pivots and balls. Each region takes as pivot the point that lies in the most regions, so that of many near copies the
+   one with the fewest changes of its own is taken, and measures the others. A parity sketch (two bits or more a
    shingle) bounds |x - y| from below and drops nearly all pairs that are apart; the rest are compared exactly. Points
    in the pivot's ball (d <= 0.2) are linked to it and need not be compared with each other, so a region of copies
    costs one comparison a copy.
@@ -41,7 +42,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, discard, materialize, table
@@ -234,8 +235,15 @@ def enter_regions(sent):
     return run
 
 
+def best_point(where: Column | None = None) -> Column:
+    """Aggregate: the most popular point, of those that tie the last."""
+    each = F.struct("popular", "point")
+    return F.max(each if where is None else F.when(where, each))["point"]
+
+
 def form_regions(entered: DataFrame, classes: DataFrame) -> DataFrame:
-    """(region, pivot, point): the regions of more than one point, the pivot itself left out.
+    """(region, pivot, point, popular): the regions of more than one point, the pivot itself left out; popular is the number
+    of a point's regions, and the pivot's is the largest.
 
     All rows are exchanged once. Regions of the same points get the same name, from their points' hashes. Two points of
     one handle both come out wherever either went in, which adds candidates; they would miss each other only if they
@@ -245,9 +253,11 @@ def form_regions(entered: DataFrame, classes: DataFrame) -> DataFrame:
     held = entered.select("region", "share", "handle", low.alias("low"), high.alias("high"), mark.alias("mark")).where("share > 0 OR low <> high")
     held = held.select(F.when(F.col("share") > 0, F.col("region")).otherwise(F.xxhash64("low", "high", "mark")).alias("region"), "handle")
     held = materialize(held.distinct(), "held")
-    named = materialize(held.join(classes.select("handle", "point"), "handle").select("region", "point"), "named")
-    pivots = named.groupBy("region").agg(F.min("point").alias("pivot"), F.max("point").alias("last")).where("pivot <> last").select("region", "pivot")
-    members = materialize(named.join(pivots, "region").where("point <> pivot").select("region", "pivot", "point"), "members")
+    popular = held.groupBy("handle").agg(F.count("*").alias("popular"))
+    names = classes.select("handle", "point").join(popular, "handle")
+    named = materialize(held.join(names, "handle").select("region", "point", "popular"), "named")
+    pivots = named.groupBy("region").agg(best_point().alias("pivot"), F.count("*").alias("k")).where("k > 1").select("region", "pivot")
+    members = materialize(named.join(pivots, "region").where("point <> pivot").select("region", "pivot", "point", "popular"), "members")
     discard(held)
     discard(named)
     return members
@@ -360,20 +370,20 @@ def ball_distances(near: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def outer_regions(members: DataFrame, measured: DataFrame, distances: DataFrame, groups: DataFrame) -> DataFrame:
-    """(region, pivot, point, grp, outside, halved) for regions that still have more than one group: points outside the
+    """(region, pivot, point, popular, grp, outside, halved) for regions that still have more than one group: points outside the
     old pivot's group, and those of its ball that lie in a window of one of them; the new pivot is one of the outside.
-    members: (region, pivot, point), the pivot itself left out."""
+    members: (region, pivot, point, popular), the pivot itself left out."""
     named = members.join(groups.selectExpr("node AS point", "component AS pg"), "point", "left").join(groups.selectExpr("node AS pivot", "component AS vg"), "pivot", "left")
-    named = named.selectExpr("region", "point", "pivot", "coalesce(pg, point) AS grp", "coalesce(vg, pivot) AS of_pivot").withColumn("outside", F.expr("grp <> of_pivot"))
+    named = named.selectExpr("region", "point", "popular", "pivot", "coalesce(pg, point) AS grp", "coalesce(vg, pivot) AS of_pivot").withColumn("outside", F.expr("grp <> of_pivot"))
     named = named.join(measured.selectExpr("a AS point", "b AS pivot", "far"), ["point", "pivot"])
     exact = distances.selectExpr("a AS point", "b AS pivot", "d", "linked")
-    named = named.join(exact, ["point", "pivot"], "left").selectExpr("region", "point", "grp", "outside", "coalesce(d, far) AS far", "CASE WHEN linked THEN d END AS d")
+    named = named.join(exact, ["point", "pivot"], "left").selectExpr("region", "point", "popular", "grp", "outside", "coalesce(d, far) AS far", "CASE WHEN linked THEN d END AS d")
     named = materialize(named, "named")
     opened = named.groupBy("region").agg(F.min(F.when(F.col("outside"), F.col("far"))).alias("nearest"), F.count("*").alias("k")).where("nearest IS NOT NULL AND k > 1")
     kept = named.join(opened, "region").where(F.col("outside") | F.col("d").isNull() | (F.col("d") >= F.col("nearest") - 0.2 - 1e-9))
-    kept = materialize(kept.select("region", "point", "grp", "outside", "k"), "kept")
-    left = kept.groupBy("region").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.min(F.when(F.col("outside"), F.col("point"))).alias("pivot"), (2 * F.count("*") <= F.max("k") + 1).alias("halved"))
-    out = materialize(kept.join(left.where("lo <> hi").select("region", "pivot", "halved"), "region").select("region", "pivot", "point", "grp", "outside", "halved"), "outer")
+    kept = materialize(kept.select("region", "point", "popular", "grp", "outside", "k"), "kept")
+    left = kept.groupBy("region").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), best_point(F.col("outside")).alias("pivot"), (2 * F.count("*") <= F.max("k") + 1).alias("halved"))
+    out = materialize(kept.join(left.where("lo <> hi").select("region", "pivot", "halved"), "region").select("region", "pivot", "point", "popular", "grp", "outside", "halved"), "outer")
     for t in (named, kept):
         discard(t)
     return out
@@ -511,7 +521,7 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             discard(t)
         outers.append(outer)
         leaves.append(outer.where("NOT halved").withColumn("region", F.xxhash64("region", F.lit(len(leaves)))))
-        members = materialize(outer.where("halved AND point <> pivot").select("region", "pivot", "point"), "members")
+        members = materialize(outer.where("halved AND point <> pivot").select("region", "pivot", "point", "popular"), "members")
         if members.isEmpty():
             break
     rest = reduce(DataFrame.unionAll, leaves).select("region", "point", "outside")

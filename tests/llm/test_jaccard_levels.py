@@ -12,7 +12,7 @@ def test_regions_join_recursively(spark, monkeypatch):
     for story in range(8):
         piece = [f"s{story}p{i}" for i in range(12)]
         for family, holders in enumerate((20, 8, 3, 1)):
-            own = [f"s{story}f{family}w{i}" for i in range(60)]
+            own = [f"s{story}f{family}w{i}" for i in range(120)]
             for c in range(40):
                 w = [*own, *piece] if c < holders else own[:]
                 w[5 + c] = f"c{c}"
