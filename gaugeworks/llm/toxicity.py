@@ -13,6 +13,8 @@ id, so its size doesn't grow with the input.
 
 Defined results: null and empty texts get the curve's value without any evidence; texts are read whole; without usable
 labels every score is 0; of repeated labels for a document the largest counts; labels that are null teach nothing.
+Equal texts, repeated rows among them, get equal scores; rows of the sample that tie in its hash are taken by id; an
+empty table gives no rows. score_toxicity() replaces columns named score and predicted and keeps all others.
 """
 
 from __future__ import annotations
@@ -30,8 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, materialize, table
 
-SAMPLE, CALIBRATION = 20_000, 5_000
-MARKERS = 50_000
+SAMPLE = 20_000
 THRESHOLD = 0.3
 HELD_WORDS = 200_000
 PREFIXES = (4, 5)
@@ -93,25 +94,38 @@ class Characters:
         return v
 
 
-def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) -> (gram, n): character trigrams of this task's words, each word led by two blanks and ended by one."""
-    held: Counter = Counter()
-
-    def flush() -> pa.RecordBatch:
-        grams: Counter = Counter()
-        for w, n in held.items():
-            padded = f"  {w} "
-            for i in range(len(padded) - 2):
-                grams[padded[i : i + 3]] += n
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(list(map(gram_number, grams)), pa.int64()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
+def letters_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct letters among code points, and for each code point its letter's number from 1 on, 0 for all else."""
+    found, at = np.unique(codes, return_inverse=True)
+    is_letter = np.array([bool(LETTERS.fullmatch(chr(c))) for c in found], bool)
+    number = np.where(is_letter, np.cumsum(is_letter), 0)
+    return found[is_letter], number[at]
+
+
+def trigrams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and counts of the trigrams of all words, each word led by two blanks and ended by one."""
+    codes = np.frombuffer(" ".join(["", "", *texts, "", ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters, c = letters_of(codes)
+    before, after = c[1:-1], c[2:]  # the character before each place from 2 on, and the one there
+    first = np.where(before > 0, c[:-2], 0)
+    ours = (after > 0) | (before > 0)
+    base = len(letters) + 1
+    key = (first[ours].astype(np.int64) * base + before[ours]) * base + after[ours]
+    if base**3 <= 1 << 22:
+        n = np.bincount(key, minlength=base**3)
+        key = np.flatnonzero(n)
+        n = n[key]
+    else:
+        key, n = np.unique(key, return_counts=True)
+    code = np.concatenate([[ord(" ")], letters]).astype(np.int64)
+    return code[key // base**2] << 2 * BITS | code[key // base % base] << BITS | code[key % base], n
+
 
+def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) -> (gram, n): character trigrams of each batch's words."""
     for b in batches:
-        for text in b.column("text").to_pylist():
-            held.update(LETTERS.findall(text.lower()) if text else ())
-        if len(held) > HELD_WORDS:
-            yield flush()
-    yield flush()
+        grams, n = trigrams_of([t.lower() for t in b.column("text").to_pylist() if t])
+        yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], ["gram", "n"])
 
 
 def learn_characters(docs: DataFrame) -> Characters:
@@ -198,17 +212,6 @@ def words_in(token: str, model: Characters) -> list[str]:
     return found
 
 
-def readings_of(core: str, most: int = 16) -> list[str] | None:
-    """All that the lattice can read a token of letters alone as; None if these are more than most."""
-    out = [""]
-    for run in RUNS.finditer(core):
-        ways = [run[1]] if len(run[0]) == 1 else [run[1], run[1] * 2]
-        out = [a + b for a in out for b in ways]
-        if len(out) > most:
-            return None
-    return out
-
-
 def spaced_words(text: str) -> list[str]:
     """Letters and signs spelled with white space between them, a blank for each gap; words_in() reads them."""
     return [" ".join(m[0].split()) for m in SPACED.finditer(text)]
@@ -220,7 +223,7 @@ def tokens_of(text: str | None) -> set[str]:
     low = text.lower()
     split = low.split()
     tokens = set(split)
-    if sum(len(t) <= 2 for t in split) >= 3:
+    if len([t for t in split if len(t) <= 2]) >= 3:
         tokens.update(spaced_words(low))
     return tokens
 
@@ -229,39 +232,69 @@ def features_of(word: str) -> list[str]:
     return [f"={word}", *(word[:n] for n in PREFIXES if len(word) >= n)]
 
 
-def count_features(model: Characters):
+def count_features(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked, clean = Counter(), Counter()
+        marked, clean, known = Counter(), Counter(), {}
+
+        def features(token: str) -> tuple[str, ...]:
+            if (f := known.get(token)) is None:
+                if len(known) > HELD_WORDS:
+                    known.clear()
+                f = known[token] = tuple({f for w in words_in(token, sent.value) for f in features_of(w)})
+            return f
+
         for b in batches:
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                (marked if toxic else clean).update({f for t in tokens_of(text) for w in words_in(t, model) for f in features_of(w)})
+                (marked if toxic else clean).update({f for t in tokens_of(text) for f in features(t)})
         every = list(marked | clean)
         yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([marked[f] for f in every], pa.int64()), pa.array([clean[f] for f in every], pa.int64())], ["feature", "marked", "clean"])
 
     return run
 
 
-class Scorer:
-    def __init__(self, model: Characters, weights: dict[str, float], curve: tuple[float, float, float] | None):
-        self.model, self.weights, self.curve, self.memo = model, weights, curve, {}
+def folded(word: str) -> str:
+    """With one letter for each run of it: all readings of a word of letters have the same."""
+    return RUNS.sub(r"\1", word) if REPEAT.search(word) else word
 
-    def weight(self, token: str) -> float:
-        if (w := self.memo.get(token)) is None:
-            if len(self.memo) > HELD_WORDS:
-                self.memo.clear()
-            w = self.memo[token] = self.strongest(token)
-        return w
 
-    def strongest(self, token: str) -> float:
+class Scorer:
+    """Scores texts. A token of letters alone is skipped unless some reading of it can begin as a marker does."""
+
+    def __init__(self, model: Characters, weights: dict[str, float], curve: tuple[float, float, float] | None):
+        self.model, self.weights, self.curve, self.memo, self.decoded = model, weights, curve, {}, {}
+        self.whole = {folded(f[1:]) for f in weights if f[0] == "="}
+        self.begins = {folded(f) for f in weights if f[0] != "="}
+        self.sizes = sorted({len(f) for f in self.begins}, reverse=True)
+
+    def may_mark(self, core: str) -> bool:
+        core = folded(core)
+        if core in self.whole:
+            return True
+        for n in self.sizes:
+            if core[:n] in self.begins:
+                return True
+        return False
+
+    def weigh(self, token: str) -> float:
+        if len(self.memo) > HELD_WORDS:
+            self.memo.clear()
         core = token.strip(EDGE)
-        if core.isalpha() and (every := readings_of(core)) and not any(f in self.weights for word in (core, *every) for f in features_of(word)):
-            return 0.0  # whichever reading is the likeliest
-        return max((self.weights.get(f, 0.0) for word in words_in(token, self.model) for f in features_of(word)), default=0.0)
+        if core.isalpha() and not self.may_mark(core):
+            w = 0.0
+        elif (w := self.decoded.get(token)) is None:
+            if len(self.decoded) > HELD_WORDS:
+                self.decoded.clear()
+            w = self.decoded[token] = max((self.weights.get(f, 0.0) for word in words_in(token, self.model) for f in features_of(word)), default=0.0)
+        self.memo[token] = w
+        return w
 
     def evidence(self, text: str | None) -> tuple[float, float]:
         """The strongest token's log-odds, and the logarithm of the total."""
-        found = [w for w in map(self.weight, tokens_of(text)) if w]
-        return max(found, default=0.0), math.log1p(sum(found))
+        found, known = [], self.memo.get
+        for t in tokens_of(text):
+            if w := (self.weigh(t) if (k := known(t)) is None else k):
+                found.append(w)
+        return max(found, default=0.0), math.log1p(math.fsum(found))
 
     def score(self, text: str | None) -> float:
         if self.curve is None:
@@ -297,20 +330,22 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     chosen = materialize(usable.orderBy(order, "doc_id").limit(sample), "labelled")
     rows = docs.join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL")
     rows = materialize(rows.groupBy("text").agg(F.max("toxic").cast("boolean").alias("toxic")).withColumn("part", F.pmod(F.xxhash64("text"), F.lit(4))), "sample")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     size = {r["toxic"]: r["count"] for r in rows.where("part < 3").groupBy("toxic").count().collect()}
     if len(size) < 2:
         return model, {}, None
-    counted = rows.where("part < 3").select("text", "toxic").mapInArrow(count_features(model), "feature string, marked long, clean long")
+    counted = rows.where("part < 3").select("text", "toxic").mapInArrow(count_features(sent), "feature string, marked long, clean long")
     counted = counted.groupBy("feature").agg(F.sum("marked").alias("marked"), F.sum("clean").alias("clean")).where("marked >= 2")
     counted = counted.withColumn("w", log_odds(F.col("marked"), F.col("clean"), size[True], size[False])).where("w > 1.5")
-    weights = {r["feature"]: r["w"] for r in counted.orderBy(F.desc(F.col("marked") * F.col("w")), "feature").limit(MARKERS).collect()}
+    weights = {r["feature"]: r["w"] for r in counted.select("feature", "w").collect()}
+    sent, key = docs.sparkSession.sparkContext.broadcast((model, weights, None)), uuid.uuid4().hex
 
     def evidence(texts: pa.Array) -> pa.Array:
-        scorer = Scorer(model, weights, None)
+        scorer = scorer_for(key, sent)
         found = [scorer.evidence(t.as_py()) for t in texts]
         return pa.array([list(f) for f in found], pa.list_(pa.float64()))
 
-    held = rows.where("part = 3").select("toxic", F.arrow_udf(evidence, "array<double>")("text").alias("x")).limit(CALIBRATION).collect()
+    held = rows.where("part = 3").select("toxic", F.arrow_udf(evidence, "array<double>")("text").alias("x")).collect()
     y = np.array([float(r["toxic"]) for r in held])
     if not len(y) or y.min() == y.max():
         return model, weights, (-4.0, 1.0, 0.0)
@@ -329,7 +364,7 @@ def scorer_for(key: str, sent) -> Scorer:
 
 
 def toxicity_score(spark: SparkSession, learned, text: str = "text") -> Column:
-    """The score of a text column, 0 to 1. The markers sent to the executors are bounded by MARKERS; the
+    """The score of a text column, 0 to 1. The markers sent to the executors come from SAMPLE labelled texts; the
     character model has 12 bytes for each distinct n-gram of the corpus."""
     sent, key = spark.sparkContext.broadcast(learned), uuid.uuid4().hex
 
