@@ -2,16 +2,17 @@
 
 Pieces are placed by a plan made from the histogram of their lengths alone: at most `capacity` numbers, whatever the
 input's size. For the longest length left, the plan looks up single lengths, then pairs, then triples of lengths that
-fill the gap exactly, and takes the combination as often as the counts allow; what is left is packed best fit, the
-longest length that fits first. A rule of the plan says: ranks lo..hi of a length go to these sequences and offsets.
-Spark then ranks each length's pieces and looks each rank up.
+fill the gap exactly, and takes the combination as often as the counts allow; a length without such a combination is
+packed best fit, the longest length that fits first. A rule of the plan says: ranks lo..hi of a length go to these
+sequences and offsets. Spark then ranks each length's pieces and looks each rank up.
 
-Ranks come from a hash of the piece: each length is dealt over buckets, rows are ranked in a bucket and offset by the
-counts of the buckets before it, so a length that a third of all pieces share is still many small groups.
+Each length is dealt over buckets by a hash of the piece and its row, rows are ranked in a bucket and offset by the
+counts of the buckets before it, so a length that a third of all pieces share is still many small groups, and so are
+repeated rows.
 
 Defined results: null text is empty, and an empty text is one piece holding only the end id; repeated rows are
-packed each; an empty table gives no piece. Only documents longer than the capacity are cut; their first piece is the
-short one.
+packed each; lengths that tie are ranked by id; an empty table gives no piece. Only documents longer than the capacity
+are cut; their first piece is the short one. Other columns stay; those that have the name of a result are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 import base64
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -57,7 +58,8 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def tokenize(df: DataFrame, text: str = "text", ranks_path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
-    """df's columns but the text, once for each piece, with piece, start, length, ids_crc32 and ids (little-endian 32-bit)."""
+    """df's columns but the text, once for each piece, with piece, start, length, ids_crc32 and ids (little-endian 32-bit).
+    Columns of df with these names are replaced."""
     ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     kind = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())]))
 
@@ -70,7 +72,8 @@ def tokenize(df: DataFrame, text: str = "text", ranks_path: str | None = None, c
             out.append([{"piece": k, "start": s, "length": n, "ids_crc32": zlib.crc32(raw[4 * s : 4 * (s + n)]), "ids": raw[4 * s : 4 * (s + n)] if keep_ids else None} for k, (s, n) in enumerate(cut(len(ids), capacity))])
         return pa.array(out, kind)
 
-    keep = [f"`{c}`" for c in df.columns if c != text]
+    made = {part.split()[0] for part in PIECES.split(", ")}
+    keep = [f"`{c}`" for c in df.columns if c != text and c not in made]
     return df.select(*keep, F.explode(pieces(F.col(text))).alias("_p")).select(*keep, "_p.*")
 
 
@@ -97,58 +100,65 @@ class Lengths:
         return self.order[at - 1] if at else None
 
 
-def pairs_for(lengths: Lengths, total: int) -> Iterator[tuple[int, int]]:
-    """Pairs of available lengths with this sum, the most unequal first."""
-    for b in lengths.order[::-1]:
-        if b < total and 2 * b >= total and total - b in lengths.n:
-            yield b, total - b
-
-
-def triples_for(lengths: Lengths, total: int) -> Iterator[tuple[int, int, int]]:
-    for b in lengths.order[::-1]:
-        if b < total and 3 * b >= total:
-            for c, d in pairs_for(lengths, total - b):
-                if c <= b:
-                    yield b, c, d
-
-
-def plan_by(counts: dict[int, int], capacity: int, searches: tuple) -> list[tuple[tuple[int, ...], int]]:
-    """Fill gaps exactly with what the searches yield, the longest length first, then best fit for the rest."""
-    left, out = Lengths(counts), []
-
-    def use(combo: tuple[int, ...]) -> None:
-        if times := left.take(combo):
-            out.append((combo, times))
-
-    for a in sorted(left.n, reverse=True):
-        if a == capacity:
-            use((a,))
-        if a in left.n and capacity - a in left.n:
-            use((a, capacity - a))
-        for search in searches:
-            found = a in left.n
-            while found and a in left.n:
-                found = next((c for c in search(left, capacity - a) if all(left.n.get(k, 0) >= (a, *c).count(k) for k in c)), None)
-                if found:
-                    use((a, *found))
-    while left.n:
-        combo, gap = (), capacity
-        while (k := left.longest(gap)) is not None:
-            if left.n[k] <= combo.count(k):
-                fits = [x for x in left.order if x <= gap and left.n[x] > combo.count(x)]
-                if not fits:
-                    break
-                k = fits[-1]
-            combo, gap = (*combo, k), gap - k
-        use(combo)
-    return out
+class Sums:
+    """The single lengths and the pairs of lengths by their sum, the most unequal pair last. A triple is looked up as
+    its longest length and the pair that completes it, so that its sums need no table of their own."""
+
+    def __init__(self, left: Lengths, capacity: int):
+        self.left, self.pairs = left, defaultdict(list)
+        for i, b in enumerate(left.order):
+            for c in left.order[: min(i, bisect_left(left.order, capacity - b + 1) - 1) + 1]:
+                self.pairs[b + c].append((b, c))
+
+    def there(self, combo: tuple[int, ...]) -> bool:
+        return all(self.left.n.get(k, 0) >= combo.count(k) for k in combo)
+
+    def pair(self, total: int, most: int, beside: tuple[int, ...]) -> tuple[int, int] | None:
+        """A pair of this sum with no length above `most` that is there beside the lengths already taken."""
+        found = self.pairs.get(total, [])
+        while found and not self.there(found[-1]):
+            found.pop()  # used up for good
+        return next((p for p in reversed(found) if p[0] <= most and self.there((*beside, *p))), None)
+
+    def filling(self, a: int, gap: int) -> tuple[int, ...] | None:
+        """a and one, two or three lengths that fill the gap exactly. The longest of them is the one that best fit
+        would take, so that short lengths are not used up where a long one fits."""
+        if not gap:
+            return (a,)
+        if self.there((a, gap)):
+            return a, gap
+        k = self.left.longest(gap)
+        if k is None or not self.there((a, k)):
+            return None
+        if self.there((a, k, gap - k)):
+            return a, k, gap - k
+        rest = self.pair(gap - k, k, (a, k))
+        return (a, k, *rest) if rest else None
+
+
+def best_fit(left: Lengths, capacity: int) -> tuple[int, ...]:
+    """The longest length left, and again and again the longest one that fits beside it."""
+    combo, gap = (), capacity
+    while (k := left.longest(gap)) is not None:
+        if left.n[k] <= combo.count(k):
+            fits = [x for x in left.order if x <= gap and left.n[x] > combo.count(x)]
+            if not fits:
+                break
+            k = fits[-1]
+        combo, gap = (*combo, k), gap - k
+    return combo
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths that share a sequence, number of such sequences), from the counts of the lengths. Exact pairs and
-    triples can use up short lengths that later gaps need, so the plan with the fewest sequences is kept, of those
-    that fill gaps with singles, with pairs too, and with triples too."""
-    return min((plan_by(counts, capacity, (pairs_for, triples_for)[:n]) for n in range(3)), key=lambda p: sum(times for _, times in p))
+    """(lengths that share a sequence, number of such sequences), from the counts of the lengths: for the longest
+    length left an exact filling as often as the counts allow, or best fit where there is none."""
+    left = Lengths(counts)
+    sums, out = Sums(left, capacity), []
+    while left.n:
+        a = left.order[-1]
+        combo = sums.filling(a, capacity - a) or best_fit(left, capacity)
+        out.append((combo, left.take(combo)))
+    return out
 
 
 def rules(planned: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
@@ -169,17 +179,21 @@ def rules(planned: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (with doc_id, piece, length, ids_crc32) -> the same rows with sequence_id and offset.
 
-    pieces must be a written table: it is read for the histogram and again for the ranks. The histogram that comes to
-    the driver has at most `capacity` rows."""
-    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    The pieces are written with their bucket, as they are read for the histogram and again for the ranks. The histogram
+    that comes to the driver has at most `capacity` rows. Columns named sequence_id and offset are replaced."""
+    kept = [f"`{c}`" for c in pieces.columns if c not in ("sequence_id", "offset")]
+    row = lambda name: F.col(f"row.{name}")
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(1 << 40))
+    dealt = materialize(pieces.select(F.struct(*kept).alias("row"), F.col("length").alias("n"), salt.alias("salt")), "dealt")
+    counts = {r["n"]: r["count"] for r in dealt.groupBy("n").count().collect()}
     table_of = rules(plan(counts, capacity))
     buckets = max(1, -(-max(counts.values(), default=0) // BUCKET_ROWS))
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(7)), F.lit(buckets)))
-    per = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    ranked = dealt.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")))
-    ranked = ranked.join(offsets, ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_row") - 1)
+    dealt = dealt.withColumn("bucket", F.col("salt") % buckets)
+    per = dealt.groupBy("n", "bucket").agg(F.count("*").alias("size"))
+    before = Window.partitionBy("n").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select("n", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    ranked = dealt.withColumn("at", F.row_number().over(Window.partitionBy("n", "bucket").orderBy(row("doc_id"), row("piece"), row("ids_crc32"))))
+    ranked = ranked.join(offsets, ["n", "bucket"]).select("row", "n", (F.col("before") + F.col("at") - 1).alias("rank"))
 
     @F.arrow_udf("struct<sequence_id:bigint,offset:bigint>")
     def place(length: pa.Array, rank: pa.Array) -> pa.Array:
@@ -190,9 +204,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         uses = table_of["uses"][at]
         return pa.StructArray.from_arrays([pa.array(table_of["first"][at] + k // uses), pa.array(table_of["at"][at] + k % uses * n)], ["sequence_id", "offset"])
 
-    return ranked.withColumn("_p", place("length", "_rank")).select(*[f"`{c}`" for c in pieces.columns], "_p.*")
+    return ranked.select("row", place("n", "rank").alias("placed")).select(*(row(c) for c in kept), "placed.*")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_ids=False)
-    return pack(materialize(pieces.drop("ids"), "pieces"))
+    return pack(tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_ids=False).drop("ids"))

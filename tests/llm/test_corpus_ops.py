@@ -90,6 +90,20 @@ def test_plan_places_every_length_once(lengths):
     assert made == counts
 
 
+def test_plan_is_no_worse_than_best_fit_and_uses_pairs_and_triples():
+    rnd = random.Random(3)
+    for sizes in ([rnd.randint(200, 700) for _ in range(3000)], [min(1024, 1 + int(rnd.lognormvariate(5.5, 1))) for _ in range(3000)]):
+        counts = Counter(sizes)
+        planned = packing.plan(counts)
+        left, plain = packing.Lengths(counts), 0
+        while left.n:
+            plain += left.take(packing.best_fit(left, 1024))
+        assert sum(t for _, t in planned) <= plain
+        assert sum(t for c, t in planned if len(c) in (3, 4) and sum(c) == 1024) > 20
+    assert packing.plan({70: 1, 20: 1, 10: 1}, 100) == [((70, 20, 10), 1)]
+    assert packing.plan({60: 1, 22: 1, 13: 1, 5: 1}, 100) == [((60, 22, 13, 5), 1)]
+
+
 def test_plan_fills_gaps_exactly():
     assert sum(t for _, t in packing.plan({60: 5, 40: 5, 30: 10, 70: 2, 20: 2, 10: 2}, 100)) == 10
     assert sum(t for _, t in packing.plan(dict.fromkeys(range(1, 101), 3), 100)) == pytest.approx(3 * 5050 / 100, abs=2)
@@ -104,6 +118,16 @@ def test_ids_are_the_tokenizers(text):
     assert packing.token_ids(text, public_tokenizers.path("byte_bpe_50k.tiktoken")).tolist() == want
 
 
+def test_packing_with_clashing_columns_and_repeated_rows(spark):
+    names = ["length", "piece", "start", "ids_crc32", "offset", "sequence_id", "bucket", "row", "n", "salt"]
+    df = spark.createDataFrame([(1, "a b c", *[9] * len(names))] * 3 + [(None, None, *[9] * len(names))] * 5000, ["doc_id", "text", *names])
+    made = packing.pack(packing.tokenize(df.repartition(3), keep_ids=False).drop("ids"))
+    assert sorted(made.columns) == sorted({"doc_id", *names, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"})
+    rows = made.collect()
+    assert len(rows) == 5003 and {r["length"] for r in rows if r["doc_id"] is None} == {1} and {(r["bucket"], r["row"], r["n"], r["salt"]) for r in rows} == {(9, 9, 9, 9)}
+    assert check_packed(rows, [(1, "a b c")] * 0) == 5
+
+
 def check_packed(rows, texts):
     by_sequence, by_doc = defaultdict(list), defaultdict(list)
     for r in rows:
