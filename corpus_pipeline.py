@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import materialize, table
+from gaugeworks.llm.common import discard, materialize, table
 from gaugeworks.llm.jaccard_join import similar_groups
 from gaugeworks.llm.mixing import mix, word_count
 from gaugeworks.llm.packing import pack, tokenize
@@ -54,7 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row a piece."""
     ship(spark)
-    return pack(materialize(tokenize(docs.select("doc_id", "text"), keep_ids=False).drop("ids"), "pieces"))
+    return pack(tokenize(docs.select("doc_id", "text"), keep_ids=False).drop("ids"))
 
 
 STAGES = [
@@ -72,5 +72,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ship(spark), sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
