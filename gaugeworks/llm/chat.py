@@ -3,9 +3,11 @@
 A turn becomes `### role: text</turn>` and a line feed. Texts may hold the template's own control strings: a
 backslash is put before each of them (and before each backslash), so the output can always be read back.
 
-Defined results: null text or content is empty; a null role is empty; turns are ordered by (turn, role, content),
-null turns first; repeated rows are repeated turns; rows with a null conversation id form one conversation. A
-conversation is one output value, so it is built in one place; rows of other conversations never are.
+Defined results: null text or content is empty, a null part is nothing, a part of an unknown or null type is text; a
+null role is empty; turns are ordered by (turn, role, content), null turns first, so ties have an order too; repeated
+rows are repeated turns; rows with a null conversation id form one conversation; texts are read whole; an empty table
+gives no rows. Columns other than the four named are not read, so their names can't clash. A conversation is one output
+value, so it is built in one place; rows of other conversations never are.
 """
 
 from __future__ import annotations
@@ -77,7 +79,8 @@ class Visitor:
         self.turn += 1
         self.put(OPEN + escape(role, ROLE_CONTROL) + BETWEEN)
         for part in parts:
-            getattr(self, f"visit_{part['type']}", self.visit_text)(part, role == self.loss_role)
+            if part is not None:
+                VISITS.get(part["type"], Visitor.visit_text)(self, part, role == self.loss_role)
         self.put(CLOSE + "\n")
 
     def visit_text(self, part: dict, scored: bool) -> None:
@@ -102,6 +105,10 @@ class Visitor:
         self.attach(part, (part["pages"] or 0) * self.rates.document_page)
 
 
+#: What is done with a part of each type.
+VISITS = {"text": Visitor.visit_text, "image": Visitor.visit_image, "audio": Visitor.visit_audio, "document": Visitor.visit_document}
+
+
 def format_turns(turns: list[dict], rates: TokenRates, loss_role: str) -> dict:
     v = Visitor(rates, loss_role)
     for t in turns:
