@@ -6,7 +6,9 @@ source (content) and the sink (boilerplate). Neighbouring blocks, and blocks und
 smoothness edges that are stronger the closer the two lie in the tree. The minimum cut labels the blocks.
 
 Defined results: null or empty html, and a page without main text, give an empty text; html of any length is read
-whole; broken markup is read as far as it can be; repeated rows get equal results; other columns stay.
+whole; broken markup is read as far as it can be; repeated rows get equal results; an empty table gives no rows; a
+block whose two costs tie, with no edge that decides, is boilerplate. Other columns stay, but one with the name of the
+result is replaced and the page itself is dropped.
 """
 
 from __future__ import annotations
@@ -51,6 +53,8 @@ MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']{1,4096}+|\"[^\"]{0,8192}+\"|'[^']{0,8192}+'){0,256}+|[^>]*+)>",
     re.S,
 )
+#: Where the raw text of such an element ends. Searched in the page itself, as lower case can have other offsets.
+RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)")
 NAME_PART = re.compile(r"[A-Za-z]+")
@@ -110,7 +114,6 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     pieces: list[str] = []
     linked = 0
-    lower = page.lower()
 
     def end_block() -> None:
         nonlocal linked
@@ -168,8 +171,8 @@ def blocks_of(page: str) -> list[Block]:
                 e.keeps = True
                 e = e.up
         if tag in RAW:
-            close = lower.find(f"</{tag}", at)
-            at = len(page) if close < 0 else close
+            close = RAW_END[tag].search(page, at)
+            at = close.start() if close else len(page)
     say(page[at:tail] if at <= tail else "")
     end_block()
     return out
