@@ -1,7 +1,8 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products in cells, one representative for each group.
 
 1. Equal vectors become one point that counts as often as it occurs, so copies are never compared with each other.
-2. Spherical k-means is fitted on at most SAMPLE points, the first by a hash of the vector; every point is assigned.
+2. Spherical k-means with sqrt(n) / SPREAD cells for n points is fitted on about SAMPLE points, chosen by a hash of the
+   vector; every point is assigned.
 3. Two unit vectors with cosine >= t are at most w = sqrt(2 - 2 t) apart. If y lives in cell c, then y (c - c') >= 0
    for any other centre c', so a linked x has x (c - c') >= -w |c - c'|. A point therefore visits exactly the cells
    whose boundary lies within w of it: no link is lost, whatever the cells look like. The recall is 1.
@@ -11,7 +12,8 @@
 
 Vectors of different dimensions never link. Defined results: null vectors, zero vectors and vectors with null or
 non-finite components have no links and stand for themselves; repeated rows are linked copies; an id that is null gets
-a row too and names a component only if it is alone; an empty table gives an empty result.
+a row too and names a component only if it is alone; a cosine that ties with the threshold links; an empty table gives
+an empty result. Columns other than the id and the vector are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize, table
 
 THRESHOLD = 0.95
-#: The fit's sample, the rows wanted in a cell, the most cells, and the rows of a block.
-SAMPLE, CELL, CELLS, BLOCK = 20_000, 16_384, 1024, 8192
+#: The fit's sample, the most cells, and the rows of a block. n points have sqrt(n) / SPREAD cells.
+SAMPLE, CELLS, BLOCK, SPREAD = 20_000, 1024, 8192, 16
 ROUNDS = 8
 #: Visitors that meet a block in one matrix product.
 PANEL = 256
@@ -41,13 +43,11 @@ def unit_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, keys, dims, units = b.column(0), [], [], []
         for v in b.column(1).to_pylist():
             x = np.array(v, dtype=np.float64) if v and None not in v else np.zeros(0)
-            size = float(np.sqrt(x @ x)) if x.size and np.isfinite(x).all() else 0.0
-            if size and not math.isfinite(size):
-                x = x / np.abs(x).max()
-                size = float(np.sqrt(x @ x))
-            if size:
+            if x.size and np.isfinite(x).all() and x.any():
                 x = x + 0.0
-                keys.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest()), dims.append(len(x)), units.append((x / size).tobytes())
+                key = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+                x = np.ldexp(x, -np.frexp(np.abs(x).max())[1])  # exact, and its squares neither overflow nor vanish
+                keys.append(key), dims.append(len(x)), units.append((x / np.sqrt(x @ x)).tobytes())
             else:
                 keys.append(None), dims.append(None), units.append(None)
         yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(units, pa.binary())], ["vec_id", "key", "dim", "unit"])
@@ -65,17 +65,32 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return centres
 
 
-def fit_cells(points: DataFrame, sample: int = SAMPLE) -> dict[int, np.ndarray]:
-    """Centres by dimension. The sample of at most `sample` points comes to the driver, and so do the dimensions' counts."""
+def cells_for(n: int) -> int:
+    return max(1, min(CELLS, math.ceil(math.sqrt(n) / SPREAD)))
+
+
+def fit_cells(points: DataFrame, sample: int = SAMPLE) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By dimension, the centres and the distances between them; dimensions with a single cell are left out.
+
+    Per dimension a share of the points, by a hash, comes to the driver: `sample` of them, give or take their root."""
+    sizes = {r["dim"]: r["count"] for r in points.groupBy("dim").count().where(F.col("count") > SPREAD * SPREAD).collect()}
+    if not sizes:
+        return {}
+    share = F.create_map(*(F.lit(v) for d, n in sizes.items() for v in (d, min(1.0, sample / n))))
+    chosen = points.where(F.col("dim").isin(*sizes)).where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < share[F.col("dim")] * (1 << 30))
+    drawn: dict[int, list] = {}
+    for r in chosen.select("dim", "key", "unit").collect():
+        drawn.setdefault(r["dim"], []).append((r["key"], r["unit"]))
     out = {}
-    for r in points.groupBy("dim").count().orderBy(F.desc("count")).collect():
-        rows = points.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("key")).limit(sample).select("unit").collect()
-        x = np.stack([np.frombuffer(v["unit"]) for v in rows])
-        out[r["dim"]] = spherical_kmeans(x, max(1, min(CELLS, len(x), -(-r["count"] // CELL))))
+    for d, rows in drawn.items():
+        centres = spherical_kmeans(np.stack([np.frombuffer(u) for _, u in sorted(rows)]), min(len(rows), cells_for(sizes[d])))
+        square = (centres * centres).sum(axis=1)
+        out[d] = centres, np.sqrt(np.maximum(0.0, square[:, None] + square[None] - 2 * centres @ centres.T))
     return out
 
 
 def assign(sent, width: float):
+    """(dim, point, copies, unit) -> the same with each cell that a point visits. A dimension without centres is one cell."""
     kind = pa.schema([("dim", pa.int32()), ("cell", pa.int32()), ("home", pa.bool_()), ("point", pa.int64()), ("copies", pa.int64()), ("unit", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,8 +99,7 @@ def assign(sent, width: float):
             dims, points, copies, units = (b.column(i).to_pylist() for i in range(4))
             rows = []
             for d in sorted(set(dims)):
-                centres = cells[d]
-                gaps = np.linalg.norm(centres[:, None] - centres[None], axis=2)
+                centres, gaps = cells.get(d, (np.zeros((1, d)), np.zeros((1, 1))))
                 for i in (i for i, x in enumerate(dims) if x == d):
                     s = centres @ np.frombuffer(units[i])
                     home = int(np.argmax(s))
@@ -171,8 +185,8 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
     every = materialize(rows.mapInArrow(unit_vectors, "vec_id long, key binary, dim int, unit binary"), "units")
     points = every.where("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.max("dim").alias("dim"), F.max("unit").alias("unit"))
-    # Inside the join a point is named by a hash of its vector: ids may be null or repeat.
-    points = materialize(points.withColumn("point", F.xxhash64("key")), "points")
+    # Inside the join a point is named by its row in the written table: ids may be null or repeat.
+    points = materialize(points.withColumn("point", F.monotonically_increasing_id()), "points")
     sent = spark.sparkContext.broadcast(fit_cells(points))
     width = math.sqrt(max(0.0, 2 - 2 * threshold))
     placed = materialize(points.select("dim", "point", "copies", "unit").mapInArrow(assign(sent, width), "dim int, cell int, home boolean, point long, copies long, unit binary"), "cells")

@@ -318,7 +318,7 @@ def brute_links(rows):
 
 
 def test_embedding_links_are_exact(spark, monkeypatch):
-    for name, value in (("CELL", 40), ("BLOCK", 16), ("PANEL", 7)):
+    for name, value in (("SPREAD", 2), ("BLOCK", 16), ("PANEL", 7)):
         monkeypatch.setattr(embed_dedup, name, value)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(6, 8))
