@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -57,16 +60,27 @@ def boosted_regressor(train: DataFrame, numbers: list[str], label: str = "y"):
 def ridge(df: DataFrame, features: str, target: str, penalty: float = 1.0) -> np.ndarray:
     """Weights (features + 1 x targets) of a ridge predictor between two array columns of fixed length.
 
-    Gram and cross products are summed on the executors, position by position; only the small system reaches the driver."""
-    def with_one(c: str) -> Column:
-        return F.concat(F.col(c).cast("array<double>"), F.array(F.lit(1.0)))
-
-    rows = df.where(F.col(features).isNotNull() & F.col(target).isNotNull()).select(with_one(features).alias("x"), F.col(target).cast("array<double>").alias("t"))
-    left = rows.select(F.posexplode("x").alias("i", "xi"), F.concat("x", "t").alias("z"))
-    sums = left.select("i", "xi", F.posexplode("z").alias("j", "zj")).groupBy("i", "j").agg(F.sum(F.col("xi") * F.col("zj")).alias("v")).collect()
-    n = max((r["i"] for r in sums), default=-1) + 1
-    m = np.zeros((n, max((r["j"] for r in sums), default=-1) + 1))
-    for r in sums:
+    Each task sums the outer products of its rows, and Spark the tasks' sums; only the small system reaches the driver.
+    Rows with a null or non-finite component are left out."""
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            pairs = [(x, t) for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if None not in x and None not in t]
+            if pairs:
+                x = np.column_stack([np.array([p[0] for p in pairs], float), np.ones(len(pairs))])
+                z = np.column_stack([x, np.array([p[1] for p in pairs], float)])
+                fine = np.isfinite(z).all(axis=1)
+                part = x[fine].T @ z[fine]
+                total = part if total is None else total + part
+        if total is not None:
+            i, j = np.indices(total.shape).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel())], ["i", "j", "v"])
+
+    rows = df.where(F.col(features).isNotNull() & F.col(target).isNotNull()).select(F.col(features).cast("array<double>"), F.col(target).cast("array<double>"))
+    summed = rows.mapInArrow(sums, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    n = max((r["i"] for r in summed), default=-1) + 1
+    m = np.zeros((n, max((r["j"] for r in summed), default=-1) + 1))
+    for r in summed:
         m[r["i"], r["j"]] = r["v"]
     keep = penalty * np.eye(n)
     if n:

@@ -30,7 +30,13 @@ corpus AS (
          o_orderkey % 97 <> 0 AS window_complete, o_orderkey % 89 <> 0 AS monitored, o_orderkey % 83 <> 0 AS built,
          o_orderkey % 79 <> 0 AS linked, o_orderkey % 73 = 0 AS late_field, o_orderkey % 71 = 0 AS foreign_field,
          CASE WHEN o_orderkey % 67 = 0 THEN 'h7' ELSE 'h14' END AS horizon, CASE WHEN o_orderkey % 61 = 0 THEN '' ELSE 'v1' END AS threshold_version,
-         CASE WHEN o_orderkey % 59 = 0 THEN NULL ELSE 'window cut' END AS censor_reason
+         CASE WHEN o_orderkey % 59 = 0 THEN NULL ELSE 'window cut' END AS censor_reason,
+         CASE WHEN o_orderkey % 53 = 0 THEN 'returns' ELSE 'orders' END AS system,
+         CASE WHEN o_orderkey % 47 = 0 THEN 'fit' WHEN o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1999-01-01' THEN 'fit'
+              WHEN o_orderdate >= TIMESTAMP '1999-01-01' AND o_orderdate < TIMESTAMP '2000-01-01' THEN 'gate' END AS evidence,
+         CASE WHEN o_orderkey % 43 = 0 THEN '' ELSE 'ledger' END AS source_system, o_orderkey % 41 = 0 AS private_data,
+         CASE WHEN o_orderkey % 37 = 0 THEN o_orderdate ELSE TIMESTAMP '1990-01-01' END AS predeclared_at,
+         CASE WHEN o_orderkey % 31 = 0 THEN ' ' ELSE 'public' END AS release_scope, CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE 'report' END AS artifact
   FROM orders)"""
 
 #: Splits of the corpus, in order; each ends where the next begins.
@@ -67,4 +73,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         *((k % m == 0).alias(n) for n, m in (("late_field", 73), ("foreign_field", 71))),
         F.when(k % 67 == 0, "h7").otherwise("h14").alias("horizon"), F.when(k % 61 == 0, "").otherwise("v1").alias("threshold_version"),
         F.when(k % 59 != 0, "window cut").alias("censor_reason"),
+        F.when(k % 53 == 0, "returns").otherwise("orders").alias("system"),
+        F.when((k % 47 == 0) | ((t >= day("1998-01-01")) & (t < day("1999-01-01"))), "fit").when((t >= day("1999-01-01")) & (t < day("2000-01-01")), "gate").alias("evidence"),
+        F.when(k % 43 == 0, "").otherwise("ledger").alias("source_system"), (k % 41 == 0).alias("private_data"),
+        F.when(k % 37 == 0, t).otherwise(day("1990-01-01")).alias("predeclared_at"),
+        F.when(k % 31 == 0, " ").otherwise("public").alias("release_scope"), F.when(k % 29 != 0, "report").alias("artifact"),
     )

@@ -56,13 +56,14 @@ def g_commens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("may_pool", F.col("relation") == "direct")
 
 
-@query(f"""WITH {CANON}, s AS (SELECT brand, count(*) AS definitions, count(DISTINCT event) AS events, bool_or(id % 5 = 0) AS lacks_licence, bool_and(id % 3 <> 0) AS retained FROM canon GROUP BY brand)
- SELECT brand, definitions, events, CASE WHEN lacks_licence AND definitions > 60 THEN 'blocked' WHEN NOT retained THEN 'inconclusive' ELSE 'reproduced' END AS status FROM s""")
+@query(f"""WITH {CANON}, s AS (SELECT brand, count(*) AS definitions, count(DISTINCT event) AS events, avg((id % 5 = 0)::int) > 0.2 AS lacks_licence, bool_and(id % 3 <> 0) AS retained FROM canon GROUP BY brand)
+ SELECT brand, definitions, events, CASE WHEN lacks_licence THEN 'blocked' WHEN NOT retained THEN 'inconclusive' ELSE 'reproduced' END AS status FROM s""")
 def g_labelsem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status of each label source: blocked, inconclusive or reproduced."""
+    """Status of each label source: blocked where more than a fifth of its definitions lack a licence, inconclusive where
+    some were not retained, or reproduced."""
     d = definitions(spark, sf_dir).select("id", "brand")
-    s = canonical(definitions(spark, sf_dir)).join(d, "id").groupBy("brand").agg(F.count("*").alias("definitions"), F.count_distinct("event").alias("events"), F.bool_or(F.col("id") % 5 == 0).alias("x"), F.bool_and(F.col("id") % 3 != 0).alias("retained"))
-    return s.select("brand", "definitions", "events", F.when(F.col("x") & (F.col("definitions") > 60), "blocked").when(~F.col("retained"), "inconclusive").otherwise("reproduced").alias("status"))
+    s = canonical(definitions(spark, sf_dir)).join(d, "id").groupBy("brand").agg(F.count("*").alias("definitions"), F.count_distinct("event").alias("events"), (F.avg((F.col("id") % 5 == 0).cast("int")) > 0.2).alias("x"), F.bool_and(F.col("id") % 3 != 0).alias("retained"))
+    return s.select("brand", "definitions", "events", F.when(F.col("x"), "blocked").when(~F.col("retained"), "inconclusive").otherwise("reproduced").alias("status"))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 0 THEN 'insert' WHEN p_partkey % 7 = 0 AND p_size % 2 = 0 THEN 'conflict' ELSE 'same' END AS action FROM part")

@@ -12,6 +12,10 @@ from ..sources.store import scratch
 from ..sources.tables import table
 
 
+#: Pages of a file whose digest is taken, so that a file fits into memory.
+PAGES = 20
+
+
 def text_file(rows: DataFrame, name: str, **options: str) -> str:
     path = scratch(rows.sparkSession, name)
     rows.write.options(**options).text(path)
@@ -97,13 +101,20 @@ def src_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.read_runs(spark, path).groupBy(F.col("run").cast("bigint").alias("run")).agg(F.count("*").alias("n"), F.round(F.sum("seconds"), 1).alias("seconds"))
 
 
-@query("SELECT sha256(url || chr(10)) AS sha256, md5(url || chr(10)) AS md5, (strlen(url) + 1)::bigint AS bytes FROM pages WHERE page_id < 5")
+@query("""WITH f AS (SELECT page_id // 20 AS block, string_agg(coalesce(html, '') || chr(10), '' ORDER BY page_id) AS content FROM pages GROUP BY 1)
+ SELECT block, strlen(content)::bigint AS bytes, sha256(content) AS sha256, md5(content) AS md5, block % 7 <> 3 AS matches FROM f""")
 def src_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests and sizes of files: the first pages' addresses, a file each."""
-    urls = table(spark, sf_dir, "pages").where("page_id < 5").select(F.col("url").alias("value"))
+    """Digests and sizes of files against the values that a manifest pins: all pages, PAGES of them a file. The
+    manifest's value of every seventh file is that of other contents."""
+    block = F.floor(F.col("page_id") / PAGES).alias("block")
+    pages = table(spark, sf_dir, "pages").select(block, "page_id", F.coalesce("html", F.lit("")).alias("value"))
     path = scratch(spark, "files")
-    urls.write.option("maxRecordsPerFile", 1).text(path)
-    return R.file_digests(spark, path).select("sha256", "md5", "bytes")
+    pages.repartition("block").sortWithinPartitions("block", "page_id").select("block", "value").write.partitionBy("block").option("maxRecordsPerFile", 0).text(path)
+    content = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", "value"))), lambda r: F.concat(r["value"], F.lit("\n"))), "")
+    pinned = F.sha1(F.when(F.col("block") % 7 == 3, F.lit("other contents")).otherwise(content))
+    manifest = pages.groupBy("block").agg(pinned.alias("pinned"))
+    files = R.file_digests(spark, path).join(manifest, "block", "left")
+    return files.select("block", "bytes", "sha256", "md5", F.coalesce(F.col("sha1") == F.col("pinned"), F.lit(False)).alias("matches"))
 
 
 @query("SELECT count(*) AS manifests, count(*) FILTER (WHERE NOT starts_with(url, 'https://')) AS not_https FROM pages")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,11 +50,21 @@ def ml_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ml_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ridge predictor from the first to the second half of state vectors, and each row's latent error."""
-    e = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select("vec_id", F.slice("embedding", 1, 16).alias("pre"), F.slice("embedding", 17, 8).alias("post"))
-    weights = ML.ridge(e, "pre", "post")
-    error = F.aggregate(F.zip_with(ML.predicted(F.col("pre"), weights), F.col("post").cast("array<double>"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)
-    return e.select("vec_id", F.round(error / (error + 1), 6).alias("anomaly"))
+    """A ridge predictor from the first to the second half of state vectors, one for each width, and each row's latent
+    error e / (e + the width's mean error). Vectors of fewer than two components, or with null or non-finite ones, have
+    no anomaly."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("width"))
+    fine = (F.col("width") > 1) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    parts = [e.where(~F.coalesce(fine, F.lit(False))).select("vec_id", F.lit(None).cast("double").alias("anomaly"))]
+    for r in e.where(fine).select("width").distinct().orderBy("width").collect():
+        half = r["width"] // 2
+        rows = e.where(fine & (F.col("width") == r["width"])).select("vec_id", F.slice("v", 1, half).alias("pre"), F.slice("v", half + 1, r["width"] - half).alias("post"))
+        weights = ML.ridge(rows, "pre", "post")
+        error = F.aggregate(F.zip_with(ML.predicted(F.col("pre"), weights), F.col("post"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)
+        missed = rows.select("vec_id", error.alias("error"))
+        scale = missed.agg(F.greatest(F.avg("error"), F.lit(1e-12)).alias("scale"))
+        parts.append(missed.crossJoin(F.broadcast(scale)).select("vec_id", F.round(F.col("error") / (F.col("error") + F.col("scale")), 6).alias("anomaly")))
+    return reduce(DataFrame.unionAll, parts)
 
 
 @query()

@@ -11,18 +11,21 @@ from ..functions.scores import violations
 def read_csv(spark: SparkSession, path: str, types: dict[str, str], rules: tuple[tuple[Column, str], ...] = ()) -> DataFrame:
     """types: the pinned header and each column's type. Adds _errors: header, arity, types and rules, in that order.
 
-    Every value is read as text first, so a bad one is an error of its row and not of the job. The header is compared
-    as text, once for each file."""
+    Every value is read as text first, so a bad one is an error of its row and not of the job. The first line of each
+    file is compared with the pinned header as text; where it differs, that is an error of all rows of the file."""
     names = list(types)
     schema = ", ".join(f"`{n}` string" for n in names) + ", _broken string"
     rows = spark.read.csv(path, schema=schema, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken", escape='"', enforceSchema=True)
-    head = spark.read.text(path).where(F.ltrim(F.regexp_replace("value", "^﻿", "")).startswith(names[0] + ",")).select(F.regexp_replace("value", "^﻿", "").alias("h")).distinct()
-    bad_header = head.where(F.col("h") != ",".join(names)).limit(1).count() > 0
+    rows = rows.withColumn("_file", F.col("_metadata.file_path"))
+    lines = spark.read.text(path).where(F.col("_metadata.file_block_start") == 0).select(F.col("_metadata.file_path").alias("_file"), "value", F.monotonically_increasing_id().alias("_at"))
+    heads = lines.groupBy("_file").agg(F.regexp_replace(F.min_by("value", "_at"), "^\ufeff", "").alias("_head"))
+    rows = rows.join(heads.where(F.col("_head") != ",".join(names)), "_file", "left")
+    bad_header = F.col("_head").isNotNull()
     typed = [F.col(n).try_cast(t).alias(n) if t != "string" else F.col(n) for n, t in types.items()]
     broken = F.col("_broken").isNotNull()
     casts = [(~broken & F.col(n).isNotNull() & F.col(n).try_cast(t).isNull(), f"{n} is not {t}") for n, t in types.items() if t != "string"]
     missing = [(~broken & F.col(n).isNull(), f"{n} is missing") for n in names]
-    checked = rows.withColumn("_errors", violations((F.lit(bad_header), "unexpected header"), (broken, "wrong number of fields"), *missing, *casts))
+    checked = rows.withColumn("_errors", violations((bad_header, "unexpected header"), (broken, "wrong number of fields"), *missing, *casts))
     out = checked.select(*typed, "_errors")
     return out.withColumn("_errors", F.concat("_errors", violations(*((F.coalesce(c, F.lit(False)), m) for c, m in rules)))) if rules else out
 
@@ -74,6 +77,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256, md5) of each file, for comparison with pinned values."""
+    """(path, bytes, sha256, md5, sha1) of each file and the columns that its folders name, for comparison with pinned values."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
+    named = [c for c in files.columns if c not in ("path", "modificationTime", "length", "content")]
+    return files.select("path", *named, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"), F.sha1("content").alias("sha1"))
