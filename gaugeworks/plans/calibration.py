@@ -86,6 +86,12 @@ def m_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.roc_auc(scored(spark, sf_dir), ["family"]))
 
 
+@query(f"WITH {LABELLED}, per AS (SELECT family, s, sum(y)::bigint AS pos, sum(1 - y)::bigint AS neg FROM labelled GROUP BY ALL) SELECT family, s, pos, neg, coalesce(sum(pos) OVER w, 0)::bigint AS pos_before, coalesce(sum(neg) OVER w, 0)::bigint AS neg_before FROM per WINDOW w AS (PARTITION BY family ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def w_cum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct score with its positives and negatives and those of all lower scores."""
+    return M.cumulative(labelled(spark, sf_dir), ["family"])
+
+
 @query(f"""WITH {LABELLED}, per AS (SELECT family, s, sum(y)::bigint AS pos, count(*) AS k FROM labelled GROUP BY ALL),
  curve AS (SELECT *, sum(pos) OVER w AS tp, sum(k) OVER w AS n FROM per WINDOW w AS (PARTITION BY family ORDER BY s DESC ROWS UNBOUNDED PRECEDING))
  SELECT family, round(sum(pos * (tp::double / n::double)) / nullif(sum(pos), 0), 6) AS ap FROM curve GROUP BY family""")

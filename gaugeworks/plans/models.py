@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
@@ -80,17 +80,23 @@ def u_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.select("doc_id", F.round("score", 6).alias("score"), F.size(checks).alias("violations"))
 
 
-@query()
+@query("""WITH r AS (SELECT user_id, ts::date AS day, value, row_number() OVER (PARTITION BY user_id, ts::date ORDER BY ts DESC, event_id DESC) - 1 AS age FROM events WHERE value IS NOT NULL)
+ SELECT user_id, day::varchar AS day, round(sum(value * pow(0.7, age)) / sum(pow(0.7, age)), 6) AS forecast FROM r GROUP BY user_id, day""")
 def u_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's forecaster for each resource and day, in Arrow batches; a group is one resource's day, so it stays small."""
-    import pandas as pd
-
-    def forecast(rows: pd.DataFrame) -> pd.DataFrame:
-        level = rows.sort_values("ts")["value"].ewm(alpha=0.3).mean().iloc[-1]
-        return pd.DataFrame({"user_id": [rows["user_id"].iloc[0]], "day": [rows["day"].iloc[0]], "forecast": [round(float(level), 6)]})
-
-    e = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").cast("string").alias("day"), "ts", "value")
-    return e.groupBy("user_id", "day").applyInPandas(forecast, "user_id bigint, day string, forecast double")
+    """A user's forecaster is a function of DataFrames too; this one returns each resource's and day's exponential mean."""
+
+    def forecaster(df: DataFrame, alpha: float = 0.3) -> DataFrame:
+        # Rows are aged inside an hour, and the hours by the rows behind them, so a busy day is not sorted by one task.
+        keep = 1 - alpha
+        hour = Window.partitionBy("user_id", "day", "hour").orderBy(F.desc("ts"), F.desc("event_id"))
+        weight = F.pow(F.lit(keep), F.row_number().over(hour) - 1)
+        per = df.withColumn("w", weight).groupBy("user_id", "day", "hour").agg(F.sum(F.col("w") * F.col("value")).alias("x"), F.sum("w").alias("w"), F.count("*").alias("n"))
+        behind = F.coalesce(F.sum("n").over(Window.partitionBy("user_id", "day").orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        per = per.withColumn("fade", F.pow(F.lit(keep), behind))
+        return per.groupBy("user_id", "day").agg(F.round(F.sum(F.col("x") * F.col("fade")) / F.sum(F.col("w") * F.col("fade")), 6).alias("forecast"))
+
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL")
+    return forecaster(e.select("user_id", F.to_date("ts").cast("string").alias("day"), F.hour("ts").alias("hour"), "ts", "event_id", "value"))
 
 
 @query()

@@ -307,7 +307,12 @@ def fn_proj(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0).select("vec_id", *(F.round(dot(k), 6).alias(f"p{k}") for k in range(8)))
 
 
-@query()
+HASHVEC_SQL = """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_./-]+')) AS t FROM documents), h AS (SELECT doc_id, ('0x' || substr(sha256(t), 1, 8))::bigint AS v FROM t),
+ b AS (SELECT doc_id, v % 32 AS bucket, sum(CASE WHEN (v // 32) % 2 = 0 THEN 1 ELSE -1 END)::double AS x FROM h GROUP BY ALL), n AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS norm FROM b)
+ SELECT doc_id, bucket, round(CASE WHEN norm > 0 THEN x / norm ELSE 0 END, 9) AS x FROM n"""
+
+
+@query(HASHVEC_SQL)
 def fn_hashvec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed feature hashing of a document's tokens into 32 buckets, scaled to length 1. A document is one row to the
     end, so nothing is exchanged."""

@@ -8,23 +8,25 @@ from pyspark.sql import functions as F
 from ..registry import query
 from ..sources.tables import table
 from ..streaming import feeds
-from .knowledge import anchors
+from .knowledge import ANCHORS, anchors
 
 
 def events(spark: SparkSession, sf_dir: str, closing: str | None = None) -> DataFrame:
     return feeds.replay(table(spark, sf_dir, "events"), closing)
 
 
-@query()
+@query("SELECT date_trunc('hour', ts) AS hour, round(avg(value), 6) AS mean, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1")
 def st_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly means in append mode; a closing row lets the last hours out too."""
-    return feeds.run_to_table(feeds.hourly_means(events(spark, sf_dir, "2 hours")), "hourly").select("hour", F.round("mean", 6).alias("mean"), "n")
+    return feeds.run_to_table(feeds.hourly_means(events(spark, sf_dir, "2 hours")), "hourly").select(F.col("hour").cast("timestamp_ntz").alias("hour"), F.round("mean", 6).alias("mean"), "n")
 
 
-@query()
+@query(f"WITH {ANCHORS} SELECT anchor, count(event_id) AS n FROM anchors LEFT JOIN events ON ts BETWEEN start AND stop GROUP BY anchor")
 def st_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per interval; intervals without rows stay, as in the batch query."""
     intervals = anchors(spark, sf_dir).select("anchor", F.col("start").cast("timestamp").alias("start"), F.col("stop").cast("timestamp").alias("stop"))
-    return feeds.run_to_table(feeds.interval_counts(events(spark, sf_dir, "2 hours"), intervals), "intervals").groupBy("anchor").agg(F.sum("n").alias("n"))
+    counted = feeds.run_to_table(feeds.interval_counts(events(spark, sf_dir, "2 hours"), intervals), "intervals").groupBy("anchor").agg(F.sum("n").alias("n"))
+    return anchors(spark, sf_dir).select("anchor").join(counted, "anchor", "left").select("anchor", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("SELECT event_id, user_id, value FROM events")
