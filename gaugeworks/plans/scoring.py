@@ -314,14 +314,13 @@ HASHVEC_SQL = """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text)
 
 @query(HASHVEC_SQL)
 def fn_hashvec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signed feature hashing of a document's tokens into 32 buckets, scaled to length 1. A document is one row to the
-    end, so nothing is exchanged."""
-    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_./-]+"), 0)
-    hashed = table(spark, sf_dir, "documents").select("doc_id", F.transform(tokens, lambda t: F.conv(F.substring(F.sha2(t, 256), 1, 8), 16, 10).cast("long")).alias("h"))
-    sign = lambda v: F.when(F.floor(v / 32) % 2 == 0, 1.0).otherwise(-1.0)
-    slot = lambda b: F.filter("h", lambda v: v % 32 == b)
-    slots = hashed.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(31)), slot).alias("slots"))
-    sums = slots.select("doc_id", F.transform("slots", lambda vs: F.when(F.size(vs) > 0, F.aggregate(vs, F.lit(0.0), lambda a, v: a + sign(v)))).alias("xs"))
+    """Signed feature hashing of a document's tokens into 32 buckets, scaled to length 1. The buckets are 32 sums of one
+    aggregation, so tokens are combined where they are read and one row a document is exchanged."""
+    tokens = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_./-]+"), 0)).alias("t"))
+    hashed = tokens.select("doc_id", F.conv(F.substring(F.sha2("t", 256), 1, 8), 16, 10).cast("long").alias("h"))
+    signed = hashed.select("doc_id", (F.col("h") % 32).alias("slot"), F.when(F.floor(F.col("h") / 32) % 2 == 0, 1.0).otherwise(-1.0).alias("sign"))
+    slots = signed.groupBy("doc_id").agg(*(F.sum(F.when(F.col("slot") == k, F.col("sign"))).alias(f"x{k}") for k in range(32)))
+    sums = slots.select("doc_id", F.array(*(f"x{k}" for k in range(32))).alias("xs"))
     norm = F.sqrt(F.aggregate("xs", F.lit(0.0), lambda a, x: a + F.coalesce(x * x, F.lit(0.0))))
     each = sums.select("doc_id", norm.alias("norm"), F.posexplode("xs").alias("bucket", "x")).where("x IS NOT NULL")
     return each.select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round(F.when(F.col("norm") > 0, F.col("x") / F.col("norm")).otherwise(0.0), 9).alias("x"))
