@@ -4,17 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import bin_of, wilson
 
 
-def counted(df: DataFrame, groups: list[str], score: str = "s", label: str = "y", weight: Column | None = None) -> DataFrame:
-    """Rows with the same score and label as one, with their number w: what every measure below starts from."""
-    return df.groupBy(*groups, score, label).agg((F.count("*") if weight is None else F.sum(weight)).alias("w"))
-
-
 def reliability(df: DataFrame, groups: list[str], bins: int = 10) -> DataFrame:
     """(groups, bin, n, mean_score, frequency); empty bins are left out."""
     return df.groupBy(*groups, bin_of(F.col("s"), bins).alias("bin")).agg(F.count("*").alias("n"), F.avg("s").alias("mean_score"), F.avg(F.col("y").cast("double")).alias("frequency"))
@@ -60,11 +55,23 @@ def average_precision(df: DataFrame, groups: list[str]) -> DataFrame:
     return cumulative(df, groups, ascending=False).groupBy(*groups).agg(F.try_divide(F.sum(F.col("pos") * precision), F.sum("pos").cast("double")).alias("ap"))
 
 
-def summary(df: DataFrame, groups: list[str]) -> DataFrame:
-    """n, positives, rate, mean score and variance, Brier score, calibration error, AUC, and why there is none."""
-    y = F.col("y").cast("double")
-    base = df.groupBy(*groups).agg(F.count("*").alias("n"), F.sum(F.col("y").cast("long")).alias("positives"), F.avg(y).alias("rate"), F.avg("s").alias("mean_score"), F.var_pop("s").alias("score_variance"), F.avg(F.pow(F.col("s") - y, 2)).alias("brier"))
-    out = base.join(calibration_error(df, groups), groups).join(roc_auc(df, groups), groups)
+def summary(df: DataFrame, groups: list[str], bins: int = 10) -> DataFrame:
+    """n, positives, rate, mean score and variance, Brier score, calibration error, AUC, and why there is none.
+
+    All of them come from counts of both outcomes by distinct score: the counts give the sums of each bin, and the bins
+    those of the group. The rows are read for the counts and for the counts' running sums, not for each measure."""
+    s, pos, neg = F.col("s"), F.col("pos"), F.col("neg")
+    w = pos + neg
+    per_bin = cumulative(df, groups).groupBy(*groups, bin_of(s, bins).alias("_bin")).agg(
+        F.sum(w).alias("w"), F.sum("pos").alias("p"), F.sum(s * w).alias("sw"), F.sum(F.pow(s - 0.5, 2) * w).alias("sq"), F.sum(pos * F.pow(1 - s, 2) + neg * F.pow(s, 2)).alias("loss"),
+        F.sum(pos * (F.col("neg_before") + neg / 2.0)).alias("wins"), F.count("*").alias("scores"),
+    )
+    n, p, mean = F.sum("w"), F.sum("p"), F.sum("sw") / F.sum("w")
+    variance = F.when(F.sum("scores") == 1, 0.0).otherwise(F.greatest(F.sum("sq") / n - F.pow(mean - 0.5, 2), F.lit(0.0)))
+    out = per_bin.groupBy(*groups).agg(
+        n.alias("n"), p.alias("positives"), F.try_divide(p, n).alias("rate"), mean.alias("mean_score"), variance.alias("score_variance"), (F.sum("loss") / n).alias("brier"),
+        (F.sum(F.abs(F.col("sw") - F.col("p"))) / n).alias("ece"), F.try_divide(F.sum("wins"), p * (n - p).cast("double")).alias("auc"),
+    )
     return out.withColumn("auc_reason", F.when(F.col("auc").isNull(), "one outcome class"))
 
 

@@ -130,3 +130,20 @@ def test_definitions_ignore_order_and_case(spark, order, event):
     df = canonical(spark.createDataFrame([row(1, "x", ["p", "q", "r"]), row(2, event, order), row(3, "y", order)], kind))
     got = {(r["first"], r["second"]): (r["relation"], r["differing"]) for r in compared(df, df, F.col("a_id") < F.col("b_id")).collect()}
     assert got[(1, 2)] == ("direct", "") and got[(1, 3)] == ("irreducible", "event")
+
+
+def test_summary_reads_counts_by_score(spark, tmp_path):
+    from gaugeworks.operators import metrics
+
+    rows = [("a", i % 7 / 7, i % 3 % 2) for i in range(200)] + [("b", 0.3, 1)] * 5
+    spark.createDataFrame(rows, "family string, s double, y int").write.parquet(str(tmp_path / "t"))
+    df = metrics.summary(spark.read.parquet(str(tmp_path / "t")), ["family"])
+    got = {r["family"]: r for r in df.collect()}
+    of = [r[1:] for r in rows if r[0] == "a"]
+    pairs = [(p > q) + 0.5 * (p == q) for p, y in of if y for q, z in of if not z]
+    assert got["a"]["auc"] == pytest.approx(sum(pairs) / len(pairs)) and got["a"]["brier"] == pytest.approx(sum((s - y) ** 2 for s, y in of) / 200)
+    mean = sum(s for s, _ in of) / 200
+    assert got["a"]["score_variance"] == pytest.approx(sum((s - mean) ** 2 for s, _ in of) / 200)
+    assert (got["b"]["n"], got["b"]["rate"], got["b"]["score_variance"], got["b"]["auc"], got["b"]["ece"]) == (5, 1.0, 0.0, None, pytest.approx(0.7))
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("FileScan") == 2  # the counts by score, and their sums over ranges
