@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import first_reason, label_of, wilson
-from ..operators import metrics as M
+from ..functions.scores import first_reason
 from ..operators.gates import counts_grid, failed_rows, gate_report, worst
 from ..registry import query
 from ..sources.store import scratch
 from ..sources.tables import table
 from .bindings import CORPUS, SCORED, SPLITS, corpus, scored
-from .calibration import BASE, BINNED, CURVE, rounded
 
 CLASSES = ["observed_positive", "observed_negative", "censored"]
 FLOOR = 50
@@ -25,17 +23,19 @@ def many(c) -> F.Column:
     return F.sum(F.when(c, 1).otherwise(0)).cast("long")
 
 
-RULES_SQL = """rules AS (
- SELECT row_id, 'lineage_linkage' AS gate FROM corpus WHERE NOT linked
- UNION ALL SELECT row_id, 'prediction_time_fields' FROM corpus WHERE foreign_field OR late_field
- UNION ALL SELECT row_id, 'outcome_censoring' FROM corpus WHERE (NOT (built AND monitored) AND outcome <> 'censored') OR (outcome = 'observed_negative' AND NOT window_complete) OR (outcome = 'censored' AND censor_reason IS NULL)
- UNION ALL SELECT row_id, 'split_followup' FROM corpus WHERE outcome <> 'censored' AND NOT window_complete
- UNION ALL SELECT row_id, 'horizon_threshold_freeze' FROM corpus WHERE horizon <> 'h14' OR threshold_version = ''
+ROW_RULES_SQL = {
+    "lineage_linkage": "NOT linked",
+    "prediction_time_fields": "foreign_field OR late_field",
+    "outcome_censoring": "(NOT (built AND monitored) AND outcome <> 'censored') OR (outcome = 'observed_negative' AND NOT window_complete) OR (outcome = 'censored' AND censor_reason IS NULL)",
+    "split_followup": "outcome <> 'censored' AND NOT window_complete",
+    "horizon_threshold_freeze": "horizon <> 'h14' OR threshold_version = ''",
+    "single_system_boundary": "system <> 'orders'",
+    "calibration_evidence": "(evidence = 'fit' AND split <> 'calibration_fit') OR (evidence = 'gate' AND split <> 'calibration_gate')",
+    "provenance": "trim(source_system) = '' OR private_data OR predeclared_at >= score_time",
+    "manifest_metadata": "trim(release_scope) = '' OR trim(coalesce(artifact, '')) = ''",
+}
+RULES_SQL = "rules AS (\n " + "\n UNION ALL ".join(f"SELECT row_id, '{n}' AS gate FROM corpus WHERE {c}" for n, c in ROW_RULES_SQL.items()) + """
  UNION ALL SELECT row_id, 'cluster_by_change' FROM corpus WHERE grp IN (SELECT grp FROM corpus GROUP BY grp HAVING count(DISTINCT split) > 1)
- UNION ALL SELECT row_id, 'single_system_boundary' FROM corpus WHERE system <> 'orders'
- UNION ALL SELECT row_id, 'calibration_evidence' FROM corpus WHERE (evidence = 'fit' AND split <> 'calibration_fit') OR (evidence = 'gate' AND split <> 'calibration_gate')
- UNION ALL SELECT row_id, 'provenance' FROM corpus WHERE trim(source_system) = '' OR private_data OR predeclared_at >= score_time
- UNION ALL SELECT row_id, 'manifest_metadata' FROM corpus WHERE trim(release_scope) = '' OR trim(coalesce(artifact, '')) = ''
  UNION ALL SELECT row_id, 'adequacy' FROM corpus WHERE split IN (SELECT split FROM corpus GROUP BY split HAVING count(*) FILTER (WHERE outcome = 'observed_positive') < 50 OR count(*) FILTER (WHERE outcome = 'observed_negative') < 50))"""
 NAMES = ["lineage_linkage", "prediction_time_fields", "outcome_censoring", "split_followup", "horizon_threshold_freeze", "cluster_by_change", "single_system_boundary", "calibration_evidence", "provenance", "manifest_metadata", "adequacy"]
 NAMES_SQL = "names AS (SELECT unnest([" + ", ".join(f"'{n}'" for n in NAMES) + "]) AS gate)"
@@ -55,28 +55,31 @@ def leaking(df: DataFrame, group: str = "grp") -> DataFrame:
     return df.groupBy(group).agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b").select(group, F.lit(True).alias("leaks"))
 
 
-def admission_failures(df: DataFrame) -> DataFrame:
-    """(row_id, gate): row rules, the group rule and the adequacy of splits, from one pass over the corpus.
-
-    Groups are many and are joined by key; splits are four."""
-    per = df.groupBy("split").agg(many(F.col("outcome") == "observed_positive").alias("p"), many(F.col("outcome") == "observed_negative").alias("n"))
-    few = per.select("split", ((F.col("p") < FLOOR) | (F.col("n") < FLOOR)).alias("few"))
-    rows = df.join(leaking(df), "grp", "left").join(F.broadcast(few), "split", "left")
+def row_rules() -> dict[str, F.Column]:
+    """What breaks each gate that a row can break by itself."""
     c = F.col
     seen = c("outcome") != "censored"
-    rules = {
+    return {
         "lineage_linkage": ~c("linked"),
         "prediction_time_fields": c("foreign_field") | c("late_field"),
         "outcome_censoring": (~(c("built") & c("monitored")) & seen) | ((c("outcome") == "observed_negative") & ~c("window_complete")) | (~seen & c("censor_reason").isNull()),
         "split_followup": seen & ~c("window_complete"),
         "horizon_threshold_freeze": (c("horizon") != "h14") | (c("threshold_version") == ""),
-        "cluster_by_change": F.coalesce(c("leaks"), F.lit(False)),
         "single_system_boundary": c("system") != SYSTEM,
         "calibration_evidence": misused(c("evidence"), c("split")),
         "provenance": blank(c("source_system")) | c("private_data") | (c("predeclared_at") >= c("score_time")),
         "manifest_metadata": blank(c("release_scope")) | blank(c("artifact")),
-        "adequacy": c("few"),
     }
+
+
+def admission_failures(df: DataFrame) -> DataFrame:
+    """(row_id, gate): row rules, the group rule and the adequacy of splits, from one pass over the corpus.
+
+    Groups are many and are joined by key; splits are four."""
+    per = df.groupBy("split").agg(many(F.col("outcome") == "observed_positive").alias("p"), many(F.col("outcome") == "observed_negative").alias("n"))
+    few = per.select("split", ((F.col("p") < FLOOR) | (F.col("n") < FLOOR)).alias("few"))
+    rows = df.join(leaking(df), "grp", "left").join(F.broadcast(few), "split", "left")
+    rules = row_rules() | {"cluster_by_change": F.coalesce(F.col("leaks"), F.lit(False)), "adequacy": F.col("few")}
     return failed_rows(rows, "row_id", rules)
 
 
@@ -92,14 +95,6 @@ def g_admit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission_failures(corpus(spark, sf_dir))
 
 
-@query(f"WITH {CORPUS}, {RULES_SQL}, p(gate, pos) AS (VALUES ('lineage_linkage', 1), ('cluster_by_change', 2), ('split_followup', 3), ('horizon_threshold_freeze', 4)) SELECT gate AS first_failure, (SELECT count(*) FROM rules r WHERE r.gate = p.gate) AS failed FROM p WHERE gate IN (SELECT gate FROM rules) ORDER BY pos LIMIT 1")
-def g_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replay constraints in order; the first that fails."""
-    order = F.array(*map(F.lit, ["lineage_linkage", "cluster_by_change", "split_followup", "horizon_threshold_freeze"]))
-    report = admission_failures(corpus(spark, sf_dir)).groupBy("gate").agg(F.count("*").alias("failed")).withColumn("pos", F.array_position(order, F.col("gate"))).where("pos > 0")
-    return report.orderBy("pos").limit(1).select(F.col("gate").alias("first_failure"), "failed")
-
-
 @query(f"WITH {CORPUS}, s AS (SELECT unnest(['train', 'calibration_fit', 'calibration_gate', 'test']) AS split) SELECT split, count(*) FILTER (WHERE outcome = 'observed_positive') AS observed_positive, count(*) FILTER (WHERE outcome = 'observed_negative') AS observed_negative, count(*) FILTER (WHERE outcome = 'censored') AS censored FROM s LEFT JOIN corpus USING (split) GROUP BY split")
 def a_splitclass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts_grid(corpus(spark, sf_dir), list(SPLITS), CLASSES)
@@ -119,11 +114,11 @@ TERMINAL_SQL = """SELECT count(*) AS selected, count(*) FILTER (WHERE linked) AS
  count(*) FILTER (WHERE linked AND outcome = 'observed_negative') AS negative, count(*) FILTER (WHERE linked AND outcome = 'censored') AS censored, count(*) FILTER (WHERE foreign_field) AS withheld FROM corpus"""
 
 
-def terminal_counts(df: DataFrame) -> DataFrame:
+def terminal_counts(df: DataFrame, by: list[str] = [], **more: F.Column) -> DataFrame:  # noqa: B006
     c = F.col
-    return df.agg(
+    return df.groupBy(*by).agg(
         F.count("*").alias("selected"), many(c("linked")).alias("terminal"), many(c("linked") & (c("outcome") != "censored")).alias("complete"), many(c("linked") & (c("outcome") == "observed_positive")).alias("positive"),
-        many(c("linked") & (c("outcome") == "observed_negative")).alias("negative"), many(c("linked") & (c("outcome") == "censored")).alias("censored"), many(c("foreign_field")).alias("withheld"),
+        many(c("linked") & (c("outcome") == "observed_negative")).alias("negative"), many(c("linked") & (c("outcome") == "censored")).alias("censored"), many(c("foreign_field")).alias("withheld"), *(v.alias(k) for k, v in more.items()),
     )
 
 
@@ -135,30 +130,6 @@ def a_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumns({"coverage": rate("terminal", "selected"), "observation_rate": rate("complete", "selected"), "positive_rate": rate("positive", "complete"), "negative_rate": rate("negative", "complete"), "censor_rate": rate("censored", "selected")})
 
 
-@query(f"""WITH {CORPUS}, t AS ({TERMINAL_SQL}), g AS (
- SELECT 'terminal_coverage' AS gate, CASE WHEN terminal = selected THEN 'pass' ELSE 'fail' END AS status, terminal AS value FROM t
- UNION ALL SELECT 'complete_observations', CASE WHEN complete >= 500 THEN 'pass' ELSE 'inconclusive' END, complete FROM t
- UNION ALL SELECT 'outcome_diversity', CASE WHEN positive > 0 AND negative > 0 THEN 'pass' ELSE 'inconclusive' END, complete FROM t
- UNION ALL SELECT 'observation_rate', CASE WHEN complete / nullif(selected, 0)::double >= 0.5 THEN 'pass' ELSE 'inconclusive' END, complete FROM t
- UNION ALL SELECT 'release_scope', CASE WHEN withheld = 0 THEN 'pass' ELSE 'fail' END, withheld FROM t)
- SELECT *, CASE WHEN bool_or(status = 'fail') OVER () THEN 'blocked' WHEN bool_or(status <> 'pass') OVER () THEN 'inconclusive' ELSE 'feasible' END AS overall FROM g""")
-def g_feasible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feasibility gates over the terminal counts: feasible, inconclusive or blocked."""
-    t, c = terminal_counts(corpus(spark, sf_dir)), F.col
-    ok = lambda x, other: F.when(x, "pass").otherwise(other)
-    gates = {
-        "terminal_coverage": (ok(c("terminal") == c("selected"), "fail"), c("terminal")),
-        "complete_observations": (ok(c("complete") >= 500, "inconclusive"), c("complete")),
-        "outcome_diversity": (ok((c("positive") > 0) & (c("negative") > 0), "inconclusive"), c("complete")),
-        "observation_rate": (ok(F.try_divide("complete", "selected") >= 0.5, "inconclusive"), c("complete")),
-        "release_scope": (ok(c("withheld") == 0, "fail"), c("withheld")),
-    }
-    each = F.array(*(F.struct(F.lit(n).alias("gate"), s.alias("status"), v.alias("value")) for n, (s, v) in gates.items()))
-    overall = worst([s for s, _ in gates.values()])
-    named = F.when(overall == "fail", "blocked").when(overall == "inconclusive", "inconclusive").otherwise("feasible")
-    return t.select(F.explode(each).alias("g"), named.alias("overall")).select("g.*", "overall")
-
-
 @query("SELECT s_nationkey, avg((s_acctbal > 0)::int) AS rate, count(*) AS attempts, CASE WHEN count(*) < 2 THEN 'incomplete' WHEN bool_or(s_suppkey % 13 = 0) THEN 'clustered' WHEN avg((s_acctbal > 0)::int) < 0.9 THEN 'blocked' ELSE 'pass' END AS status FROM supplier GROUP BY 1")
 def a_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Build success per lane against a floor, with incomplete and clustered lanes apart."""
@@ -281,27 +252,6 @@ def g_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.crossJoin(F.broadcast(every)).withColumn("complete", F.col("total") > 0)
 
 
-FAMILY_ROWS = "test AS (SELECT 'orders ' || (row_id % 2) AS family, s, CASE outcome WHEN 'observed_positive' THEN 1 ELSE 0 END AS y FROM corpus WHERE outcome <> 'censored' AND split = 'test')"
-FAMILY = f"WITH {CORPUS}, {FAMILY_ROWS}, {BINNED.format('test')}, {CURVE.format('test')}, {BASE.format('test')}"
-
-
-@query(f"{FAMILY}, w AS (SELECT base.*, ece, auc FROM base JOIN error USING (family) JOIN auc USING (family)) SELECT family, n, positives, round(brier, 6) AS brier, round(ece, 6) AS ece, round(auc, 6) AS auc, CASE WHEN n < 500 THEN 'blocked' WHEN ece > 0.05 THEN 'inconclusive' ELSE 'evidence' END AS status FROM w")
-def g_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Families evaluated apart on the test split."""
-    rows = corpus(spark, sf_dir).where("outcome <> 'censored' AND split = 'test'")
-    rows = rows.select(F.concat(F.lit("orders "), (F.col("row_id") % 2).cast("string")).alias("family"), "s", label_of(F.col("outcome")).alias("y"))
-    s = M.summary(rows, ["family"])
-    status = F.when(F.col("n") < 500, "blocked").when(F.col("ece") > 0.05, "inconclusive").otherwise("evidence")
-    return rounded(s.select("family", "n", "positives", "brier", "ece", "auc", status.alias("status")))
-
-
-@query(f"""WITH {CORPUS}, t AS (SELECT count(*) FILTER (WHERE outcome <> 'censored') AS complete, count(*) FILTER (WHERE outcome = 'observed_positive') AS positives, count(*) FILTER (WHERE outcome = 'observed_negative') AS negatives, count(*) FILTER (WHERE NOT linked) AS broken FROM corpus)
- SELECT *, CASE WHEN broken > 0 THEN 'blocked' WHEN complete < 800 OR positives < 50 OR negatives < 50 THEN 'inconclusive' ELSE 'evidence' END AS status FROM t""")
-def g_stage2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corpus evaluation: integrity blocks, then the floors of 800, 50 and 50."""
-    c = F.col
-    t = corpus(spark, sf_dir).agg(many(c("outcome") != "censored").alias("complete"), many(c("outcome") == "observed_positive").alias("positives"), many(c("outcome") == "observed_negative").alias("negatives"), many(~c("linked")).alias("broken"))
-    return t.withColumn("status", F.when(c("broken") > 0, "blocked").when((c("complete") < 800) | (c("positives") < 50) | (c("negatives") < 50), "inconclusive").otherwise("evidence"))
 
 
 @query(f"WITH {CORPUS} SELECT row_id, CASE WHEN NOT linked THEN 'missing' WHEN horizon <> 'h14' THEN 'lane mismatch' ELSE outcome END AS record FROM corpus")
@@ -320,17 +270,6 @@ def g_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("status", F.when(c("build") & c("deployment") & c("monitoring") & c("followup"), "available").when(c("build") | c("deployment"), "partial").otherwise("withheld"))
 
 
-@query(f"""WITH {SCORED}, {BINNED.format('scored')}, {CURVE.format('scored')}, {BASE.format('scored')}, s AS (SELECT base.*, ece, auc FROM base JOIN error USING (family) JOIN auc USING (family))
- SELECT a.family AS first, b.family AS second, a.ece <= 0.05 AND b.ece <= 0.05 AS both_conform, round(abs(a.rate - b.rate), 6) AS rate_gap, CASE WHEN a.ece <= 0.05 AND b.ece <= 0.05 AND abs(a.rate - b.rate) < 0.02 THEN 'pooled' ELSE 'apart' END AS decision FROM s a JOIN s b ON a.family < b.family""")
-def g_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cross-family report: a pooled figure only where both families conform and their targets agree."""
-    s = M.summary(scored(spark, sf_dir), ["family"]).select("family", "ece", "rate")
-    a, b = s.select(*(F.col(c).alias(f"a_{c}") for c in s.columns)), s.select(*(F.col(c).alias(f"b_{c}") for c in s.columns))
-    both = a.join(b, F.col("a_family") < F.col("b_family"))
-    fine, gap = (F.col("a_ece") <= 0.05) & (F.col("b_ece") <= 0.05), F.abs(F.col("a_rate") - F.col("b_rate"))
-    return both.select(F.col("a_family").alias("first"), F.col("b_family").alias("second"), fine.alias("both_conform"), F.round(gap, 6).alias("rate_gap"), F.when(fine & (gap < 0.02), "pooled").otherwise("apart").alias("decision"))
-
-
 DIGEST_SQL = "SELECT family, count(*) AS n, bit_xor(('0x' || substr(md5(unit || ':' || {0}), 1, 8))::bigint) AS digest FROM scored GROUP BY family"
 
 
@@ -353,15 +292,6 @@ def sample_digests(df: DataFrame) -> DataFrame:
     return df.groupBy("family").agg(F.count("*").alias("n"), F.bit_xor(h).alias("digest"))
 
 
-@query(f"""WITH {SCORED}, f AS (SELECT family, count(*) AS n, sum(y)::bigint AS positives, avg(pow(s - y, 2)) AS cb, avg(pow(baseline - y, 2)) AS bb FROM scored GROUP BY family)
- SELECT family, n, CASE WHEN n < 800 THEN 'too few rows' WHEN positives < 50 OR n - positives < 50 THEN 'too few of a class' WHEN bb - cb < 0.01 THEN 'gain below threshold' ELSE 'effective' END AS reason FROM f""")
-def g_efficacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Efficacy per family, never pooled: floors first, then the gain over the baseline."""
-    f = scored(spark, sf_dir).groupBy("family").agg(F.count("*").alias("n"), F.sum("y").alias("positives"), F.avg(F.pow(F.col("s") - F.col("y"), 2)).alias("cb"), F.avg(F.pow(F.col("baseline") - F.col("y"), 2)).alias("bb"))
-    few = (F.col("positives") < 50) | (F.col("n") - F.col("positives") < 50)
-    return f.select("family", "n", F.when(F.col("n") < 800, "too few rows").when(few, "too few of a class").when(F.col("bb") - F.col("cb") < 0.01, "gain below threshold").otherwise("effective").alias("reason"))
-
-
 @query("""WITH r AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS p, count(*) FILTER (WHERE o_orderstatus = 'O') AS q, avg(o_totalprice / 400000) AS metric FROM orders GROUP BY 1)
  SELECT o_custkey, unnest([x for x in [CASE WHEN p + q <> n THEN 'counts do not add up' END, CASE WHEN metric > 1 THEN 'metric out of domain' END, CASE WHEN n < 3 THEN 'below floor' END] if x IS NOT NULL]) AS violation FROM r""")
 def g_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scores import label_of
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..registry import query
 from ..sources.tables import table
 from .bindings import corpus, scored
-from .gates import admission_failures, label_of
+from .gates import admission_failures
 
 
 @query()
