@@ -12,6 +12,8 @@ from ..sources.store import scratch
 from ..sources.tables import table
 
 
+#: Width of the ranges of keys that go into one JSON list or object.
+LIST = 20_000
 #: Pages of a file whose digest is taken, so that a file fits into memory.
 PAGES = 20
 
@@ -81,10 +83,11 @@ def src_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE s_suppkey % 6 = 0) AS incomplete FROM supplier")
 def src_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Manifests as JSON lists, one list a nation, with required fields."""
+    """Manifests as JSON lists with required fields. A list is of one nation and one range of LIST keys, so that a hot
+    nation is many lists of bounded length."""
     s = table(spark, sf_dir, "supplier")
     each = F.struct(F.col("s_name").alias("anchor_id"), F.when(F.col("s_suppkey") % 6 == 0, "").otherwise("2024-01-01T00:00:00").alias("start"), F.lit("2024-01-02T00:00:00").alias("end"))
-    lists = s.groupBy("s_nationkey").agg(F.to_json(F.collect_list(each)).alias("value")).select("value")
+    lists = s.groupBy("s_nationkey", F.floor(F.col("s_suppkey") / LIST).alias("block")).agg(F.to_json(F.collect_list(each)).alias("value")).select("value")
     path = scratch(spark, "manifests")
     lists.write.option("maxRecordsPerFile", 1).text(path)
     got = R.read_manifest(spark, path, ["anchor_id", "start", "end"])
@@ -93,9 +96,10 @@ def src_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_custkey % 20 AS run, count(*) AS n, round(sum(o_totalprice / 1000), 1) AS seconds FROM orders GROUP BY 1")
 def src_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested run records, one object a customer, back as rows."""
+    """Nested run records back as rows. An object is of one customer and one range of LIST keys, so that a hot customer
+    is many objects of bounded length."""
     record = F.struct(F.col("o_orderkey").cast("string").alias("commit"), (F.col("o_totalprice") / 1000).alias("seconds"))
-    runs = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(record).alias("records")).select((F.col("o_custkey") % 20).cast("string").alias("run"), "records")
+    runs = table(spark, sf_dir, "orders").groupBy("o_custkey", F.floor(F.col("o_orderkey") / LIST).alias("block")).agg(F.collect_list(record).alias("records")).select((F.col("o_custkey") % 20).cast("string").alias("run"), "records")
     path = scratch(spark, "runs")
     runs.write.json(path)
     return R.read_runs(spark, path).groupBy(F.col("run").cast("bigint").alias("run")).agg(F.count("*").alias("n"), F.round(F.sum("seconds"), 1).alias("seconds"))
@@ -114,7 +118,7 @@ def src_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     pinned = F.sha1(F.when(F.col("block") % 7 == 3, F.lit("other contents")).otherwise(content))
     manifest = pages.groupBy("block").agg(pinned.alias("pinned"))
     files = R.file_digests(spark, path).join(manifest, "block", "left")
-    return files.select("block", "bytes", "sha256", "md5", F.coalesce(F.col("sha1") == F.col("pinned"), F.lit(False)).alias("matches"))
+    return files.select(F.col("block").cast("long").alias("block"), "bytes", "sha256", "md5", F.coalesce(F.col("sha1") == F.col("pinned"), F.lit(False)).alias("matches"))
 
 
 @query("SELECT count(*) AS manifests, count(*) FILTER (WHERE NOT starts_with(url, 'https://')) AS not_https FROM pages")
