@@ -21,6 +21,16 @@ def calibration_error(df: DataFrame, groups: list[str], bins: int = 10) -> DataF
     return reliability(df, groups, bins).groupBy(*groups).agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"))
 
 
+def pooled_error(df: DataFrame, definitions: DataFrame, bins: int = 10) -> DataFrame:
+    """df (pool, family, s, y), definitions (pool, family, definition) -> (pool, n, definitions, poolable, pooled_ece).
+
+    Only a pool all of whose families have a definition, and the same one, gets a calibration error of their union."""
+    own = df.groupBy("pool", "family").agg(F.count("*").alias("n")).join(definitions, ["pool", "family"], "left")
+    agree = (F.count_distinct("definition") == 1) & (F.count("definition") == F.count("*"))
+    gate = own.groupBy("pool").agg(F.sum("n").alias("n"), F.count_distinct("definition").alias("definitions"), agree.alias("poolable"))
+    return gate.join(calibration_error(df, ["pool"], bins), "pool").select("pool", "n", "definitions", "poolable", F.when(F.col("poolable"), F.col("ece")).alias("pooled_ece"))
+
+
 def running(per: DataFrame, groups: list[str], key: str, sums: list[str], ascending: bool = True, ranges: int = 1024) -> DataFrame:
     """Adds x_before for each x in sums: its total over the rows of the group that come before in the order of key.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.metrics import running
 from ..operators.order import adjacent_gaps, split_at_fraction
 from ..registry import query
 from ..sources.tables import table
@@ -85,12 +86,15 @@ def user_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select((F.unix_timestamp(F.date_trunc("second", F.col("ts")).cast("timestamp")) - F.unix_timestamp(F.date_trunc("second", before).cast("timestamp"))).alias("gap")).where("gap IS NOT NULL")
 
 
-@query(f"WITH {GAPS}, h AS (SELECT gap // 600 AS bucket, count(*) AS n FROM gaps WHERE gap IS NOT NULL GROUP BY 1), c AS (SELECT *, sum(n) OVER (ORDER BY bucket) AS upto, sum(n) OVER () AS every FROM h) SELECT bucket::bigint AS bucket, n, upto * 2 >= every AND (upto - n) * 2 < every AS median_here, n = max(n) OVER () AS modal FROM c")
+@query(f"WITH {GAPS}, h AS (SELECT gap, count(*) AS n FROM gaps WHERE gap IS NOT NULL GROUP BY 1), c AS (SELECT *, sum(n) OVER (ORDER BY gap) AS upto, sum(n) OVER () AS every FROM h) SELECT gap, n, round(n / every, 9) AS share, upto > (every - 1) // 2 AND upto - n <= (every - 1) // 2 AS median_here, row_number() OVER (ORDER BY n DESC, gap) = 1 AS modal FROM c")
 def a_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Histogram of the gaps between a resource's readings, with the median's and the fullest bucket. A row a bucket."""
-    h = user_gaps(spark, sf_dir).groupBy(F.floor(F.col("gap") / 600).alias("bucket")).agg(F.count("*").alias("n"))
-    upto, every = F.sum("n").over(Window.orderBy("bucket")), F.sum("n").over(Window.partitionBy())
-    return h.select("bucket", "n", ((upto * 2 >= every) & ((upto - F.col("n")) * 2 < every)).alias("median_here"), (F.col("n") == F.max("n").over(Window.partitionBy())).alias("modal"))
+    """Histogram of the gaps in seconds between a resource's readings, with the weighted median (the lower one) and the
+    most frequent gap, the shortest of several. The median comes from running sums over ranges of the gap."""
+    h = user_gaps(spark, sf_dir).groupBy("gap").agg(F.count("*").alias("n"))
+    all_ = h.agg(F.sum("n").alias("every"), F.max(F.struct("n", (-F.col("gap")).alias("shortest")))["shortest"].alias("shortest"))
+    h = running(h.withColumn("at", F.col("gap") / (F.col("gap") + 600)), [], "at", ["n"]).join(F.broadcast(all_))
+    middle = F.floor((F.col("every") - 1) / 2)
+    return h.select("gap", "n", F.round(F.col("n") / F.col("every"), 9).alias("share"), ((F.col("n_before") <= middle) & (F.col("n_before") + F.col("n") > middle)).alias("median_here"), (F.col("gap") == -F.col("shortest")).alias("modal"))
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY 1")

@@ -143,14 +143,20 @@ def m_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.groupBy("family").agg(mean("s").alias("predicted"), mean("y").alias("observed"), F.count("*").alias("n")))
 
 
-@query(f"""WITH {SCORED}, pooled AS (SELECT 'all' AS family, s, y FROM scored), {BINNED.format('pooled')} SELECT round(ece, 6) AS pooled_ece, (SELECT count(*) FROM scored) AS n FROM error""")
+POOLS = """pools AS (SELECT 'pool ' || unit % 4 AS pool, family AS member, s, y FROM scored),
+ declared AS (SELECT DISTINCT pool, member, CASE WHEN pool = 'pool 3' AND member = 'O' THEN NULL WHEN pool = 'pool 2' AND member = 'O' THEN 'return in 14 days' ELSE 'return in 7 days' END AS definition FROM pools)"""
+
+
+@query(f"""WITH {SCORED}, {POOLS}, pooled AS (SELECT pool AS family, s, y FROM pools), {BINNED.format('pooled')},
+ g AS (SELECT pool, count(DISTINCT definition) AS definitions, count(DISTINCT definition) = 1 AND count(definition) = count(*) AS poolable FROM declared GROUP BY pool)
+ SELECT pool, (SELECT count(*) FROM pools p WHERE p.pool = g.pool) AS n, definitions, poolable, CASE WHEN poolable THEN round(ece, 6) END AS pooled_ece FROM g JOIN error ON error.family = g.pool""")
 def a_poolece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The families' definitions agree, so their calibration error may be pooled."""
-    rows = scored(spark, sf_dir)
-    first, second = rows.where("family = 'O'").select("s", "y"), rows.where("family <> 'O'").select("s", "y")
-    both = first.unionByName(second).withColumn("family", F.lit("all"))
-    n = both.agg(F.count("*").alias("n"))
-    return M.calibration_error(both, ["family"]).select(F.round("ece", 6).alias("pooled_ece")).crossJoin(n)
+    """Calibration error of the families' union in four pools. In one pool the definitions differ and in one a family
+    has none, so that these two get no figure."""
+    rows = scored(spark, sf_dir).select(F.concat(F.lit("pool "), (F.col("unit") % 4).cast("string")).alias("pool"), "family", "s", "y")
+    late = F.col("family") == "O"
+    definition = F.when(~(late & (F.col("pool") == "pool 3")), F.when(late & (F.col("pool") == "pool 2"), "return in 14 days").otherwise("return in 7 days"))
+    return rounded(M.pooled_error(rows, rows.select("pool", "family").distinct().withColumn("definition", definition)))
 
 
 @query(summary_sql(f"{SCORED}, lanes AS (SELECT (unit % 4)::int AS family, s, y FROM scored)", "lanes", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scores import first_reason
 from ..registry import query
 from ..sources import readers as R
 from ..sources.sinks import write_report
@@ -121,13 +122,42 @@ def src_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select(F.col("block").cast("long").alias("block"), "bytes", "sha256", "md5", F.coalesce(F.col("sha1") == F.col("pinned"), F.lit(False)).alias("matches"))
 
 
-@query("SELECT count(*) AS manifests, count(*) FILTER (WHERE NOT starts_with(url, 'https://')) AS not_https FROM pages")
+CATALOG_SQL = """WITH m AS (SELECT page_id AS i, 'set-' || page_id AS name, CASE WHEN page_id % 19 = 0 THEN NULL ELSE url END AS source, page_id % 17 = 0 AS other, page_id % 13 = 0 AS boundless FROM pages),
+ e AS (SELECT *, CASE WHEN other THEN 'invalid dataset identity' WHEN boundless THEN 'no claim boundary' WHEN source IS NULL OR NOT starts_with(source, 'https://') THEN 'no canonical HTTPS source' END AS error FROM m),
+ l AS (SELECT i, CASE i % 4 WHEN 2 THEN 'deferred' ELSE 'accepted' END AS status, i % 23 <> 0 AS pinned, i % 29 <> 0 AS same FROM m WHERE i % 4 <> 3),
+ d AS (SELECT e.i, error, status, CASE WHEN error IS NOT NULL THEN 'invalid manifest' WHEN status IS NULL THEN 'no decision' WHEN status <> 'accepted' THEN status WHEN NOT pinned THEN 'artifact not pinned' WHEN NOT same THEN 'artifact differs' ELSE 'admitted' END AS verdict FROM e LEFT JOIN l USING (i))
+ SELECT verdict, coalesce(error, '') AS error, count(*) AS n FROM d GROUP BY ALL"""
+
+
+def catalog_verdicts(manifests: DataFrame, ledger: DataFrame) -> DataFrame:
+    """manifests (name, and as read dataset_id, claim_boundary, source.retrieval_reference or canonical_source, digest) and
+    ledger (dataset_id, status, sha256) -> (name, error, verdict). Manifests without a decision are not admitted."""
+    c = F.col
+    reference = F.coalesce(c("source.retrieval_reference"), c("canonical_source"))
+    error = first_reason((c("dataset_id") != c("name"), "invalid dataset identity"), (F.trim("claim_boundary") == "", "no claim boundary"), (~reference.startswith("https://"), "no canonical HTTPS source"))
+    rows = manifests.withColumn("error", error).join(ledger.select(c("dataset_id").alias("name"), "status", "sha256"), "name", "left")
+    verdict = F.coalesce(F.when(c("error").isNotNull(), "invalid manifest"), F.when(c("status").isNull(), "no decision"), F.when(c("status") != "accepted", c("status")), F.when(c("sha256").isNull(), "artifact not pinned"), F.when(c("sha256") != c("digest"), "artifact differs"), F.lit("admitted"))
+    return rows.select("name", "error", verdict.alias("verdict"))
+
+
+@query(CATALOG_SQL)
 def src_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A directory of dataset manifests with an HTTPS source each."""
-    path = scratch(spark, "catalog")
-    table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("name"), F.col("url").alias("source")).write.json(path)
-    rows = spark.read.json(path, schema="name string, source string")
-    return rows.agg(F.count("*").alias("manifests"), F.sum((~F.col("source").startswith("https://")).cast("long")).alias("not_https"))
+    """A directory of dataset manifests with required fields and an HTTPS source, each against the ledger of decisions
+    and the digest that it pins; faults are injected by the id."""
+    i, name = F.col("page_id"), F.concat(F.lit("set-"), F.col("page_id").cast("string"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.when(i % 19 != 0, F.col("url")).alias("url"))
+    nested = i % 5 == 0
+    path, decisions = scratch(spark, "catalog"), scratch(spark, "ledger")
+    pages.select(
+        name.alias("name"), F.when(i % 17 == 0, "other").otherwise(name).alias("dataset_id"), F.when(i % 13 != 0, "public pages").otherwise(" ").alias("claim_boundary"),
+        F.when(nested, F.struct(F.col("url").alias("retrieval_reference"))).alias("source"), F.when(~nested, F.col("url")).alias("canonical_source"),
+    ).write.json(path)
+    digest = F.sha2(F.concat_ws("\n", name, F.col("url")), 256)
+    pages.where(i % 4 != 3).select(name.alias("dataset_id"), F.when(i % 4 == 2, "deferred").otherwise("accepted").alias("status"), F.when(i % 23 != 0, F.when(i % 29 == 0, F.sha2(F.lit("other"), 256)).otherwise(digest)).alias("sha256")).write.json(decisions)
+    read = spark.read.json(path, schema="name string, dataset_id string, claim_boundary string, source struct<retrieval_reference:string>, canonical_source string")
+    read = read.withColumn("digest", F.sha2(F.concat_ws("\n", "name", F.coalesce("source.retrieval_reference", "canonical_source")), 256))
+    verdicts = catalog_verdicts(read, spark.read.json(decisions, schema="dataset_id string, status string, sha256 string"))
+    return verdicts.groupBy("verdict", F.coalesce("error", F.lit("")).alias("error")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderstatus AS status, count(*) AS n, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END::bigint AS nulls FROM orders GROUP BY o_orderstatus")

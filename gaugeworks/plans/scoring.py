@@ -264,13 +264,28 @@ def fn_arruniq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select(F.col("l_orderkey").alias("change_ref"), (F.size("paths") > 0).alias("filled"), (F.size("paths") == F.size(F.array_distinct("paths"))).alias("unique_paths"), (~unsafe).alias("safe"))
 
 
-@query("SELECT count(*) AS n, sum((json_extract(props, '$.k')::bigint)) ::bigint AS k_total, count(*) AS round_trips FROM events")
+PAYLOADS = """payloads AS (SELECT event_id, CASE WHEN event_id % 23 = 0 THEN '{"k": ' WHEN event_id % 3 = 0 THEN left(props, length(props) - 1) || ', "note": null, "ext": {"b": [1, 2.5], "a": "x"}}' ELSE props END AS stored,
+ json_extract(props, '$.k')::bigint AS k FROM events)"""
+
+
+@query(f"""WITH {PAYLOADS}, v AS (SELECT *, json_valid(stored) AS valid, k + CASE WHEN event_id % 19 = 0 THEN 1 ELSE 0 END AS k2 FROM payloads)
+ SELECT count(*) AS n, count(*) FILTER (WHERE NOT valid) AS malformed, sum(CASE WHEN valid THEN json_extract(CASE WHEN valid THEN stored END, '$.k')::bigint END)::bigint AS k_total, count(*) FILTER (WHERE valid) AS round_trips, count(*) FILTER (WHERE valid AND k = k2) AS matches,
+ count(*) FILTER (WHERE json_extract(CASE WHEN valid THEN stored END, '$.ext.b[1]')::double = 2.5) AS extensions, count(*) FILTER (WHERE json_type(CASE WHEN valid THEN stored END, '$.note') = 'NULL') AS nulls FROM v""")
 def fn_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payloads read from JSON, written back with nulls kept, and read again."""
-    once = F.from_json("props", "k bigint, note string")
-    again = F.from_json(F.to_json(once, {"ignoreNullFields": "false"}), "k bigint, note string")
-    rows = table(spark, sf_dir, "events").select(once.alias("a"), again.alias("b"))
-    return rows.agg(F.count("*").alias("n"), F.sum("a.k").alias("k_total"), F.sum(F.col("a").eqNullSafe(F.col("b")).cast("long")).alias("round_trips"))
+    """Payloads of any fields read from JSON, written back and read again: extension fields and nulls are kept, a payload
+    equals another whatever the order of its keys, and malformed ones are counted."""
+    i, k = F.col("event_id"), F.get_json_object("props", "$.k")
+    more = i % 3 == 0
+    stored = F.when(i % 23 == 0, '{"k": ').when(more, F.concat(F.expr("left(props, length(props) - 1)"), F.lit(', "note": null, "ext": {"b": [1, 2.5], "a": "x"}}'))).otherwise(F.col("props"))
+    other = F.concat(F.when(more, '{"ext": {"a": "x", "b": [1, 2.5]}, "note": null, "k": ').otherwise('{"k": '), (k.cast("long") + F.when(i % 19 == 0, 1).otherwise(0)).cast("string"), F.lit("}"))
+    once = F.to_json(F.try_parse_json(stored))  # the keys of a variant are sorted
+    rows = table(spark, sf_dir, "events").select(once.alias("a"), F.to_json(F.try_parse_json(other)).alias("other"))
+    again = F.try_parse_json("a")
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    return rows.agg(
+        F.count("*").alias("n"), n(F.col("a").isNull()).alias("malformed"), F.sum(F.try_variant_get(again, "$.k", "bigint")).alias("k_total"), n(F.to_json(again) == F.col("a")).alias("round_trips"), n(F.col("a") == F.col("other")).alias("matches"),
+        n(F.try_variant_get(again, "$.ext.b[1]", "double") == 2.5).alias("extensions"), n(F.is_variant_null(F.try_variant_get(again, "$.note", "variant"))).alias("nulls"),
+    )
 
 
 @query("SELECT event_id, round(least(1, greatest(0, value / 40 - 0.1)), 9) AS calibrated, CASE WHEN value / 40 - 0.1 < 0 OR value / 40 - 0.1 > 1 THEN 'clamped' ELSE 'calibrated' END AS status FROM events")
@@ -289,12 +304,35 @@ def fn_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"), first.alias("first"), last.alias("last"), F.round((last - first) / F.greatest(F.count("*") - 1, F.lit(1)), 9).alias("slope"))
 
 
-@query("""SELECT vec_id, sqrt(list_sum([v * v for v in embedding::double[]])) IS NOT NULL AS ok, round(list_sum([(v - 0.05) * (v - 0.05) for v in embedding::double[]]) / (list_sum([(v - 0.05) * (v - 0.05) for v in embedding::double[]]) + 1), 6) AS anomaly FROM embeddings""")
+LATENT_SQL = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 50 = 7 THEN list_append(embedding::double[], 0.5) WHEN vec_id % 50 = 9 THEN NULL ELSE embedding::double[] END AS v FROM embeddings),
+ h AS (SELECT vec_id, v IS NOT NULL AND len(v) > 0 AND len(v) % 2 = 0 AS ok, v[1:len(v) // 2] AS pre, v[len(v) // 2 + 1:] AS post FROM v),
+ e AS (SELECT vec_id, ok, CASE WHEN ok THEN list_sum([pow(post[i] - pre[i] / 2, 2) for i in range(1, len(pre) + 1)]) / len(pre) END AS error, CASE WHEN ok THEN list_sum([pre[i] * ((i * 7) % 11 - 5) / 10 for i in range(1, len(pre) + 1)]) END AS z FROM h)
+ SELECT vec_id, ok, round(error / (error + avg(error) OVER ()), 6) AS anomaly, round(1 / (1 + exp(-z)), 6) AS risk FROM e"""
+
+
+def latent_scores(vectors: DataFrame, key: str) -> DataFrame:
+    """vectors (key, v): a state before and after, as halves of one array -> (key, ok, anomaly, risk).
+
+    The state after is predicted as half of the one before; anomaly is e / (e + scale) of its mean squared error e, with
+    the mean error of all vectors as scale, and risk the sigmoid of a fixed readout of the state before. An array that is
+    null, empty, of odd length or not finite is not ok and gets neither."""
+    v, half = F.col("v"), F.expr("size(v) div 2")
+    ok = F.coalesce(v.isNotNull() & (F.size("v") > 0) & (F.size("v") % 2 == 0) & F.forall(v, S.finite), F.lit(False))
+    rows = vectors.select(key, ok.alias("ok"), F.when(ok, F.slice(v, F.lit(1), half)).alias("pre"), F.when(ok, F.slice(v, half + 1, half)).alias("post"))
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    error = add(F.zip_with("post", "pre", lambda b, a: F.pow(b - a / 2, 2))) / F.size("pre")
+    readout = add(F.transform("pre", lambda x, i: x * (((i + 1) * 7) % 11 - 5) / 10))
+    rows = rows.select(key, "ok", error.alias("error"), readout.alias("z"))
+    scale = F.broadcast(rows.agg(F.avg("error").alias("scale")))
+    return rows.join(scale).select(key, "ok", F.try_divide(F.col("error"), F.col("error") + F.col("scale")).alias("anomaly"), (1 / (1 + F.exp(-F.col("z")))).alias("risk"))
+
+
+@query(LATENT_SQL)
 def fn_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latent error e / (e + scale) of state vectors against a predicted state."""
-    v = F.col("embedding").cast("array<double>")
-    error = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - 0.05) * (x - 0.05))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").isNotNull().alias("ok"), F.round(error / (error + 1), 6).alias("anomaly"))
+    """Latent error and risk readout of state vectors, of which some are null or of odd length."""
+    i, v = F.col("vec_id"), F.col("embedding").cast("array<double>")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.when(i % 50 == 7, F.array_append(v, F.lit(0.5))).when(i % 50 != 9, v).alias("v"))
+    return latent_scores(rows, "vec_id").withColumn("anomaly", F.round("anomaly", 6)).withColumn("risk", F.round("risk", 6))
 
 
 @query()
