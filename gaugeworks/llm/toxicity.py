@@ -6,8 +6,10 @@ What separates (dots, dashes, slashes, gaps) stands for nothing or for the end o
 Viterbi decoding finds the likeliest letters under a character trigram model, whose counts come from the words of all
 documents. The restored words are then scored as if they had stood there.
 
-The score: the words and word beginnings that mark labelled documents have log-odds; a document's strongest word and
-its total go through a logistic curve. Log-odds are counted on three quarters of a sample of labelled documents, each
+The score: the words and word beginnings that mark labelled documents have log-odds. Some beginnings tell by how often
+other words have them: these have rates a word in toxic and clean texts, and a document's number of such words a
+log-likelihood. A document's strongest word, its total and its most telling beginning go through a logistic curve.
+Log-odds and rates are counted on three quarters of a sample of labelled documents, each
 text once, and the curve is fitted on the last quarter. The sample is the first SAMPLE labelled rows by a hash of the
 id, so its size doesn't grow with the input.
 
@@ -36,6 +38,8 @@ SAMPLE = 20_000
 THRESHOLD = 0.3
 HELD_WORDS = 200_000
 PREFIXES = (4, 5)
+#: A beginning has a rate of its own from so many words in toxic texts on; what its rate can say at most, in nats.
+LEAST_WORDS, MOST_NATS = 5, 20.0
 
 # What signs stand for, and the costs of the channel, in nats.
 SIGNS = {
@@ -233,6 +237,9 @@ def features_of(word: str) -> list[str]:
 
 
 def count_features(sent):
+    """(feature, marked, clean): texts of each class with each word and beginning; for #beginning its distinct words in
+    all texts, and for # all distinct words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked, clean, known = Counter(), Counter(), {}
 
@@ -245,7 +252,11 @@ def count_features(sent):
 
         for b in batches:
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                (marked if toxic else clean).update({f for t in tokens_of(text) for f in features(t)})
+                tokens, counts = tokens_of(text), marked if toxic else clean
+                had = [f for t in tokens for f in features(t)]
+                counts.update(set(had))
+                counts.update(f"#{f}" for f in had if f[0] != "=")
+                counts["#"] += len(tokens)
         every = list(marked | clean)
         yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([marked[f] for f in every], pa.int64()), pa.array([clean[f] for f in every], pa.int64())], ["feature", "marked", "clean"])
 
@@ -260,10 +271,10 @@ def folded(word: str) -> str:
 class Scorer:
     """Scores texts. A token of letters alone is skipped unless some reading of it can begin as a marker does."""
 
-    def __init__(self, model: Characters, weights: dict[str, float], curve: tuple[float, float, float] | None):
-        self.model, self.weights, self.curve, self.memo, self.decoded = model, weights, curve, {}, {}
+    def __init__(self, model: Characters, weights: dict[str, float], rates: dict[str, tuple[float, float]], curve: tuple[float, ...] | None):
+        self.model, self.weights, self.rates, self.curve, self.memo, self.decoded = model, weights, rates, curve, {}, {}
         self.whole = {folded(f[1:]) for f in weights if f[0] == "="}
-        self.begins = {folded(f) for f in weights if f[0] != "="}
+        self.begins = {folded(f) for f in [*weights, *rates] if f[0] != "="}
         self.sizes = sorted({len(f) for f in self.begins}, reverse=True)
 
     def may_mark(self, core: str) -> bool:
@@ -275,35 +286,43 @@ class Scorer:
                 return True
         return False
 
-    def weigh(self, token: str) -> float:
+    def weigh(self, token: str) -> tuple:
+        """The token's log-odds and its beginnings that have rates; empty if it has neither."""
         if len(self.memo) > HELD_WORDS:
             self.memo.clear()
         core = token.strip(EDGE)
         if core.isalpha() and not self.may_mark(core):
-            w = 0.0
+            w = ()
         elif (w := self.decoded.get(token)) is None:
             if len(self.decoded) > HELD_WORDS:
                 self.decoded.clear()
-            w = self.decoded[token] = max((self.weights.get(f, 0.0) for word in words_in(token, self.model) for f in features_of(word)), default=0.0)
+            features = {f for word in words_in(token, self.model) for f in features_of(word)}
+            odds, begins = max((self.weights.get(f, 0.0) for f in features), default=0.0), tuple(f for f in features if f in self.rates)
+            w = self.decoded[token] = (odds, begins) if odds or begins else ()
         self.memo[token] = w
         return w
 
-    def evidence(self, text: str | None) -> tuple[float, float]:
-        """The strongest token's log-odds, and the logarithm of the total."""
-        found, known = [], self.memo.get
-        for t in tokens_of(text):
+    def evidence(self, text: str | None) -> tuple[float, float, float]:
+        """The strongest token's log-odds, the logarithm of the total, and what the most telling beginning says: the
+        log-likelihood of its number of distinct words at the rate of toxic texts against the rate of clean ones."""
+        found, begun, known = [], Counter(), self.memo.get
+        tokens = tokens_of(text)
+        for t in tokens:
             if w := (self.weigh(t) if (k := known(t)) is None else k):
-                found.append(w)
-        return max(found, default=0.0), math.log1p(math.fsum(found))
+                if w[0]:
+                    found.append(w[0])
+                begun.update(w[1])
+        told = max((n * self.rates[f][0] - len(tokens) * self.rates[f][1] for f, n in begun.items()), default=0.0)
+        return max(found, default=0.0), math.log1p(math.fsum(found)), max(0.0, min(MOST_NATS, told))
 
     def score(self, text: str | None) -> float:
         if self.curve is None:
             return 0.0
-        x, y = self.evidence(text)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.curve[0] + self.curve[1] * x + self.curve[2] * y))))
+        z = self.curve[0] + math.fsum(b * x for b, x in zip(self.curve[1:], self.evidence(text), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float, float, float]:
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float, ...]:
     """Logistic regression with a small ridge, by Newton's method."""
     design, beta = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1)
     penalty = ridge * np.diag([1e-3, *[1.0] * x.shape[1]]) * len(x) / 100
@@ -322,8 +341,34 @@ def log_odds(marked, clean, n_marked: int, n_clean: int):
     return F.log(((marked + prior) / (n_marked + 1.0)) / ((clean + (1 - prior)) / (n_clean + 1.0)))
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Characters, dict[str, float], tuple[float, float, float] | None]:
-    """docs (doc_id, text), labels (doc_id, toxic) -> the character model, the markers' log-odds and the curve."""
+def without_top_word(counted: DataFrame) -> DataFrame:
+    """Words and beginnings, and of a beginning that one word makes up in toxic texts, only what other words say, if clean
+    texts have any: `lose` is not a marker because `loser` is. Adds one_word."""
+    c = F.col
+    words = counted.where(c("feature").startswith("=")).select(F.substring("feature", 2, 2**30).alias("w"), "marked", "clean")
+    each = words.select(F.explode(F.array(*(F.when(F.length("w") >= n, F.substring("w", 1, n)) for n in PREFIXES))).alias("feature"), F.struct("marked", "clean", "w").alias("word"))
+    tops = each.where("feature IS NOT NULL").groupBy("feature").agg(F.max("word").alias("top"))
+    rows = counted.join(tops, "feature", "left").withColumn("one_word", F.coalesce(c("top.marked") * 2 > c("marked"), F.lit(False)))
+    less = c("one_word") & (c("clean") > c("top.clean"))
+    take = lambda n: F.when(less, c(n) - c(f"top.{n}")).otherwise(c(n)).alias(n)
+    return rows.select("feature", "one_word", take("marked"), take("clean"))
+
+
+def word_rates(counted: DataFrame, one_word: DataFrame) -> dict[str, tuple[float, float]]:
+    """Beginnings whose words are more frequent in toxic texts: the logarithm of the ratio of the two rates a word, and
+    their difference. Each rate is smoothed by one word at the common rate. Beginnings of one word alone have none."""
+    all_ = counted.where("feature = '#'").first()
+    m, c = F.col("marked"), F.col("clean")
+    even = (m + c) / (all_["marked"] + all_["clean"])
+    a, b = (m + 1) / (all_["marked"] + 1 / even), (c + 1) / (all_["clean"] + 1 / even)
+    rows = counted.where(F.col("feature").startswith("#") & (F.length("feature") > 1) & (m >= LEAST_WORDS)).select(F.substring("feature", 2, 99).alias("f"), F.log(a / b).alias("ratio"), (a - b).alias("more"))
+    rows = rows.join(one_word.select(F.col("feature").alias("f")), "f", "left_anti")
+    return {r["f"]: (r["ratio"], r["more"]) for r in rows.where("ratio > 1.5").collect()}
+
+
+def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Characters, dict[str, float], dict[str, tuple[float, float]], tuple[float, ...] | None]:
+    """docs (doc_id, text), labels (doc_id, toxic) -> the character model, the markers' log-odds, the beginnings' rates
+    and the curve."""
     model = learn_characters(docs)
     usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit("sample"))
@@ -333,12 +378,13 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     sent = docs.sparkSession.sparkContext.broadcast(model)
     size = {r["toxic"]: r["count"] for r in rows.where("part < 3").groupBy("toxic").count().collect()}
     if len(size) < 2:
-        return model, {}, None
+        return model, {}, {}, None
     counted = rows.where("part < 3").select("text", "toxic").mapInArrow(count_features(sent), "feature string, marked long, clean long")
-    counted = counted.groupBy("feature").agg(F.sum("marked").alias("marked"), F.sum("clean").alias("clean")).where("marked >= 2")
-    counted = counted.withColumn("w", log_odds(F.col("marked"), F.col("clean"), size[True], size[False])).where("w > 1.5")
-    weights = {r["feature"]: r["w"] for r in counted.select("feature", "w").collect()}
-    sent, key = docs.sparkSession.sparkContext.broadcast((model, weights, None)), uuid.uuid4().hex
+    counted = materialize(counted.groupBy("feature").agg(F.sum("marked").alias("marked"), F.sum("clean").alias("clean")).where("marked >= 2"), "counted")
+    features = without_top_word(counted.where(~F.col("feature").startswith("#")))
+    odds = features.where("marked >= 2").withColumn("w", log_odds(F.col("marked"), F.col("clean"), size[True], size[False])).where("w > 1.5")
+    weights, rates = {r["feature"]: r["w"] for r in odds.select("feature", "w").collect()}, word_rates(counted, features.where("one_word"))
+    sent, key = docs.sparkSession.sparkContext.broadcast((model, weights, rates, None)), uuid.uuid4().hex
 
     def evidence(texts: pa.Array) -> pa.Array:
         scorer = scorer_for(key, sent)
@@ -348,8 +394,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     held = rows.where("part = 3").select("toxic", F.arrow_udf(evidence, "array<double>")("text").alias("x")).collect()
     y = np.array([float(r["toxic"]) for r in held])
     if not len(y) or y.min() == y.max():
-        return model, weights, (-4.0, 1.0, 0.0)
-    return model, weights, fit_curve(np.array([r["x"] for r in held]), y)
+        return model, weights, rates, (-4.0, 1.0, 0.0, 0.0)
+    return model, weights, rates, fit_curve(np.array([r["x"] for r in held]), y)
 
 
 #: One scorer for each Python worker and learned model, so that memos live as long as the worker.
