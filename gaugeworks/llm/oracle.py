@@ -34,4 +34,14 @@ links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM items x JOIN items y ON x.ite
 ids AS (SELECT doc_id AS id FROM documents), {COMPONENTS}
 SELECT doc_id, n AS n_shingles, component_id FROM sizes JOIN component ON node = doc_id"""
 
-ORACLE_SQL = {"op1_chat_format": CHAT, "op5_embed_dedup": EMBEDDINGS, "op9_jaccard_join": NEAR_COPIES}
+INFILLING = """
+WITH hashed AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h FROM documents),
+sized AS (SELECT *, length(text) AS n, cast('0x' || h[1:8] AS BIGINT) AS h1, cast('0x' || h[9:16] AS BIGINT) AS h2, cast('0x' || h[17:24] AS BIGINT) AS h3, cast('0x' || h[25:32] AS BIGINT) AS h4 FROM hashed),
+formed AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM sized),
+parts AS (SELECT *, substring(text, 1, a) AS prefix, substring(text, a + 1, b - a) AS middle, substring(text, b + 1) AS suffix FROM formed)
+SELECT doc_id, n::bigint AS n, form, CASE WHEN form <> 'plain' THEN a END::bigint AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END::bigint AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM parts"""
+
+ORACLE_SQL = {"op1_chat_format": CHAT, "op5_embed_dedup": EMBEDDINGS, "op9_jaccard_join": NEAR_COPIES, "op12_fill_in_middle": INFILLING}
