@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_token_alignment
 from .chat import op1_chat_format
 from .embed_dedup import op5_embed_dedup
 from .html_extract import op7_html_extract
@@ -17,4 +18,4 @@ from .toxicity import op4_toxicity
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_mixing, op3_packing, op4_toxicity, op5_embed_dedup, op6_media, op7_html_extract, op8_langid, op9_jaccard_join, op10_pii, op12_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_mixing, op3_packing, op4_toxicity, op5_embed_dedup, op6_media, op7_html_extract, op8_langid, op9_jaccard_join, op10_pii, op11_token_alignment, op12_fill_in_middle)}
