@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.upsert import orphans, upsert_plan
+from ..operators.upsert import orphans
 from ..registry import query
+from ..sources.store import EvidenceStore, scratch
 from ..sources.tables import table
 from .bindings import CORPUS, LABELLED, corpus, labelled
 
@@ -276,12 +277,17 @@ def s_symdiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.where("a <> b").select("id")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'insert' WHEN event_id % 50 = 1 THEN 'conflict' ELSE 'same' END AS action FROM events")
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'insert' WHEN event_id % 50 = 1 THEN 'conflict' ELSE 'same' END AS action, CASE WHEN event_id % 4 <> 0 AND event_id % 50 = 1 THEN 'conflict' ELSE 'same' END AS again, value FROM events""")
 def s_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second batch against the store: new, equal, or in conflict."""
+    """A second batch against a stored one: new, equal, or in conflict; and the same batch once more under another name.
+    The value is the stored one: a conflict leaves it."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
     batch = e.withColumn("value", F.when(F.col("event_id") % 50 == 1, F.col("value") + 1).otherwise(F.col("value")))
-    return upsert_plan(e.where("event_id % 4 <> 0"), batch, "event_id")
+    store = EvidenceStore(spark, scratch(spark, "upsert"), slots=16)
+    store.apply("events", e.where("event_id % 4 <> 0"), "first")
+    plan = store.apply("events", batch, "second").select("event_id", "action")
+    again = store.apply("events", batch, "third").select("event_id", F.col("action").alias("again"))
+    return plan.join(again, "event_id").join(store.read("events").select("event_id", "value"), "event_id")
 
 
 @query("SELECT 'rule ' || (event_id % 6) AS message, min(event_id) AS first_row, count(*) AS n FROM events WHERE value < 3 GROUP BY 1")
@@ -291,11 +297,37 @@ def s_uniqerr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("message").agg(F.min("event_id").alias("first_row"), F.count("*").alias("n"))
 
 
-@query("SELECT e.user_id % 2 = 0 AS even, count(*) AS n, round(sum(value), 4) AS total FROM events e WHERE user_id % 10 = 3 GROUP BY 1")
-def src_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The store itself: events written partitioned by family and type, read back with partition pruning."""
-    from ..sources.store import read_events, write_events
+STORED = f"""
+WITH {SIGNALS}, s AS (SELECT *, CASE WHEN event_id % 13 = 0 THEN 'gone' ELSE 'd' || strategy END AS definition_id FROM signals WHERE event_id % 4 <> 3),
+{OUTCOMES}, kept AS (SELECT * FROM s WHERE definition_id <> 'gone'), versions AS (SELECT event_id, strategy, count(*) AS n, bool_or(version = 'v1') AS first FROM kept GROUP BY ALL),
+o AS (SELECT o.*, n, first FROM outcomes o LEFT JOIN versions USING (event_id, strategy))
+SELECT 'events' AS stored, 'insert' AS action, '' AS reason, count(*) AS n FROM events
+UNION ALL SELECT 'events', 'conflict', '', count(*) FROM events WHERE event_id % 50 = 1
+UNION ALL SELECT 'events', 'same', '', count(*) FROM events WHERE event_id % 50 <> 1
+UNION ALL SELECT 'definitions', 'insert', '', count(DISTINCT user_id % 3) FROM events
+UNION ALL SELECT 'signals', CASE definition_id WHEN 'gone' THEN 'rejected' ELSE 'insert' END, CASE definition_id WHEN 'gone' THEN 'unknown definition' ELSE '' END, count(*) FROM s GROUP BY ALL
+UNION ALL SELECT 'outcomes', CASE WHEN n IS NULL OR version IS NULL AND n > 1 THEN 'rejected' ELSE 'insert' END, CASE WHEN n IS NULL THEN 'no signal' WHEN version IS NULL AND n > 1 THEN 'a version is required' ELSE '' END, count(*) FROM o GROUP BY ALL
+UNION ALL SELECT 'stored ' || x, '', '', n FROM (SELECT 'events' AS x, count(*) AS n FROM events UNION ALL SELECT 'signals', count(*) FROM kept UNION ALL SELECT 'outcomes', count(*) FROM o WHERE n = 1 OR n > 1 AND version IS NOT NULL)"""
+
 
-    e = table(spark, sf_dir, "events").withColumn("family", F.when(F.col("user_id") % 10 == 3, "change").otherwise("operational"))
-    back = read_events(spark, write_events(e), family="change")
-    return back.groupBy((F.col("user_id") % 2 == 0).alias("even")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+@query(STORED)
+def src_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store of events, definitions, signals and outcomes: written in order, the events once more with conflicts, and
+    what became of each row; then the rows that the tables hold."""
+    store = EvidenceStore(spark, scratch(spark, "kb"), slots=16)
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")
+    store.apply("events", e, "first")
+    store.apply("events", e.withColumn("value", F.when(F.col("event_id") % 50 == 1, F.col("value") + 1).otherwise(F.col("value"))), "second")
+    named = F.concat(F.lit("d"), (F.col("user_id") % 3).cast("string"))
+    store.apply("definitions", e.select(named.alias("definition_id")).distinct().withColumn("event", F.lit("error")), "first")
+    scored = signals(spark, sf_dir).where("event_id % 4 <> 3")
+    meant = F.concat(F.lit("d"), F.col("strategy").cast("string"))
+    store.apply("signals", scored.withColumn("definition_id", F.when(F.col("event_id") % 13 == 0, "gone").otherwise(meant)), "first")
+    store.apply("outcomes", outcomes(spark, sf_dir).withColumn("definition_id", meant), "first")
+    out = None
+    for name in ("events", "definitions", "signals", "outcomes"):
+        rows = store.ledger(name).groupBy(F.lit(name).alias("stored"), "action", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.sum("times").alias("n"))
+        out = rows if out is None else out.unionAll(rows)
+        if name != "definitions":
+            out = out.unionAll(store.read(name).agg(F.count("*").alias("n")).select(F.lit(f"stored {name}"), F.lit(""), F.lit(""), "n"))
+    return out

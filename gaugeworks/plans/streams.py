@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..sources.store import EvidenceStore, scratch
 from ..sources.tables import table
 from ..streaming import feeds
 from .knowledge import ANCHORS, anchors
@@ -29,12 +30,23 @@ def st_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors(spark, sf_dir).select("anchor").join(counted, "anchor", "left").select("anchor", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("SELECT event_id, user_id, value FROM events")
+@query("SELECT event_id, user_id, value, 1::bigint AS inserted, (event_id % 7 = 0)::bigint AS same, (event_id % 11 = 0)::bigint AS conflicts FROM events")
 def st_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feed with every seventh event sent twice: each arrives once."""
-    feed = events(spark, sf_dir)
-    twice = feed.withColumn("_again", F.explode(F.when(F.col("event_id") % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("_again")
-    return feeds.run_to_table(feeds.ingest(twice), "ingest").select("event_id", "user_id", "value")
+    """A feed in which every seventh event is sent again an hour later and every eleventh with another value: the store
+    has each as it first came, the ledger the rest. The last batch is run again, as after a lost driver."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "value", F.col("ts").alias("at"), "ts")
+    late = e.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
+    feed = e.unionAll(late.where("event_id % 7 = 0")).unionAll(late.where("event_id % 11 = 0").withColumn("value", F.col("value") + 1))
+    path = scratch(spark, "feed")
+    store, state = EvidenceStore(spark, f"{path}/store", slots=16), f"{path}/state"
+    stream = feeds.replay(feed)
+    feeds.run_into_store(stream, store, "events", "ts", state)
+    feeds.forget_last_batch(spark, state)
+    feeds.run_into_store(stream, store, "events", "ts", state)
+    count = lambda action, n: F.sum(F.when(F.col("action") == action, n).otherwise(0)).alias(action)
+    ledger = store.ledger("events")
+    per = ledger.groupBy("event_id").agg(count("insert", 1), (F.sum(F.when(F.col("action") == "same", F.col("times")).when(F.col("action") == "insert", F.col("times") - 1).otherwise(0))).alias("same"), count("conflict", F.col("times")))
+    return store.read("events").join(per, "event_id").select("event_id", "user_id", "value", F.col("insert").cast("long").alias("inserted"), F.col("same").cast("long").alias("same"), F.col("conflict").cast("long").alias("conflicts"))
 
 
 @query("SELECT event_id, round(least(value / 40, 1), 6) AS score, event_type = 'error' AS occurred FROM events WHERE event_id % 3 = 0")

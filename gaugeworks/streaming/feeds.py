@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..sources.store import scratch
+from ..sources.store import EvidenceStore, scratch
 
 #: Rows in a file of a replay, so that a trigger holds a bounded number of them.
 FILE_ROWS = 250_000
@@ -73,6 +74,24 @@ def ingest(events: DataFrame, delay: str = "2 hours") -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def run_into_store(stream: DataFrame, store: EvidenceStore, table: str, order: str, state: str) -> None:
+    """Runs a stream over all that is there now into a store. The batch's number is its commit: the plan that the first
+    attempt wrote decides, so that a repeated batch adds no row and no conflict. Plans are the ledger of the feed."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        replace(store, spark=batch.sparkSession).apply(table, batch, f"batch={number}", order)
+
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
+def forget_last_batch(spark: SparkSession, state: str) -> None:
+    """What a driver lost between a batch and its commit leaves: the batch is planned, but not known as done."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/commits")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [f.getPath() for f in files.listStatus(folder) if f.getPath().getName().isdigit()]
+    files.delete(max(done, key=lambda path: int(path.getName())), False)
+
+
 def pairs(signals: DataFrame, outcomes: DataFrame, delay: str = "2 hours", within: str = "1 hour") -> DataFrame:
     """Stream-stream inner join of scores with outcomes that follow within a bounded time."""
     s = signals.withWatermark("ts", delay).select(F.col("event_id").alias("s_id"), F.col("ts").alias("s_ts"), "score")
