@@ -3,7 +3,8 @@
 A page becomes blocks of text in order. A linear classifier gives each block a log-odds of being main text from its
 own words, punctuation and links and from the elements around it; the two costs that follow are its capacities to the
 source (content) and the sink (boilerplate). Neighbouring blocks, and blocks under the same parent, are joined by
-smoothness edges that are stronger the closer the two lie in the tree. The minimum cut labels the blocks.
+smoothness edges that are stronger the closer the two lie in the tree. The minimum cut labels the blocks. The name of an
+element speaks against it only where prose stands outside of it: the part that holds the page's prose is kept.
 
 Defined results: null or empty html, and a page without main text, give an empty text; html of any length is read
 whole; broken markup is read as far as it can be; repeated rows get equal results; an empty table gives no rows; a
@@ -48,11 +49,12 @@ BIAS, PER_LOG_WORD, LINKED, SENTENCES, PARAGRAPH, HEADING, ITEM, WITHIN, BESIDE,
 NAMED_MAIN = 1.5
 ADJACENT, SIBLING = 0.8, 0.5
 
-# Quoted values may hold >. The bounds keep broken quotes from making the scan quadratic; beyond them a tag ends at its first >.
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']{1,4096}+|\"[^\"]{0,8192}+\"|'[^']{0,8192}+'){0,256}+|[^>]*+)>",
-    re.S,
-)
+#: A name speaks against an element only while at least this share of the prose that it would take away stands elsewhere.
+ELSEWHERE = 0.2
+
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)", re.S)
+#: In a tag: its end, or the quote that begins a value, in which > is no end.
+TAG_STOP = re.compile(r">|=\s*+([\"'])")
 #: Where the raw text of such an element ends. Searched in the page itself, as lower case can have other offsets.
 RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -64,7 +66,7 @@ SENTENCE_END = re.compile(r"[.!?…:;,](?=\s|$)")
 class Element:
     """An open element. What its ancestors say is carried down when it opens, so no text walks up a deep page."""
 
-    __slots__ = ("tag", "up", "depth", "cue", "hidden", "linked", "block", "within", "main", "keeps", "against")
+    __slots__ = ("tag", "up", "depth", "cue", "name", "hidden", "linked", "block", "within", "main", "keeps", "against", "prose")
 
     def __init__(self, tag: str, up: Element | None, attributes: str = ""):
         self.tag, self.up, self.depth = tag, up, up.depth + 1 if up else 0
@@ -72,6 +74,10 @@ class Element:
         parts = {p.lower() for k in ("class", "id", "role") for p in NAME_PART.findall(named.get(k, ""))}
         page = tag in ("html", "body")
         self.cue = bool(parts & CUES) and not page
+        #: Siblings of one name are one part of the page.
+        self.name = (id(up), tag, " ".join(sorted(parts)))
+        #: Words of prose below, but for what parts with a name of their own hold.
+        self.prose = 0
         unseen = tag in UNSEEN or bool(HIDDEN.search(attributes)) or "display:none" in named.get("style", "").replace(" ", "").lower()
         self.hidden = unseen or bool(up and up.hidden)
         self.linked = tag == "a" or bool(up and up.linked)
@@ -100,6 +106,17 @@ class Element:
         return self.against
 
 
+def end_of_tag(page: str, at: int, last: int) -> int:
+    """Where the tag that began before `at` ends; -1 if it does not, or a quoted value in it never ends."""
+    while m := TAG_STOP.search(page, at, last):
+        if m[1] is None:
+            return m.end()
+        at = page.find(m[1], m.end(), last) + 1
+        if not at:
+            return -1
+    return -1
+
+
 class Block:
     __slots__ = ("text", "linked", "at", "tag")
 
@@ -109,6 +126,7 @@ class Block:
 
 def blocks_of(page: str) -> list[Block]:
     """The page's visible text blocks in order. Inline elements don't end a block, and <br> is white space in it."""
+    elements: list[Element] = []
     root = now = Element("", None)
     opened: Counter = Counter()
     out: list[Block] = []
@@ -136,7 +154,7 @@ def blocks_of(page: str) -> list[Block]:
         opened[now.tag] -= 1
         now = now.up
 
-    at, last = 0, page.rfind(">") + 1
+    at, last, quotes = 0, page.rfind(">") + 1, True
     tail = page.find("<!--", last)
     tail = len(page) if tail < 0 else tail  # an unclosed comment runs to the end
     while m := MARKUP.search(page, at, last):
@@ -144,6 +162,12 @@ def blocks_of(page: str) -> list[Block]:
         at = m.end()
         if m[2] is None:
             continue
+        # A tag whose quotes leave it open to the page's end is broken, and so are quotes from here on: a tag then ends at
+        # its first >. So no part of a page is scanned more than twice.
+        end = end_of_tag(page, at, last) if quotes else -1
+        if end < 0:
+            quotes, end = False, page.find(">", at) + 1
+        attributes, at = page[at : end - 1], end
         tag = m[2].lower()
         if tag in BLOCK:
             end_block()
@@ -161,9 +185,10 @@ def blocks_of(page: str) -> list[Block]:
             inner = now.block
             while now is not inner.up:
                 close_one()
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or attributes.endswith("/"):
             continue
-        now = Element(tag, now, m[3])
+        now = Element(tag, now, attributes)
+        elements.append(now)
         opened[tag] += 1
         if tag == "h1" or tag in INSIDE and not now.cue:
             e = now.up
@@ -175,9 +200,45 @@ def blocks_of(page: str) -> list[Block]:
             at = close.start() if close else len(page)
     say(page[at:tail] if at <= tail else "")
     end_block()
+    believe_names(elements, out)
     return out
 
 
+def believe_names(elements: list[Element], blocks: list[Block]) -> None:
+    """Takes back what a name says against an element that holds the page's prose, such as `layout-with-sidebar`.
+
+    Where hardly any prose stands outside the named parts, the part with most of it is kept, whatever it is called."""
+    named = [e for e in elements if e.cue and not e.keeps and e.own_weight() in (BESIDE, PLAIN_CUE) and e.tag not in OUTSIDE]
+    if not named:
+        return
+    words: Counter = Counter()  # below an element, outside named parts, with or without sentences
+    for b in blocks:
+        if b.linked * 2 < len(b.text):
+            words[id(b.at)] += (n := b.text.count(" ") + 1)
+            b.at.prose += n if SENTENCE_END.search(b.text) else 0
+    most, against = Counter(), set(map(id, named))
+    inner: dict[int, int] = {}  # the most prose that one named part below an element holds
+    parts: dict[tuple, list[Element]] = {}
+    for e in reversed(elements):
+        if id(e) in against:
+            parts.setdefault(e.name, []).append(e)
+            gain = max(e.prose, inner.get(id(e), 0))
+            most[e.name] += gain
+            inner[id(e.up)] = max(inner.get(id(e.up), 0), gain)
+            continue
+        inner[id(e.up)] = max(inner.get(id(e.up), 0), inner.get(id(e), 0))
+        if e.own_weight() == 0:
+            e.up.prose += e.prose
+            words[id(e.up)] += words[id(e)]
+    elsewhere = words[id(elements[0].up)]
+    for e in named:
+        if id(e) in against and elsewhere < ELSEWHERE * most[e.name]:
+            for x in parts[e.name]:
+                against.discard(id(x))
+                x.keeps = True
+                elsewhere += x.prose
+
+
 def log_odds(b: Block) -> float:
     """Classifier: the log-odds that a block is main text."""
     words = b.text.count(" ") + 1

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-# The kinds in report order, their score on shape alone, and what a passed checksum adds. An IBAN needs its
-# checksum or a context word, an SSN, which has no checksum, a context word.
+# The kinds in report order, their score on shape alone, and what a passed checksum adds. A failed checksum
+# rejects a span, whatever words are near it. An SSN, which has no checksum, needs a context word.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
 SHAPE = {"email": 0.8, "ip": 0.5, "card": 0.4, "phone": 0.5, "iban": 0.35, "ssn": 0.35}
@@ -95,7 +95,7 @@ def spans_of(text: str | None) -> list[dict]:
                 found.append(("card", *m.span(), True))
         if "+" in text:
             found += [("phone", *m.span(), False) for m in PHONE.finditer(text) if 9 <= len(only_digits(m[0])) <= 15]
-        found += [("iban", *m.span(), mod97(m[0].replace(" ", ""))) for m in IBAN.finditer(text)]
+        found += [("iban", *m.span(), True) for m in IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
         found += [("ssn", *m.span(), False) for m in SSN.finditer(text)]
     out = []
     for kind, a, b, checked in found:
