@@ -155,18 +155,10 @@ def paired_comparison(df: DataFrame) -> DataFrame:
 
 
 def top_fraction(df: DataFrame, fraction: float = 0.2) -> DataFrame:
-    """n, selected, selected rate and share of all positives in the top max(1, ceil(fraction n)) by (-s, id).
-
-    The cut score comes from a count by score; only rows with exactly that score are ordered by id."""
-    per = df.groupBy("s").agg(F.count("*").alias("k"))
-    n = per.agg(F.sum("k").alias("n"))
-    want = F.greatest(F.lit(1), F.ceil(F.col("n") * fraction))
-    cut = running(per, [], "s", ["k"], ascending=False).withColumnRenamed("k_before", "above").crossJoin(F.broadcast(n)).withColumn("want", want)
-    cut = cut.where("above < want AND above + k >= want").selectExpr("s AS cut", "want - above AS take", "want", "n")
-    rows = df.crossJoin(F.broadcast(cut))
-    sure = rows.where("s > cut").agg(F.count("*").alias("n1"), F.coalesce(F.sum("y"), F.lit(0)).alias("y1"))
-    edge = rows.where("s = cut").withColumn("rn", F.row_number().over(Window.partitionBy("s").orderBy("id"))).where("rn <= take").agg(F.coalesce(F.sum("y"), F.lit(0)).alias("y2"))
+    """n, selected, selected rate and share of all positives in the top max(1, ceil(fraction n)) by (-s, id)."""
+    from .order import first_by_score
+
+    top = first_by_score(df, fraction, ["id"], {"hits": F.col("y")})
     every = df.agg(F.sum("y").alias("y0"))
-    out = cut.crossJoin(sure).crossJoin(edge).crossJoin(every)
-    hits = F.col("y1") + F.col("y2")
-    return out.select("n", F.col("want").cast("long").alias("selected"), (hits / F.col("want")).alias("selected_rate"), F.try_divide(hits, F.col("y0")).alias("capture_rate"))
+    hits = F.col("hits")
+    return top.crossJoin(F.broadcast(every)).select(F.col("n").cast("long").alias("n"), F.col("selected").cast("long").alias("selected"), (hits / F.col("selected")).alias("selected_rate"), F.try_divide(hits, F.col("y0")).alias("capture_rate"))

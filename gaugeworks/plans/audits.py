@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.metrics import running
-from ..operators.order import adjacent_gaps, split_at_fraction
+from ..operators.order import adjacent_gaps, at_ranks, split_at_fraction
 from ..registry import query
 from ..sources.tables import table
 
@@ -117,9 +117,14 @@ def a_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_returnflag AS label, quantile_cont(l_extendedprice, 0) AS q0, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(quantile_cont(l_extendedprice, 0.5), 4) AS q2, round(quantile_cont(l_extendedprice, 0.75), 4) AS q3, quantile_cont(l_extendedprice, 1) AS q4 FROM lineitem GROUP BY 1")
 def a_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Box-plot quantiles of a sensor by label."""
-    q = F.percentile("l_extendedprice", F.array(*(F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0))))
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("label")).agg(q.alias("q"))
-    return rows.select("label", F.col("q")[0].alias("q0"), *(F.round(F.col("q")[k], 4).alias(f"q{k}") for k in (1, 2, 3)), F.col("q")[4].alias("q4"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("label"), F.col("l_extendedprice").alias("v"))
+    place = lambda p: (F.col("n") - 1) * F.lit(p)
+    shares = {k: k / 4 for k in range(5)}
+    found = at_ranks(rows, ["label"], "v", {f"{e}{k}": f(place(p)) for k, p in shares.items() for e, f in (("lo", F.floor), ("hi", F.ceil))})
+    n = rows.where("v IS NOT NULL").groupBy("label").agg(F.count("*").alias("n"))
+    part = lambda p: place(p) - F.floor(place(p))
+    between = {k: F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * part(p) for k, p in shares.items()}
+    return found.join(n, "label").select("label", *((F.round(c, 4) if 0 < k < 4 else c).alias(f"q{k}") for k, c in between.items()))
 
 
 @query("SELECT count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_shipdate) AS days FROM lineitem")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import BIN_SQL, first_reason
 from ..operators.gates import counts_grid, failed_rows, gate_report, worst
 from ..operators.metrics import reliability, running
+from ..operators.order import at_ranks
 from ..registry import query
 from ..sources.store import scratch
 from ..sources.tables import table
@@ -142,11 +143,10 @@ def a_success(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH d AS (SELECT o_custkey % 40 AS lane, row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY r) - 1 AS pos, r, count(*) OVER (PARTITION BY o_custkey % 40) AS n FROM (SELECT o_custkey, round(avg((o_orderstatus <> 'P')::int), 9) AS r FROM orders GROUP BY 1))
  SELECT lane, least(0.9, floor(r * 100) / 100)::double AS floor FROM d WHERE pos = floor(0.05 * (n - 1))""")
 def a_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fifth-percentile floor by index, cut to two places, 0.90 at most. Lanes hold a bounded number of rates."""
+    """Fifth-percentile floor by index, cut to two places, 0.90 at most."""
     rates = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(F.avg((F.col("o_orderstatus") != "P").cast("int")), 9).alias("r"))
-    w = Window.partitionBy("lane")
-    rows = rates.withColumn("lane", F.col("o_custkey") % 40).withColumn("pos", F.row_number().over(w.orderBy("r")) - 1).withColumn("n", F.count("*").over(w))
-    return rows.where(F.col("pos") == F.floor(0.05 * (F.col("n") - 1))).select("lane", F.least(F.lit(0.9), F.floor(F.col("r") * 100) / 100).alias("floor"))
+    at = at_ranks(rates.select((F.col("o_custkey") % 40).alias("lane"), "r"), ["lane"], "r", {"low": F.floor(0.05 * (F.col("n") - 1))})
+    return at.select("lane", F.least(F.lit(0.9), F.floor(F.col("low") * 100) / 100).alias("floor"))
 
 
 SCREEN_SQL = "CASE WHEN s_suppkey % 11 = 0 THEN 'not public' WHEN s_acctbal < 0 THEN 'no supply' WHEN s_acctbal * (0.1 + (s_suppkey % 9) / 10.0) < 800 THEN 'supply below floor' WHEN s_suppkey % 7 = 0 THEN 'build unstable' ELSE 'accepted' END"

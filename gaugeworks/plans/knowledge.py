@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import first_by_score, placed
 from ..operators.upsert import orphans
 from ..registry import query
 from ..sources.store import EvidenceStore, scratch
@@ -116,15 +117,6 @@ def j_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT unit, last_cycle::int AS last_cycle, rul FROM u JOIN v USING (pos)""")
 def j_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The n-th value belongs to the n-th unit; positions are counts of the ranges before plus the place inside one."""
-    from ..operators.order import by_range
-
-    def placed(df: DataFrame, key: str) -> DataFrame:
-        rows = by_range(df, key)
-        per = rows.groupBy("_range").agg(F.count("*").alias("_k"))
-        before = F.coalesce(F.sum("_k").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        place = F.row_number().over(Window.partitionBy("_range").orderBy(key))
-        return rows.join(per.select("_range", before.alias("_before")), "_range").withColumn("pos", F.col("_before") + place).drop("_range", "_before")
-
     units = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("unit")).agg(F.max("l_linenumber").alias("last_cycle"))
     values = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 7).alias("rul"))
     return placed(units, "unit").join(placed(values, "o_orderkey"), "pos").select("unit", "last_cycle", "rul")
@@ -222,22 +214,13 @@ def k_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {LABELLED}, g AS (SELECT *, row_number() OVER (ORDER BY s DESC, id, family) AS gr, row_number() OVER (PARTITION BY family ORDER BY s DESC, id) AS lr, count(*) OVER () AS gn, count(*) OVER (PARTITION BY family) AS ln FROM labelled)
  SELECT family, count(*) FILTER (WHERE gr <= ceil(0.2 * gn)) AS in_global, count(*) FILTER (WHERE lr <= ceil(0.2 * ln)) AS in_local, count(*) FILTER (WHERE gr <= ceil(0.2 * gn) AND lr <= ceil(0.2 * ln)) AS in_both FROM g GROUP BY family""")
 def k_globallocal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The global top fifth against each family's own. Ranks are counted over distinct scores, ties by id."""
-    from ..operators.metrics import running
-
-    def ranked(df: DataFrame, groups: list[str], name: str) -> DataFrame:
-        per = running(df.groupBy(*groups, "s").agg(F.count("*").alias("k")), groups, "s", ["k"], ascending=False)
-        inside = F.row_number().over(Window.partitionBy(*groups, "s").orderBy("id", "family"))
-        joined = df.join(per.drop("k"), [*groups, "s"])
-        return joined.withColumn(name, F.col("k_before") + inside).drop("k_before")
-
+    """The global top fifth against each family's own. Both are first parts of a family's own order, by score and then id,
+    so that the smaller one is what they share."""
     rows = labelled(spark, sf_dir)
-    rows = ranked(ranked(rows, [], "gr"), ["family"], "lr")
-    n = rows.agg(F.count("*").alias("gn"))
-    rows = rows.join(rows.groupBy("family").agg(F.count("*").alias("ln")), "family").crossJoin(F.broadcast(n))
-    g, l = F.col("gr") <= F.ceil(0.2 * F.col("gn")), F.col("lr") <= F.ceil(0.2 * F.col("ln"))  # noqa: E741
-    many = lambda c: F.sum(c.cast("long"))
-    return rows.groupBy("family").agg(many(g).alias("in_global"), many(l).alias("in_local"), many(g & l).alias("in_both"))
+    top = first_by_score(rows, 0.2, ["id", "family"], {"in_global": F.lit(1)}, ("family",)).select("family", "in_global")
+    own = rows.groupBy("family").agg(F.ceil(F.lit(0.2) * F.count("*")).alias("in_local")).join(top, "family", "left")
+    in_global = F.coalesce("in_global", F.lit(0))
+    return own.select("family", in_global.alias("in_global"), "in_local", F.least(in_global, "in_local").alias("in_both"))
 
 
 @query(f"""WITH {LABELLED}, p AS (SELECT y FROM (SELECT y, row_number() OVER (ORDER BY s DESC, id, family) AS rn FROM labelled) WHERE rn <= 40), f AS (SELECT family, avg(y) AS precision FROM (SELECT family, y, row_number() OVER (PARTITION BY family ORDER BY s DESC, id) AS rn FROM labelled) WHERE rn <= 20 GROUP BY 1)

@@ -7,23 +7,36 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import label_of
+from ..functions.scores import BIN_SQL, label_of
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..registry import query
 from ..sources.tables import table
-from .bindings import corpus, scored
+from .bindings import CORPUS, corpus, scored
 from .gates import admission_failures
 
 
-@query()
+#: The fit by its definition: at each score, the largest over starts before it of the least mean from there to an end behind it.
+FITTED = """
+ per AS (SELECT s, count(*) AS k, sum(y) AS p FROM fit GROUP BY s), sums AS (SELECT s, row_number() OVER w AS i, sum(k) OVER w AS n, sum(p) OVER w AS t, sum(k) OVER w - k AS n0, sum(p) OVER w - p AS t0 FROM per WINDOW w AS (ORDER BY s)),
+ spans AS (SELECT a.i AS j, b.i AS i, min((b.t - a.t0)::double / (b.n - a.n0)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS low FROM sums a JOIN sums b ON b.i >= a.i),
+ fitted AS (SELECT s AS x, g FROM (SELECT i, max(low) AS g FROM spans GROUP BY i) JOIN sums USING (i)),
+ raised AS (SELECT test.* EXCLUDE (s), CASE WHEN lo.x IS NULL THEN hi.g WHEN hi.x IS NULL OR hi.x = lo.x THEN lo.g ELSE lo.g + (hi.g - lo.g) * (test.s - lo.x) / (hi.x - lo.x) END AS s
+  FROM test ASOF LEFT JOIN fitted lo ON test.s >= lo.x ASOF LEFT JOIN fitted hi ON test.s <= hi.x)"""
+
+ROWS = "r AS (SELECT row_id, split, s, (outcome = 'observed_positive')::int AS y FROM corpus WHERE outcome <> 'censored')"
+
+
+@query(f"""WITH {CORPUS}, {ROWS}, fit AS (SELECT * FROM r WHERE split = 'calibration_fit'), test AS (SELECT * FROM r WHERE split = 'test'), {FITTED},
+ both_ AS (SELECT 'raw' AS family, s, y FROM test UNION ALL SELECT 'calibrated', s, y FROM raised), b AS (SELECT family, {BIN_SQL} AS bin, count(*) AS n, abs(sum(s) - sum(y)) AS gap FROM both_ GROUP BY ALL)
+ SELECT family, count(*) AS n, round(avg(pow(s - y, 2)), 6) AS brier, round((SELECT sum(gap) / sum(n) FROM b WHERE b.family = both_.family), 6) AS ece FROM both_ GROUP BY family""")
 def ml_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Isotonic calibration fitted on one split and measured on another."""
     rows = corpus(spark, sf_dir).where("outcome <> 'censored'").select("split", "s", label_of(F.col("outcome")).alias("y"))
-    points = ML.fit_isotonic(rows.where("split = 'calibration_fit'"))
+    blocks = ML.isotonic_blocks(rows.where("split = 'calibration_fit'"))
     test = rows.where("split = 'test'").withColumn("family", F.lit("raw"))
-    both = test.unionByName(test.withColumn("family", F.lit("calibrated")).withColumn("s", ML.calibrated(F.col("s"), points)))
-    return M.summary(both, ["family"]).select("family", "n", F.round("brier", 6).alias("brier"), F.round("ece", 6).alias("ece"))
+    raised = ML.apply_isotonic(test, blocks).select("split", F.col("calibrated").alias("s"), "y", F.lit("calibrated").alias("family"))
+    return M.summary(test.unionByName(raised), ["family"]).select("family", "n", F.round("brier", 6).alias("brier"), F.round("ece", 6).alias("ece"))
 
 
 @query()
@@ -106,7 +119,7 @@ def g_stage1(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
     bad = admission_failures(c).where("gate IN ('lineage_linkage', 'outcome_censoring', 'prediction_time_fields')").select("row_id").distinct()
     rows = c.join(bad, "row_id", "left_anti").where("outcome <> 'censored'").select("split", "s", label_of(F.col("outcome")).alias("y"), F.concat(F.lit("orders "), (F.col("row_id") % 2).cast("string")).alias("family"))
-    points = ML.fit_isotonic(rows.where("split = 'calibration_fit'"))
-    test = rows.where("split = 'test'").withColumn("s", ML.calibrated(F.col("s"), points))
+    blocks = ML.isotonic_blocks(rows.where("split = 'calibration_fit'"))
+    test = ML.apply_isotonic(rows.where("split = 'test'"), blocks).drop("s").withColumnRenamed("calibrated", "s")
     report = M.conformance(M.summary(test, ["family"]))
     return report.select("family", "n", "positives", F.round("brier", 6).alias("brier"), F.round("ece", 6).alias("ece"), F.round("auc", 6).alias("auc"), "reason")
