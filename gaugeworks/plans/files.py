@@ -25,34 +25,33 @@ def text_file(rows: DataFrame, name: str, **options: str) -> str:
     return path
 
 
-@query("""SELECT count(*) AS n, count(*) FILTER (WHERE o_orderkey % 50 = 0) AS arity, count(*) FILTER (WHERE o_orderkey % 50 <> 0 AND o_orderkey % 33 = 0) AS bad_price, count(*) FILTER (WHERE o_orderkey % 50 <> 0 AND o_orderkey % 33 <> 0) AS valid FROM orders""")
+CSV_SQL = """WITH r AS (SELECT o_orderkey % 5 AS part, o_orderkey AS k, row_number() OVER (PARTITION BY o_orderkey % 5 ORDER BY o_orderkey) + 1 AS line FROM orders),
+ e AS (SELECT part, line, list_filter([CASE WHEN part = 3 THEN 'unexpected header' END, CASE WHEN k % 50 = 0 THEN 'wrong number of fields' WHEN k % 33 = 0 THEN 'price is not double' END], lambda x: x IS NOT NULL) AS errors FROM r)
+ SELECT part, line::bigint AS line, array_to_string(errors, '; ') AS errors FROM e WHERE len(errors) > 0
+ UNION ALL VALUES (7, NULL, 'the file is empty or can''t be read'), (8, NULL, 'the file is missing')
+ UNION ALL SELECT -1, count(*) FILTER (WHERE len(errors) = 0), 'valid rows' FROM e"""
+
+
+@query(CSV_SQL)
 def src_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A strict CSV: wrong arity and wrong types are errors of their rows; quotes inside quotes are read right."""
+    """Strict CSV files: every faulty line with its file and number, files with a mark before the header or another
+    header, one that can't be unpacked and one that isn't there; and the number of valid rows."""
     k = F.col("o_orderkey")
     price = F.when(k % 33 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string"))
     line = F.concat_ws(",", k.cast("string"), F.concat(F.lit('"st""'), F.col("o_orderstatus"), F.lit('"')), price)
     line = F.when(k % 50 == 0, F.concat(line, F.lit(",extra"))).otherwise(line)
-    rows = table(spark, sf_dir, "orders").select(line.alias("value"))
+    rows = table(spark, sf_dir, "orders").select((k % 5).alias("part"), k.alias("at"), line.alias("value"))
+    header = F.when(F.col("id") == 1, "\ufeffkey,status,price").when(F.col("id") == 3, "status,key,price").otherwise("key,status,price")
+    rows = rows.unionAll(spark.range(5).select(F.col("id"), F.lit(-1), header))
     path = scratch(spark, "csv")
-    # Each file gets the header that a CSV reader expects on its first line.
-    rows.coalesce(4).mapInArrow(with_header("key,status,price"), "value string").write.text(path)
-    got = R.read_csv(spark, path, {"key": "bigint", "status": "string", "price": "double"}, ((~F.col("status").startswith('st"'), "status is not quoted"),))
-    has = lambda m: F.sum(F.array_contains("_errors", m).cast("long"))
-    return got.agg(F.count("*").alias("n"), has("wrong number of fields").alias("arity"), has("price is not double").alias("bad_price"), F.sum((F.size("_errors") == 0).cast("long")).alias("valid"))
-
-
-def with_header(header: str):
-    def run(batches):
-        import pyarrow as pa
-
-        first = True
-        for b in batches:
-            if first and b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([header], b.schema.field(0).type)], schema=b.schema)
-                first = False
-            yield b
-
-    return run
+    rows.repartition(5, "part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(path)
+    spark.range(1).select(F.lit("no archive").alias("value")).coalesce(1).write.text(f"{path}/part=7")
+    bad = spark._jvm.org.apache.hadoop.fs.Path(R.listed(spark, f"{path}/part=7")[0])
+    bad.getFileSystem(spark._jsc.hadoopConfiguration()).rename(bad, spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part=7/bad.csv.gz"))
+    got = R.read_csv(spark, [f"{path}/part={i}" for i in (0, 1, 2, 3, 4, 7, 8)], {"key": "bigint", "status": "string", "price": "double"}, ((~F.col("status").startswith('st"'), "status is not quoted"),))
+    got = got.select(F.regexp_extract("_file", "part=([0-9]+)", 1).cast("int").alias("part"), F.col("_line").alias("line"), "_errors")
+    faulty = got.where(F.size("_errors") > 0).select("part", "line", F.array_join("_errors", "; ").alias("errors"))
+    return faulty.unionAll(got.where(F.size("_errors") == 0).agg(F.lit(-1), F.count("*"), F.lit("valid rows")))
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE user_id % 9 = 4) AS short_rows, count(*) FILTER (WHERE user_id % 9 = 5) AS not_finite, round(sum(CASE WHEN user_id % 9 NOT IN (4, 5) THEN value END), 3) AS total FROM events")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..functions.canonical import identity
 from ..registry import query
 from ..sources.tables import table
 from .bindings import CORPUS, SPLITS, corpus
@@ -335,14 +339,32 @@ def fn_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latent_scores(rows, "vec_id").withColumn("anomaly", F.round("anomaly", 6)).withColumn("risk", F.round("risk", 6))
 
 
+def projection(rows: int, columns: int, seed: str = "projection") -> list[list[float]]:
+    """A fixed Gaussian matrix scaled by the root of its rows. Two hashes a weight give a normal number."""
+    def weight(i: int, k: int) -> float:
+        a, b = (int.from_bytes(hashlib.sha256(f"{seed}:{rows}:{columns}:{i}:{k}:{n}".encode()).digest()[:6], "big") for n in (1, 2))
+        return math.sqrt(-2 * math.log((a + 1) / 2**48)) * math.cos(2 * math.pi * b / 2**48) / math.sqrt(rows)
+
+    return [[weight(i, k) for i in range(rows)] for k in range(columns)]
+
+
+def projected(df: DataFrame, vector: str, columns: int = 8) -> DataFrame:
+    """Adds p0, p1, ...: each row's projection by the matrix of its width; null for a null, empty or broken vector. The
+    matrices are made once, one for each width there is."""
+    v, size = F.col(vector), F.size(vector)
+    fine = ~F.exists(v, lambda x: x.isNull() | F.isnan(x))
+    widths = sorted(r[0] for r in df.where(size > 0).select(size).distinct().collect())
+    made = df.sparkSession.createDataFrame([(n, projection(n, columns)) for n in widths], "_width int, _matrix array<array<double>>")
+    dot = lambda k: F.aggregate(F.zip_with(v, F.col("_matrix")[k], lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+    out = df.withColumn("_width", size).join(F.broadcast(made), "_width", "left")
+    return out.select(*df.columns, *(F.when(fine & F.col("_matrix").isNotNull(), dot(k)).alias(f"p{k}") for k in range(columns)))
+
+
 @query()
 def fn_proj(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fixed random projection to eight dimensions; signs and sizes come from a hash of (input, output) position."""
-    v = F.col("embedding").cast("array<double>")
-    weight = lambda i, k: (F.pmod(F.xxhash64(F.lit(11), i, F.lit(k)), F.lit(2001)) - 1000) / 577.35
-    # The weights depend on positions only, so they fold into one literal-sized expression for each output.
-    dot = lambda k: F.aggregate(F.zip_with(v, F.sequence(F.lit(0), F.size(v) - 1), lambda x, i: x * weight(i, k)), F.lit(0.0), lambda a, x: a + x)
-    return table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0).select("vec_id", *(F.round(dot(k), 6).alias(f"p{k}") for k in range(8)))
+    """A fixed Gaussian random projection to eight dimensions, a row a vector."""
+    done = projected(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "v")
+    return done.select("vec_id", *(F.round(f"p{k}", 6).alias(f"p{k}") for k in range(8)))
 
 
 HASHVEC_SQL = """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_./-]+')) AS t FROM documents), h AS (SELECT doc_id, ('0x' || substr(sha256(t), 1, 8))::bigint AS v FROM t),
@@ -364,8 +386,22 @@ def fn_hashvec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round(F.when(F.col("norm") > 0, F.col("x") / F.col("norm")).otherwise(0.0), 9).alias("x"))
 
 
-@query("SELECT o_orderkey, sha256('{\"customer\":' || o_custkey || ',\"status\":\"' || o_orderstatus || '\"}') AS identity FROM orders")
+HASH_SQL = r"""SELECT o_orderkey, sha256('{"by":{"customer":' || o_custkey || ',"priority":"' || replace(o_orderpriority, '-', '\\\\') || '"},"lines":[' || CASE WHEN o_orderkey % 5 = 0 THEN 'null' ELSE '{"late":' || (o_orderkey % 2 = 0) || ',"total":' || regexp_replace(o_totalprice::varchar, '\.0$', '') || '}' END
+ || '],"small":' || CASE WHEN o_orderkey % 3 = 0 THEN '1e-7' ELSE '0.25' END || ',"status":"' || o_orderstatus || '\"\n","tags":{"a":"1","z":"' || o_orderkey || '"}}') AS identity FROM orders"""
+
+
+@query(HASH_SQL)
 def fn_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content identity: SHA-256 of a canonical text with sorted keys. Text, integers and booleans only."""
-    text = F.concat(F.lit('{"customer":'), F.col("o_custkey").cast("string"), F.lit(',"status":"'), F.col("o_orderstatus"), F.lit('"}'))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.sha2(text, 256).alias("identity"))
+    """Content identity of nested records with structs, lists, maps, numbers and signs to escape; the fields of half of
+    them are in another order, which does not change it."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    line = F.when(k % 5 != 0, F.struct(F.col("o_totalprice").alias("total"), (k % 2 == 0).alias("late")))
+    by = [F.regexp_replace("o_orderpriority", "-", r"\\\\").alias("priority"), F.col("o_custkey").alias("customer")]
+    small = F.when(k % 3 == 0, F.lit(1e-7)).otherwise(F.lit(0.25)).alias("small")
+    status = F.concat("o_orderstatus", F.lit('"\n')).alias("status")
+    tags = [F.lit("z"), k.cast("string"), F.lit("a"), F.lit("1")]
+    one = F.struct(status, F.array(line).alias("lines"), small, F.struct(*by).alias("by"), F.create_map(*tags).alias("tags"))
+    two = F.struct(F.create_map(*tags[2:], *tags[:2]).alias("tags"), F.struct(*by[::-1]).alias("by"), F.array(line).alias("lines"), small, status)
+    both = o.select("o_orderkey", one.alias("one"), two.alias("two"))
+    same = F.when(k % 2 == 0, identity(F.col("one"), both.schema["one"].dataType)).otherwise(identity(F.col("two"), both.schema["two"].dataType))
+    return both.select("o_orderkey", same.alias("identity"))
