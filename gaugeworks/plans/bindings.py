@@ -39,6 +39,15 @@ corpus AS (
          CASE WHEN o_orderkey % 31 = 0 THEN ' ' ELSE 'public' END AS release_scope, CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE 'report' END AS artifact
   FROM orders)"""
 
+#: The frozen lane of a pilot.
+PROFILE = {"system_id": "orders", "service_id": "ledger", "workload_reference": "report", "horizon_rule": "h14", "outcome_threshold_rule": "v1", "capture_schema_version": "1", "allowed_evidence_scope": "public"}
+
+LANES = """
+lanes AS (
+  SELECT row_id, outcome, linked, concat_ws(',', CASE WHEN system IS DISTINCT FROM 'orders' THEN 'system_id' END, CASE WHEN source_system IS DISTINCT FROM 'ledger' THEN 'service_id' END,
+    CASE WHEN artifact IS DISTINCT FROM 'report' THEN 'workload_reference' END, CASE WHEN horizon IS DISTINCT FROM 'h14' THEN 'horizon_rule' END, CASE WHEN threshold_version IS DISTINCT FROM 'v1' THEN 'outcome_threshold_rule' END,
+    CASE WHEN row_id % 23 = 0 THEN 'capture_schema_version' END, CASE WHEN release_scope IS DISTINCT FROM 'public' THEN 'allowed_evidence_scope' END) AS differing FROM corpus)"""
+
 #: Splits of the corpus, in order; each ends where the next begins.
 SPLITS = {"train": ("1990-01-01", "1998-01-01"), "calibration_fit": ("1998-01-01", "1999-01-01"), "calibration_gate": ("1999-01-01", "2000-01-01"), "test": ("2000-01-01", "2100-01-01")}
 
@@ -79,3 +88,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 37 == 0, t).otherwise(day("1990-01-01")).alias("predeclared_at"),
         F.when(k % 31 == 0, " ").otherwise("public").alias("release_scope"), F.when(k % 29 != 0, "report").alias("artifact"),
     )
+
+
+def lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus rows' captures with their seven lane fields."""
+    named = {"system": "system_id", "source_system": "service_id", "artifact": "workload_reference", "horizon": "horizon_rule", "threshold_version": "outcome_threshold_rule", "release_scope": "allowed_evidence_scope"}
+    schema = F.when(F.col("row_id") % 23 == 0, "2").otherwise("1").alias("capture_schema_version")
+    return corpus(spark, sf_dir).select("row_id", "outcome", "linked", *(F.col(c).alias(n) for c, n in named.items()), schema)

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import BIN_SQL, first_reason
-from ..operators.gates import counts_grid, failed_rows, gate_report, worst
+from ..operators.gates import counts_grid, failed_rows, gate_report, manifest_error, terminal_records, worst
 from ..operators.metrics import reliability, running
 from ..operators.order import at_ranks
 from ..registry import query
 from ..sources.store import scratch
 from ..sources.tables import table
-from .bindings import CORPUS, SCORED, SPLITS, corpus, scored
+from .bindings import CORPUS, LANES, PROFILE, SCORED, SPLITS, corpus, lanes, scored
 
 CLASSES = ["observed_positive", "observed_negative", "censored"]
 FLOOR = 50
@@ -253,14 +253,33 @@ def g_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.crossJoin(F.broadcast(every)).withColumn("complete", F.col("total") > 0)
 
 
+MANIFEST_SQL = """WITH m AS (SELECT s_suppkey AS k, s_suppkey % 12 AS f FROM supplier)
+ SELECT k AS supplier, CASE f WHEN 1 THEN 'missing fields: horizon_rule, source_system' WHEN 2 THEN 'missing fields: thresholds_frozen' WHEN 3 THEN 'source_system is required' WHEN 4 THEN 'release_scope is required'
+  WHEN 5 THEN 'horizon_rule is required' WHEN 6 THEN 'counts must have the canonical splits' WHEN 7 THEN 'counts must have the canonical splits' WHEN 8 THEN 'missing count for calibration_gate:censored' END AS error FROM m"""
 
 
-@query(f"WITH {CORPUS} SELECT row_id, CASE WHEN NOT linked THEN 'missing' WHEN horizon <> 'h14' THEN 'lane mismatch' ELSE outcome END AS record FROM corpus")
+@query(MANIFEST_SQL)
+def g_manifest_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second half of G-MANIFEST: manifests with missing and blank fields, other splits and missing counts."""
+    f = F.col("s_suppkey") % 12
+    counts = lambda split: F.map_from_entries(F.array(*(F.struct(F.lit(c), F.lit(1)) for c in CLASSES if (split, c) != ("calibration_gate", "censored")), *[F.struct(F.when(f == 8, "other").otherwise("censored"), F.lit(1))] * (split == "calibration_gate")))
+    names = {x: F.when((f == 6) & (F.lit(x) == "test"), "holdout").otherwise(x) for x in SPLITS}
+    whole = F.map_from_entries(F.array(*(F.struct(n, counts(x)) for x, n in names.items())))
+    part = F.map_filter(whole, lambda k, _: (f != 7) | (k != "train"))
+    m = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("supplier"), F.when(f == 3, " ").when(f != 1, F.col("s_name")).alias("source_system"), F.when(f == 4, "").otherwise("public").alias("release_scope"),
+        F.when(f == 5, "  ").when(f != 1, "h14").alias("horizon_rule"), F.when(f != 2, True).alias("thresholds_frozen"), F.array(*map(F.lit, SPLITS)).alias("split_definitions"), part.alias("counts_by_split"),
+    )
+    return m.select("supplier", manifest_error(list(SPLITS), CLASSES).alias("error"))
+
+
+@query(f"WITH {CORPUS}, {LANES} SELECT row_id, CASE WHEN NOT linked THEN 'missing' WHEN row_id % 101 = 0 THEN 'conflict' WHEN differing <> '' THEN 'lane mismatch' ELSE outcome END AS record, CASE WHEN linked THEN differing ELSE '' END AS differing FROM lanes")
 def g_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One terminal record for each selected revision: the captures joined back to the selection."""
-    c = corpus(spark, sf_dir)
-    caps = c.where("linked").select("row_id", F.when(F.col("horizon") != "h14", "lane mismatch").otherwise(F.col("outcome")).alias("record"))
-    return c.select("row_id").join(caps, "row_id", "left").select("row_id", F.coalesce("record", F.lit("missing")).alias("record"))
+    """One terminal record for each selected revision, from its capture and the frozen lane; some were captured twice."""
+    captures = lanes(spark, sf_dir).where("linked")
+    twice = captures.unionAll(captures.where("row_id % 101 = 0"))
+    selected = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"))
+    return terminal_records(selected, twice, "row_id", PROFILE)
 
 
 @query(f"WITH {CORPUS} SELECT split, bool_and(built) AS build, bool_and(linked) AS deployment, bool_and(monitored) AS monitoring, bool_and(window_complete) AS followup, CASE WHEN bool_and(built AND linked AND monitored AND window_complete) THEN 'available' WHEN bool_and(built) OR bool_and(linked) THEN 'partial' ELSE 'withheld' END AS status FROM corpus GROUP BY split")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.gates import lane_differences
 from ..operators.order import first_by_score, placed
 from ..operators.upsert import orphans
 from ..registry import query
 from ..sources.store import EvidenceStore, scratch
 from ..sources.tables import table
-from .bindings import CORPUS, LABELLED, corpus, labelled
+from .bindings import CORPUS, LABELLED, LANES, PROFILE, corpus, labelled, lanes
 
 SIGNALS = """signals AS (SELECT event_id, user_id % 3 AS strategy, v AS version, least(value / 40, 1) AS score FROM events, (VALUES ('v1'), ('v2')) x(v) WHERE v = 'v1' OR event_id % 7 = 0)"""
 OUTCOMES = """outcomes AS (SELECT CASE WHEN event_id % 101 = 0 THEN event_id + 10000000 ELSE event_id END AS event_id, user_id % 3 AS strategy, CASE WHEN event_id % 9 = 0 THEN NULL ELSE 'v1' END AS version, event_type = 'error' AS occurred FROM events WHERE event_id % 3 = 0)"""
@@ -168,12 +169,11 @@ def j_implies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.agg(F.count("*").alias("n"), F.sum(F.col("short").cast("long")).alias("short_positives"), F.sum(F.col("long").cast("long")).alias("long_positives"), F.bool_and(~F.col("short") | F.col("long")).alias("implied"))
 
 
-@query("SELECT o_orderkey, o_orderpriority IS NOT DISTINCT FROM p AS priority_ok, o_orderstatus IS NOT DISTINCT FROM s AS status_ok FROM orders, (SELECT min(o_orderpriority) AS p, min(o_orderstatus) AS s FROM orders)")
+@query(f"WITH {CORPUS}, {LANES} SELECT row_id, differing, differing = '' AS matches FROM lanes")
 def j_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each capture's lane fields against one frozen profile row."""
-    o = table(spark, sf_dir, "orders")
-    profile = o.agg(F.min("o_orderpriority").alias("p"), F.min("o_orderstatus").alias("s"))
-    return o.crossJoin(F.broadcast(profile)).select("o_orderkey", F.col("o_orderpriority").eqNullSafe(F.col("p")).alias("priority_ok"), F.col("o_orderstatus").eqNullSafe(F.col("s")).alias("status_ok"))
+    """Each capture's seven lane fields against the frozen profile."""
+    differing = F.array_join(lane_differences(PROFILE), ",")
+    return lanes(spark, sf_dir).select("row_id", differing.alias("differing"), (differing == "").alias("matches"))
 
 
 @query(f"WITH {SIGNALS} SELECT event_id, version FROM signals WHERE event_id % 200 NOT IN (SELECT p_partkey % 150 FROM part)")
