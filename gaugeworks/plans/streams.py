@@ -59,12 +59,12 @@ def st_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, count(*) - 1 AS gaps, date_diff('microsecond', min(ts), max(ts)) AS span FROM events GROUP BY user_id HAVING count(*) > 1")
 def st_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaps per resource from keyed state."""
+    """Gaps per resource from keyed state; a closing row lets the last readings out."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, feeds.ROCKS)
     try:
-        rows = feeds.run_to_table(feeds.gaps(events(spark, sf_dir)), "gaps")
+        rows = feeds.run_to_table(feeds.gaps(events(spark, sf_dir, "2 hours")), "gaps")
     finally:
         spark.conf.set(key, before)
     return rows.groupBy("user_id").agg(F.count("*").alias("gaps"), F.sum("micros").alias("span"))

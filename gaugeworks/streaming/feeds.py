@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..sources.store import EvidenceStore, scratch
 
@@ -100,28 +100,64 @@ def pairs(signals: DataFrame, outcomes: DataFrame, delay: str = "2 hours", withi
     return s.join(o, near).select(F.col("s_id").alias("event_id"), "score", "occurred")
 
 
-def gaps(events: DataFrame) -> DataFrame:
-    """The microseconds between a resource's readings, from keyed state. Needs the RocksDB state provider.
+def gaps(events: DataFrame, delay: str = "2 hours", idle_hours: int | None = None) -> DataFrame:
+    """The microseconds between a resource's readings, whatever order they come in within the delay. Needs the RocksDB
+    state provider.
+
+    Readings wait in a map by minute. A timer for the first minute that waits fires once the watermark is past it, and
+    lets out all minutes that are over, one after the other: no batch of a key is sorted, and what waits is bounded by the
+    delay. With idle_hours, a key without readings for so long is forgotten, and its next reading has no gap.
 
     The processor is local to the function, so that it travels by value: the driver's own state worker doesn't see
     files that were added to the session."""
+    minute, idle = 60_000, idle_hours and idle_hours * 3_600_000
 
     class Gaps(StatefulProcessor):
-        """Its last time is the only state."""
-
         def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.waiting = handle.getMapState("waiting", StructType([StructField("minute", LongType())]), StructType([StructField("micros", ArrayType(LongType()))]))
             self.last = handle.getValueState("last", StructType([StructField("micros", LongType())]))
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-            times = sorted(t for batch in rows for t in batch["micros"].tolist())
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            first = None
+            for batch in rows if key[0] != -(1 << 63) else ():
+                for at, part in batch.groupby(batch["micros"] // (minute * 1000))["micros"]:
+                    held = self.waiting.getValue((int(at),))[0] if self.waiting.containsKey((int(at),)) else []
+                    self.waiting.updateValue((int(at),), ([*held, *part.tolist()],))
+                    first = int(at) if first is None else min(first, int(at))
+            if first is not None:
+                self.handle.registerTimer((first + 1) * minute)
+            yield from ()
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            mark = timerValues.getCurrentWatermarkInMs()
             before = self.last.get()[0] if self.last.exists() else None
-            gaps = [b - a for a, b in zip([before, *times[:-1]], times, strict=True) if a is not None]
-            self.last.update((max(times[-1], before or times[-1]),))
-            if gaps:
-                yield pd.DataFrame({"user_id": [key[0]] * len(gaps), "micros": gaps})
+            minutes = sorted(k[0] for k in self.waiting.keys())
+            out = []
+            for at in minutes:
+                if (at + 1) * minute > mark:
+                    self.handle.registerTimer((at + 1) * minute)
+                    break
+                # The readings of one minute.
+                for t in sorted(self.waiting.getValue((at,))[0]):
+                    if before is not None and not (idle and t - before > idle * 1000):
+                        out.append(t - before)
+                    before = t
+                self.waiting.removeKey((at,))
+            if before is not None:
+                self.last.update((before,))
+            if idle and not [at for at in minutes if (at + 1) * minute > mark] and before is not None:
+                if before // 1000 + idle <= mark:
+                    self.last.clear()
+                else:
+                    self.handle.registerTimer(before // 1000 + idle)
+            if out:
+                yield pd.DataFrame({"user_id": [key[0]] * len(out), "micros": out})
 
         def close(self) -> None:
             pass
 
-    rows = events.select("user_id", F.unix_micros("ts").alias("micros"))
-    return rows.groupBy("user_id").transformWithStateInPandas(Gaps(), outputStructType="user_id bigint, micros bigint", outputMode="Append", timeMode="None")
+    # Rows without a key only move the watermark. They get a key of their own, as timers pass a partition with a null key by.
+    nobody = F.lit(-(1 << 63))
+    rows = events.withWatermark("ts", delay).select(F.coalesce("user_id", nobody).alias("user_id"), "ts", F.unix_micros("ts").alias("micros"))
+    return rows.groupBy("user_id").transformWithStateInPandas(Gaps(), outputStructType="user_id bigint, micros bigint", outputMode="Append", timeMode="EventTime")
