@@ -9,7 +9,9 @@ An n-gram is a 64-bit number with 21 bits a character, so that a text's n-grams
 Learning sorts and counts them for each task and language, and only distinct n-grams with their counts are shuffled.
 
 Defined results: null text or text without a letter is `und` with score 0; a null language teaches nothing; without
-any labelled text every document is `und`. Texts are read whole.
+any labelled text every document is `und`. Texts are read whole, whatever their length; repeated rows get equal results;
+n-grams that tie in frequency are taken by their number; an empty table gives no row. Other columns stay, but lang_pred,
+score and _found are replaced where df has them.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ reader walks the chunks, tests each checksum, inflates, and undoes any of the fi
 the sign pattern of the lowest frequencies of a cosine transform of the image shrunk to 32 x 32.
 
 Defined results: a null text is stored as an empty one; an empty one is 64 zero bytes; texts of any length are stored
-whole; equal texts give equal files and hashes. A file with a wrong checksum, filter or length raises ValueError.
+whole; equal texts, repeated rows among them, give equal files and hashes, and coefficients that tie with the median
+give a 0. A file with a wrong checksum, filter or length raises ValueError. An empty table gives no row. Other columns
+stay; n_bytes, the media column and features are replaced where df has them.
 """
 
 from __future__ import annotations
