@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import BIN_SQL
@@ -162,13 +162,19 @@ def a_poolece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(summary_sql(f"{SCORED}, lanes AS (SELECT (unit % 4)::int AS family, s, y FROM scored)", "lanes", """
  , weighted AS (SELECT *, (family + 1) / 10.0::double AS weight FROM summary)
  SELECT 'lane ' || family::varchar AS lane, n, round(rate, 6) AS rate, round(brier, 6) AS brier FROM weighted
- UNION ALL SELECT 'mixture', sum(n)::bigint, round(sum(weight * rate), 6), round(sum(weight * brier), 6) FROM weighted"""))
+ UNION ALL SELECT 'mixture', sum(n)::bigint, round(sum(weight * rate), 6), round(sum(weight * brier), 6) FROM weighted
+ UNION ALL SELECT 'control pool', count(*), round(avg(y), 6), round(avg(pow(s - y, 2)), 6) FROM lanes WHERE family < 2"""))
 def m_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mixture with declared weights beside its lanes."""
+    """A mixture with declared weights beside its lanes, whose targets differ, and a control pool of the two lanes that
+    share a target, whose rows may be put together."""
     lanes = M.summary(scored(spark, sf_dir).withColumn("family", F.expr("cast(unit % 4 AS int)")), ["family"]).withColumn("weight", (F.col("family") + 1) / 10.0)
     each = lanes.select(F.concat(F.lit("lane "), F.col("family").cast("string")).alias("lane"), "n", "rate", "brier")
     mixed = lanes.agg(F.lit("mixture").alias("lane"), F.sum("n").alias("n"), F.sum(F.col("weight") * F.col("rate")).alias("rate"), F.sum(F.col("weight") * F.col("brier")).alias("brier"))
-    return rounded(each.unionByName(mixed))
+    # Lanes 0 and 1 have one target: their sums are those of one sample.
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("_pool"))
+    pool = lanes.where("family < 2").withColumn("_pool", F.lit(0)).withColumn("_share", share)
+    control = pool.agg(F.lit("control pool").alias("lane"), F.sum("n").alias("n"), F.sum(F.col("_share") * F.col("rate")).alias("rate"), F.sum(F.col("_share") * F.col("brier")).alias("brier"))
+    return rounded(each.unionByName(mixed).unionByName(control))
 
 
 @query(f"""WITH {LABELLED}, q AS (SELECT * FROM labelled WHERE family = 'quality'), n AS (SELECT count(*) AS n, greatest(1, ceil(0.2 * count(*)))::bigint AS k, sum(y) AS all_y FROM q),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.canonical import identity
 from ..functions.scores import BIN_SQL, first_reason
 from ..operators.gates import counts_grid, failed_rows, gate_report, manifest_error, terminal_records, worst
 from ..operators.metrics import reliability, running
@@ -237,12 +238,52 @@ def g_observe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", outcome.alias("outcome"), F.when(~F.col("included"), F.col("class")).alias("censor_reason"))
 
 
-@query("SELECT split_part(split_part(url, '/', 3), ':', 1) AS host, count(*) AS snapshots, count(*) FILTER (WHERE starts_with(url, 'https://')) AS public, bool_and(starts_with(url, 'https://')) AS available FROM pages GROUP BY 1")
+CI_SQL = """
+WITH s AS (SELECT page_id AS id, 'sys' || (page_id // 2 % 7) AS system, CASE WHEN page_id % 11 = 0 THEN substr(sha1('r' || page_id // 2), 2) ELSE sha1('r' || page_id // 2) END AS revision,
+   CASE WHEN page_id % 13 = 0 THEN 'http://x/' WHEN page_id % 13 = 1 THEN 'https://x/?token=1' ELSE 'https://x/' END || page_id // 2 AS source, page_id % 17 = 0 AS private, CASE WHEN page_id % 19 = 0 THEN 'yesterday' ELSE '2024-01-02T03:04:05Z' END AS observed,
+   CASE WHEN page_id % 5 <> 0 THEN 'https://ci/' || page_id END AS ci, CASE WHEN page_id % 7 = 0 THEN 'other' ELSE sha1('r' || page_id // 2) END AS ci_revision FROM pages),
+ v AS (SELECT *, CASE WHEN length(revision) <> 40 THEN 'no immutable revision' WHEN NOT starts_with(source, 'https://') OR contains(source, '@') OR contains(source, '?token=') THEN 'source reference is not public and safe' WHEN private THEN 'private evidence'
+   WHEN observed = 'yesterday' THEN 'observed timestamp is invalid' WHEN ci IS NOT NULL AND ci_revision <> revision THEN 'CI evidence is of another revision' END AS reason FROM s),
+ f AS (SELECT system, revision, min(id) AS first FROM v WHERE reason IS NULL GROUP BY ALL),
+ r AS (SELECT v.* EXCLUDE (reason), coalesce(reason, CASE WHEN id <> first THEN 'revision is there already' END) AS reason FROM v LEFT JOIN f USING (system, revision))
+SELECT id, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN ci IS NULL THEN 'unavailable' ELSE 'available' END AS status, coalesce(reason, CASE WHEN ci IS NULL THEN 'public CI evidence is unavailable' END) AS reason,
+  CASE WHEN reason IS NULL THEN sha256('{"available":' || (ci IS NOT NULL) || ',"ci_reference":' || coalesce('"' || ci || '"', 'null') || ',"observed_at":"' || observed || '","revision":"' || revision || '","source_reference":"' || source || '","system_id":"' || system || '","unavailable_reason":' || CASE WHEN ci IS NULL THEN '"public CI evidence is unavailable"' ELSE 'null' END || '}') END AS identity FROM r"""
+
+
+def public_evidence(snapshots: DataFrame) -> DataFrame:
+    """snapshots (id, system_id, revision, source_reference, ci_reference, ci_revision, observed_at, private) -> (id, status,
+    reason, identity). Of valid snapshots of one system and revision the first by id counts; its minimum is combined
+    where the rows are read, so a revision may have any number of them."""
+    c = F.col
+    public = lambda x: F.coalesce(x.startswith("https://") & ~F.contains(x, F.lit("@")) & ~F.contains(x, F.lit("?token=")), F.lit(False))
+    keyed = F.coalesce((F.trim("system_id") != "") & (F.char_length("revision") == 40), F.lit(False))
+    dated = F.try_to_timestamp(F.regexp_replace("observed_at", "Z$", "+00:00")).isNotNull()
+    matching = c("ci_reference").isNull() | (public(c("ci_reference")) & F.coalesce(c("ci_revision") == c("revision"), F.lit(False)))
+    checked = snapshots.withColumn("_bad", first_reason((~keyed, "no immutable revision"), (~public(c("source_reference")), "source reference is not public and safe"), (c("private"), "private evidence"), (~dated, "observed timestamp is invalid"), (~matching, "CI evidence is of another revision")))
+    first = checked.where("_bad IS NULL").groupBy("system_id", "revision").agg(F.min("id").alias("_first"))
+    rows = checked.join(first, ["system_id", "revision"], "left")
+    bad = F.coalesce("_bad", F.when(c("id") != c("_first"), "revision is there already"))
+    there = c("ci_reference").isNotNull()
+    unavailable = F.when(~there, "public CI evidence is unavailable")
+    record = F.struct("system_id", "revision", "source_reference", "ci_reference", "observed_at", there.alias("available"), unavailable.alias("unavailable_reason"))
+    out = rows.select("id", bad.alias("_bad"), there.alias("_there"), unavailable.alias("_why"), record.alias("_record"))
+    said = F.when(c("_bad").isNull(), identity(c("_record"), out.schema["_record"].dataType))
+    return out.select("id", F.when(c("_bad").isNotNull(), "rejected").when(c("_there"), "available").otherwise("unavailable").alias("status"), F.coalesce("_bad", "_why").alias("reason"), said.alias("identity"))
+
+
+@query(CI_SQL)
 def g_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence availability per host."""
-    public = F.col("url").startswith("https://")
-    host = F.split_part(F.split_part("url", F.lit("/"), F.lit(3)), F.lit(":"), F.lit(1))
-    return table(spark, sf_dir, "pages").groupBy(host.alias("host")).agg(F.count("*").alias("snapshots"), many(public).alias("public"), F.bool_and(public).alias("available"))
+    """Public version control and CI evidence of each snapshot: available, unavailable, or why it is rejected."""
+    i = F.col("page_id")
+    half = F.floor(i / 2)
+    revision = F.sha1(F.concat(F.lit("r"), half.cast("string")))
+    source = F.concat(F.when(i % 13 == 0, "http://x/").when(i % 13 == 1, "https://x/?token=1").otherwise("https://x/"), half.cast("string"))
+    snapshots = table(spark, sf_dir, "pages").select(
+        i.alias("id"), F.concat(F.lit("sys"), (half % 7).cast("string")).alias("system_id"), F.when(i % 11 == 0, F.substring(revision, 2, 40)).otherwise(revision).alias("revision"), source.alias("source_reference"),
+        F.when(i % 5 != 0, F.concat(F.lit("https://ci/"), i.cast("string"))).alias("ci_reference"), F.when(i % 7 == 0, "other").otherwise(revision).alias("ci_revision"),
+        F.when(i % 19 == 0, "yesterday").otherwise("2024-01-02T03:04:05Z").alias("observed_at"), (i % 17 == 0).alias("private"),
+    )
+    return public_evidence(snapshots)
 
 
 @query(f"WITH {CORPUS}, s AS (SELECT split, count(*) FILTER (WHERE outcome = 'observed_positive') AS p, count(*) FILTER (WHERE outcome = 'observed_negative') AS n, count(*) FILTER (WHERE outcome = 'censored') AS c FROM corpus GROUP BY split) SELECT split, p AS observed_positive, n AS observed_negative, c AS censored, p + n + c AS total, (SELECT count(*) FROM corpus) AS corpus_total, p + n + c > 0 AS complete FROM s")
