@@ -298,7 +298,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     null = lambda kind: F.lit(None).cast(kind)
     phrases = recurring_phrases(docs, window).select("bucket", F.col("owner").alias("doc_id"), "alike", "phrase", null("string").alias("text"))
     rows = phrases.unionByName(docs.select("bucket", "doc_id", null("boolean").alias("alike"), null("binary").alias("phrase"), "text"))
-    dealt = rows.repartition(int(buckets), "bucket").sortWithinPartitions("bucket", F.col("phrase").isNull())
+    # A bucket a partition: a hash of their numbers would put several into one.
+    dealt = rows.repartitionById(int(buckets), F.col("bucket").cast("int")).sortWithinPartitions("bucket", F.col("phrase").isNull())
     found = materialize(dealt.mapInArrow(searched(window, keep_text), FOUND_DDL).withColumn("row", F.monotonically_increasing_id()), "found")
 
     asked = found.where("words IS NOT NULL")
