@@ -34,6 +34,16 @@ def classes_of(df: DataFrame, groups: list[str], values: list[str]) -> DataFrame
     return per.withColumn("hi", F.sum("k").over(w)).withColumn("lo", F.col("hi") - F.col("k")).withColumn("n", F.sum("k").over(Window.partitionBy(*groups)))
 
 
+def positions(df: DataFrame) -> DataFrame:
+    """(s, y, at): the rows' positions from 0 in the order of (s, y). Only counts by score are ordered, in ranges."""
+    per = df.groupBy("s").agg(F.count("*").alias("k"), F.sum(F.col("y").cast("long")).alias("pos"))
+    per = M.running(per, [], "s", ["k"])
+    zeros = F.struct(F.lit(0).alias("y"), F.col("k_before").alias("lo"), (F.col("k_before") + F.col("k") - F.col("pos")).alias("hi"))
+    ones = F.struct(F.lit(1).alias("y"), (F.col("k_before") + F.col("k") - F.col("pos")).alias("lo"), (F.col("k_before") + F.col("k")).alias("hi"))
+    classes = per.select("s", F.inline(F.array(zeros, ones))).where("lo < hi")
+    return classes.select("s", "y", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("at"))
+
+
 #: Levels of the tree over the ranks of distinct scores, of which there may be 2**LEVELS.
 LEVELS = 24
 
@@ -230,8 +240,8 @@ def m_bootyield(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT round(quantile_cont(rate, 0.025), 6) AS rate_low, round(quantile_cont(rate, 0.975), 6) AS rate_high, round(quantile_cont(brier, 0.025), 6) AS brier_low, round(quantile_cont(brier, 0.975), 6) AS brier_high, count(*) AS usable FROM x""")
 def m_bootmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """100 resamples of 300 scored rows: intervals of the rate and the Brier score."""
-    classes = classes_of(labelled(spark, sf_dir).where("family = 'quality'"), [], ["s", "y"])
-    hit = drawn(draws(spark, 100, 300), classes)
+    rows = labelled(spark, sf_dir).where("family = 'quality'")
+    hit = draws(spark, 100, 300).withColumn("at", F.col("h") % F.lit(rows.count())).join(positions(rows), "at")
     per = hit.groupBy("replicate").agg(F.avg("y").alias("rate"), F.avg(F.pow(F.col("s") - F.col("y"), 2)).alias("brier"))
     q = lambda c, p, n: F.round(F.percentile(c, F.lit(p)), 6).alias(n)
     return per.agg(q("rate", 0.025, "rate_low"), q("rate", 0.975, "rate_high"), q("brier", 0.025, "brier_low"), q("brier", 0.975, "brier_high"), F.count("*").alias("usable"))
