@@ -28,14 +28,14 @@ def text_file(rows: DataFrame, name: str, **options: str) -> str:
 CSV_SQL = """WITH r AS (SELECT o_orderkey % 5 AS part, o_orderkey AS k, row_number() OVER (PARTITION BY o_orderkey % 5 ORDER BY o_orderkey) + 1 AS line FROM orders),
  e AS (SELECT part, line, list_filter([CASE WHEN part = 3 THEN 'unexpected header' END, CASE WHEN k % 50 = 0 THEN 'wrong number of fields' WHEN k % 33 = 0 THEN 'price is not double' END], lambda x: x IS NOT NULL) AS errors FROM r)
  SELECT part, line::bigint AS line, array_to_string(errors, '; ') AS errors FROM e WHERE len(errors) > 0
- UNION ALL VALUES (7, NULL, 'the file is empty or can''t be read'), (8, NULL, 'the file is missing')
+ UNION ALL VALUES (7, 0, 'the file is empty or can''t be read'), (8, 0, 'the file is missing')
  UNION ALL SELECT -1, count(*) FILTER (WHERE len(errors) = 0), 'valid rows' FROM e"""
 
 
 @query(CSV_SQL)
 def src_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strict CSV files: every faulty line with its file and number, files with a mark before the header or another
-    header, one that can't be unpacked and one that isn't there; and the number of valid rows."""
+    header, one that can't be unpacked and one that isn't there (line 0); and the number of valid rows."""
     k = F.col("o_orderkey")
     price = F.when(k % 33 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string"))
     line = F.concat_ws(",", k.cast("string"), F.concat(F.lit('"st""'), F.col("o_orderstatus"), F.lit('"')), price)
@@ -49,7 +49,7 @@ def src_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = spark._jvm.org.apache.hadoop.fs.Path(R.listed(spark, f"{path}/part=7")[0])
     bad.getFileSystem(spark._jsc.hadoopConfiguration()).rename(bad, spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part=7/bad.csv.gz"))
     got = R.read_csv(spark, [f"{path}/part={i}" for i in (0, 1, 2, 3, 4, 7, 8)], {"key": "bigint", "status": "string", "price": "double"}, ((~F.col("status").startswith('st"'), "status is not quoted"),))
-    got = got.select(F.regexp_extract("_file", "part=([0-9]+)", 1).cast("int").alias("part"), F.col("_line").alias("line"), "_errors")
+    got = got.select(F.regexp_extract("_file", "part=([0-9]+)", 1).cast("int").alias("part"), F.coalesce("_line", F.lit(0)).alias("line"), "_errors")
     faulty = got.where(F.size("_errors") > 0).select("part", "line", F.array_join("_errors", "; ").alias("errors"))
     return faulty.unionAll(got.where(F.size("_errors") == 0).agg(F.lit(-1), F.count("*"), F.lit("valid rows")))
 
