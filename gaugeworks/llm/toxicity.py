@@ -5,6 +5,9 @@ lattice: every sign stands for some letters, or for nothing, at a cost, and a ru
 What separates (dots, dashes, slashes, gaps) stands for nothing or for the end of a word.
 Viterbi decoding finds the likeliest letters under a character trigram model, whose counts come from the words of all
 documents. The restored words are then scored as if they had stood there.
+The model is a written table that no task and no driver holds whole: the distinct tokens that need reading are dealt to
+groups, each group meets the n-grams that its lattices can ask for by a join, and what a token was read as comes back to
+its texts by another. Scoring reads only tokens whose lattice can spell a marker, which loses none.
 
 The score: the words and word beginnings that mark labelled documents have log-odds. Some beginnings tell by how often
 other words have them: these have rates a word in toxic and clean texts, and a document's number of such words a
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, table
+from .common import discard, held_out, materialize, table
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -62,6 +65,9 @@ EDGE = " \t\r\n.,;:?\"'()[]{}<>«»“”„…%&"
 #: Bits of a character in the number of an n-gram; trigrams lie above all pairs, as no word holds characters below the blank.
 BITS = 21
 HELD_GRAMS = 500_000
+#: Distinct tokens decoded as one group, with the n-grams that they ask for.
+GROUP = 8192
+UNSEEN = math.log(1e-4)
 
 
 def gram_number(gram: str) -> int:
@@ -72,14 +78,12 @@ def gram_number(gram: str) -> int:
 
 
 class Characters:
-    """Log-probabilities of a character after two others and after one: all n-grams of the corpus as two sorted arrays,
-    12 bytes each, and the ones that were asked for lately in a table."""
+    """Log-probabilities of a character after two others and after one: the n-grams that a group of tokens can ask for as
+    two sorted arrays, and the ones that were asked for lately in a table."""
 
-    def __init__(self, grams: np.ndarray, logs: np.ndarray, unseen: float):
-        self.grams, self.logs, self.unseen, self.memo = grams, logs, unseen, {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
+    def __init__(self, grams: np.ndarray, logs: np.ndarray):
+        order = np.argsort(grams)
+        self.grams, self.logs, self.memo = grams[order], logs[order], {}
 
     def look_up(self, gram: str) -> float | None:
         k = gram_number(gram)
@@ -93,11 +97,43 @@ class Characters:
             if len(self.memo) > HELD_GRAMS:
                 self.memo.clear()
             if (v := self.look_up(gram)) is None and (v := self.look_up(gram[1:])) is None:
-                v = self.unseen
+                v = UNSEEN
             self.memo[gram] = v
         return v
 
 
+class Asked:
+    """Stands in for a model and notes the n-grams that decoding asks for: all of them, as no state is given up."""
+
+    def __init__(self):
+        self.grams: set[int] = set()
+
+    def log_p(self, state: str, c: str) -> float:
+        self.grams.update((gram_number(state + c), gram_number(state[1:] + c)))
+        return 0.0
+
+
+class CharacterTable:
+    """The model of the whole corpus: a written table (gram, p)."""
+
+    unseen = UNSEEN
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    @property
+    def grams(self) -> range:
+        """The places of its n-grams, one a row."""
+        return range(self.table.count())
+
+    def log_p(self, state: str, c: str) -> float:
+        """Of one n-gram, by a job of its own; decoding joins instead."""
+        asked = Asked()
+        asked.log_p(state, c)
+        found = self.table.where(F.col("gram").isin(*asked.grams)).toArrow()
+        return Characters(found.column("gram").to_numpy(), found.column("p").to_numpy()).log_p(state, c)
+
+
 def letters_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct letters among code points, and for each code point its letter's number from 1 on, 0 for all else."""
     found, at = np.unique(codes, return_inverse=True)
@@ -132,7 +168,7 @@ def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], ["gram", "n"])
 
 
-def learn_characters(docs: DataFrame) -> Characters:
+def learn_characters(docs: DataFrame) -> CharacterTable:
     """Counts and context totals are those of all documents, whatever the script; the model grows with their distinct
     n-grams, which are far fewer than their words."""
     counted = docs.select("text").mapInArrow(count_trigrams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -143,10 +179,9 @@ def learn_characters(docs: DataFrame) -> Characters:
         led = grams.withColumn("led", F.shiftright("gram", BITS))
         return led.join(led.groupBy("led").agg(F.sum("n").alias("all")), "led").select("gram", (F.log(F.col("n") / F.col("all")) + penalty).cast("float").alias("p"))
 
-    rows = logs(three, 0.0).unionAll(logs(two, BACKOFF)).toArrow()
-    grams, p = rows.column("gram").to_numpy(), rows.column("p").to_numpy()
-    order = np.argsort(grams)
-    return Characters(grams[order], p[order], math.log(1e-4))
+    model = CharacterTable(materialize(logs(three, 0.0).unionAll(logs(two, BACKOFF)), "characters"))
+    discard(three)
+    return model
 
 
 def lattice(token: str, split: bool = False) -> list[list[tuple[str, float]]]:
@@ -202,10 +237,15 @@ def decode(token: str, model: Characters, split: bool = False) -> list[str]:
     return [w for w in words if w]
 
 
-def words_in(token: str, model: Characters) -> list[str]:
+def is_plain(core: str) -> bool:
+    """Letters alone, none of them repeated: read as it stands. Any other token may be a disguise."""
+    return core.isalpha() and not REPEAT.search(core)
+
+
+def words_in(token: str, model: Characters | Asked) -> list[str]:
     """The words of a token, restored if it looks obfuscated: it has a sign, a digit, a gap or a repeated letter."""
     core = token.strip(EDGE)
-    if core.isalpha() and not REPEAT.search(core):
+    if is_plain(core):
         return [core]
     found = LETTERS.findall(core)
     core = core.rstrip("!*|+#")
@@ -236,31 +276,99 @@ def features_of(word: str) -> list[str]:
     return [f"={word}", *(word[:n] for n in PREFIXES if len(word) >= n)]
 
 
-def count_features(sent):
-    """(feature, marked, clean): texts of each class with each word and beginning; for #beginning its distinct words in
-    all texts, and for # all distinct words."""
+def disguises(texts: DataFrame, sent=None) -> DataFrame:
+    """(key, text) -> (key, token): each text's tokens that are not plain; with a scorer's parts in sent, those of them
+    that may mark a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked, clean, known = Counter(), Counter(), {}
+        scorer, known = Scorer(*sent.value) if sent else None, {}
 
-        def features(token: str) -> tuple[str, ...]:
-            if (f := known.get(token)) is None:
+        def wanted(token: str) -> bool:
+            if (w := known.get(token)) is None:
                 if len(known) > HELD_WORDS:
                     known.clear()
-                f = known[token] = tuple({f for w in words_in(token, sent.value) for f in features_of(w)})
-            return f
+                w = known[token] = not is_plain(token.strip(EDGE)) and (scorer is None or scorer.can_spell(token))
+            return w
 
         for b in batches:
-            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                tokens, counts = tokens_of(text), marked if toxic else clean
-                had = [f for t in tokens for f in features(t)]
-                counts.update(set(had))
-                counts.update(f"#{f}" for f in had if f[0] != "=")
-                counts["#"] += len(tokens)
-        every = list(marked | clean)
-        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([marked[f] for f in every], pa.int64()), pa.array([clean[f] for f in every], pa.int64())], ["feature", "marked", "clean"])
+            keys, tokens = [], []
+            for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
+                mine = [t for t in tokens_of(text) if wanted(t)]
+                keys += [key] * len(mine)
+                tokens += mine
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(tokens, pa.string())], ["key", "token"])
 
-    return run
+    return texts.select("key", "text").mapInArrow(run, "key string, token string").distinct()
+
+
+def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, part) -> (part, gram): the n-grams that reading the tokens can ask for."""
+    for b in batches:
+        asked: dict[int, Asked] = {}
+        for token, part in zip(b.column("token").to_pylist(), b.column("part").to_pylist(), strict=True):
+            words_in(token, asked.setdefault(part, Asked()))
+        parts = np.repeat(np.array(list(asked), np.int64), [len(a.grams) for a in asked.values()])
+        grams = np.array([g for a in asked.values() for g in a.grams], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(grams, pa.int64())], ["part", "gram"])
+
+
+def read_part(tokens: pa.Table, grams: pa.Table) -> pa.Table:
+    """The distinct words behind each token of a group, under the n-grams that the group asked for."""
+    model = Characters(grams.column("gram").to_numpy(), grams.column("p").to_numpy())
+    tokens = tokens.column("token").combine_chunks()
+    return pa.table({"token": tokens, "words": pa.array([sorted(set(words_in(t, model))) for t in tokens.to_pylist()], pa.list_(pa.string()))})
+
+
+def read_tokens(tokens: DataFrame, model: CharacterTable) -> DataFrame:
+    """(token), distinct -> (token, words). A group holds about GROUP tokens and what they ask for, however large the
+    model is; their number follows the tokens."""
+    tokens = materialize(tokens, "tokens")
+    parts = tokens.count() // GROUP + 1
+    tokens = tokens.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(parts)))
+    asked = tokens.repartition("part").mapInArrow(ask, "part long, gram long").distinct().join(model.table, "gram")
+    return tokens.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(read_part, "token string, words array<string>")
+
+
+def readings(texts: DataFrame, model: CharacterTable, sent=None) -> DataFrame:
+    """(key, text) -> (key, read: array of (token, words)): what the disguised tokens of a text were read as, where there are
+    any. With a scorer's parts in sent, only words that mark. The key is a digest of the text, so copies are read once."""
+    pairs = materialize(disguises(texts, sent), "disguises")
+    words = read_tokens(pairs.select("token").distinct(), model)
+    if sent:
+
+        def marking(lists: pa.Array) -> pa.Array:
+            scorer = Scorer(*sent.value)
+            return pa.array([[w for w in ws if any(scorer.weight_of([w]))] for ws in lists.to_pylist()], pa.list_(pa.string()))
+
+        words = words.withColumn("words", F.arrow_udf(marking, "array<string>")("words"))
+    words = materialize(words.where(F.size("words") > 0), "readings")
+    read = pairs.join(words, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("token", "words"))).alias("read"))
+    read = materialize(read, "read")
+    discard(pairs)
+    discard(words)
+    return read
+
+
+def known_words(read: list | None) -> dict[str, list[str]]:
+    return {r["token"]: r["words"] for r in read or ()}
+
+
+def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, toxic, read) -> (feature, marked, clean): texts of each class with each word and beginning; for #beginning
+    its distinct words in all texts, and for # all distinct words."""
+    marked, clean = Counter(), Counter()
+    for b in batches:
+        for text, toxic, read in zip(*(b.column(c).to_pylist() for c in ("text", "toxic", "read")), strict=True):
+            tokens, counts, known = tokens_of(text), marked if toxic else clean, known_words(read)
+            had = []
+            for t in tokens:
+                core = t.strip(EDGE)
+                had += {f for w in ([core] if is_plain(core) else known.get(t, ())) for f in features_of(w)}
+            counts.update(set(had))
+            counts.update(f"#{f}" for f in had if f[0] != "=")
+            counts["#"] += len(tokens)
+    every = list(marked | clean)
+    yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([marked[f] for f in every], pa.int64()), pa.array([clean[f] for f in every], pa.int64())], ["feature", "marked", "clean"])
 
 
 def folded(word: str) -> str:
@@ -269,56 +377,81 @@ def folded(word: str) -> str:
 
 
 class Scorer:
-    """Scores texts. A token of letters alone is skipped unless some reading of it can begin as a marker does."""
+    """Scores texts by their plain tokens and by what the others were read as."""
 
-    def __init__(self, model: Characters, weights: dict[str, float], rates: dict[str, tuple[float, float]], curve: tuple[float, ...] | None):
-        self.model, self.weights, self.rates, self.curve, self.memo, self.decoded = model, weights, rates, curve, {}, {}
-        self.whole = {folded(f[1:]) for f in weights if f[0] == "="}
-        self.begins = {folded(f) for f in [*weights, *rates] if f[0] != "="}
-        self.sizes = sorted({len(f) for f in self.begins}, reverse=True)
+    def __init__(self, weights: dict[str, float], rates: dict[str, tuple[float, float]], curve: tuple[float, ...] | None):
+        self.weights, self.rates, self.curve, self.memo = weights, rates, curve, {}
+        self.whole = {f[1:] for f in weights if f[0] == "="}
+        self.begins = {f for f in [*weights, *rates] if f[0] != "="}
+        self.stems = {f[:n] for f in self.whole | self.begins for n in range(len(f) + 1)}
+        self.folded = {folded(f) for f in self.begins}, {folded(f) for f in self.whole}
+        self.sizes = sorted({len(f) for f in self.folded[0]}, reverse=True)
 
     def may_mark(self, core: str) -> bool:
+        """Of letters: no reading of them can mark if they don't begin as a marker does, runs of a letter aside."""
         core = folded(core)
-        if core in self.whole:
+        return core in self.folded[1] or any(core[:n] in self.folded[0] for n in self.sizes)
+
+    def can_spell(self, token: str) -> bool:
+        """Whether some path of the token's lattice spells a marker, at any cost: a word that begins as one or is one."""
+        core = token.strip(EDGE)
+        if core.isalpha():
+            return self.may_mark(core)
+        if any(self.weight_of(LETTERS.findall(core))):
             return True
-        for n in self.sizes:
-            if core[:n] in self.begins:
-                return True
-        return False
+        core = core.rstrip("!*|+#")
+        begun, split = {""}, not all(c.isalpha() or c in SIGNS for c in core)
+        for options in lattice(core, split):
+            nxt = {""} if any(letters == " " for letters, _ in options) else set()
+            for stem in begun:
+                for letters, _ in options:
+                    if letters == " ":
+                        if stem in self.whole:
+                            return True
+                        continue
+                    now = stem
+                    for c in letters:
+                        now += c
+                        if now in self.begins:
+                            return True
+                    if now in self.stems:
+                        nxt.add(now)
+            begun = nxt
+            if not begun and not split:
+                return False
+        return any(stem in self.whole for stem in begun)
+
+    def weight_of(self, words: list[str]) -> tuple[float, tuple[str, ...]]:
+        """The words' highest log-odds and their beginnings that have rates."""
+        features = {f for word in words for f in features_of(word)}
+        return max((self.weights.get(f, 0.0) for f in features), default=0.0), tuple(f for f in features if f in self.rates)
 
     def weigh(self, token: str) -> tuple:
-        """The token's log-odds and its beginnings that have rates; empty if it has neither."""
+        """The weight of a plain token; empty if it has none or is not plain."""
         if len(self.memo) > HELD_WORDS:
             self.memo.clear()
         core = token.strip(EDGE)
-        if core.isalpha() and not self.may_mark(core):
-            w = ()
-        elif (w := self.decoded.get(token)) is None:
-            if len(self.decoded) > HELD_WORDS:
-                self.decoded.clear()
-            features = {f for word in words_in(token, self.model) for f in features_of(word)}
-            odds, begins = max((self.weights.get(f, 0.0) for f in features), default=0.0), tuple(f for f in features if f in self.rates)
-            w = self.decoded[token] = (odds, begins) if odds or begins else ()
-        self.memo[token] = w
-        return w
-
-    def evidence(self, text: str | None) -> tuple[float, float, float]:
+        w = self.weight_of([core]) if is_plain(core) and self.may_mark(core) else ()
+        self.memo[token] = w if any(w) else ()
+        return self.memo[token]
+
+    def evidence(self, text: str | None, read: list | None) -> tuple[float, float, float]:
         """The strongest token's log-odds, the logarithm of the total, and what the most telling beginning says: the
         log-likelihood of its number of distinct words at the rate of toxic texts against the rate of clean ones."""
         found, begun, known = [], Counter(), self.memo.get
         tokens = tokens_of(text)
-        for t in tokens:
-            if w := (self.weigh(t) if (k := known(t)) is None else k):
-                if w[0]:
-                    found.append(w[0])
-                begun.update(w[1])
+        weights = [w for t in tokens if (w := self.weigh(t) if (k := known(t)) is None else k)]
+        for odds, begins in [*weights, *map(self.weight_of, known_words(read).values())]:
+            if odds:
+                found.append(odds)
+            begun.update(begins)
         told = max((n * self.rates[f][0] - len(tokens) * self.rates[f][1] for f, n in begun.items()), default=0.0)
         return max(found, default=0.0), math.log1p(math.fsum(found)), max(0.0, min(MOST_NATS, told))
 
-    def score(self, text: str | None) -> float:
+    def score(self, text: str | None, read: list | None) -> float:
         if self.curve is None:
             return 0.0
-        z = self.curve[0] + math.fsum(b * x for b, x in zip(self.curve[1:], self.evidence(text), strict=True))
+        z = self.curve[0] + math.fsum(b * x for b, x in zip(self.curve[1:], self.evidence(text, read), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -366,7 +499,7 @@ def word_rates(counted: DataFrame, one_word: DataFrame) -> dict[str, tuple[float
     return {r["f"]: (r["ratio"], r["more"]) for r in rows.where("ratio > 1.5").collect()}
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Characters, dict[str, float], dict[str, tuple[float, float]], tuple[float, ...] | None]:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[CharacterTable, dict[str, float], dict[str, tuple[float, float]], tuple[float, ...] | None]:
     """docs (doc_id, text), labels (doc_id, toxic) -> the character model, the markers' log-odds, the beginnings' rates
     and the curve."""
     model = learn_characters(docs)
@@ -374,24 +507,23 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     order = F.xxhash64("doc_id", F.lit("sample"))
     chosen = materialize(usable.orderBy(order, "doc_id").limit(sample), "labelled")
     rows = docs.join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL")
-    rows = materialize(rows.groupBy("text").agg(F.max("toxic").cast("boolean").alias("toxic")).withColumn("part", F.pmod(F.xxhash64("text"), F.lit(4))), "sample")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    rows = materialize(rows.groupBy("text").agg(F.max("toxic").cast("boolean").alias("toxic")).withColumn("part", F.pmod(F.xxhash64("text"), F.lit(4))).withColumn("key", text_key()), "sample")
     size = {r["toxic"]: r["count"] for r in rows.where("part < 3").groupBy("toxic").count().collect()}
     if len(size) < 2:
         return model, {}, {}, None
-    counted = rows.where("part < 3").select("text", "toxic").mapInArrow(count_features(sent), "feature string, marked long, clean long")
+    rows = rows.join(readings(rows, model), "key", "left")
+    counted = rows.where("part < 3").select("text", "toxic", "read").mapInArrow(count_features, "feature string, marked long, clean long")
     counted = materialize(counted.groupBy("feature").agg(F.sum("marked").alias("marked"), F.sum("clean").alias("clean")).where("marked >= 2"), "counted")
     features = without_top_word(counted.where(~F.col("feature").startswith("#")))
     odds = features.where("marked >= 2").withColumn("w", log_odds(F.col("marked"), F.col("clean"), size[True], size[False])).where("w > 1.5")
     weights, rates = {r["feature"]: r["w"] for r in odds.select("feature", "w").collect()}, word_rates(counted, features.where("one_word"))
-    sent, key = docs.sparkSession.sparkContext.broadcast((model, weights, rates, None)), uuid.uuid4().hex
+    sent, name = docs.sparkSession.sparkContext.broadcast((weights, rates, None)), uuid.uuid4().hex
 
-    def evidence(texts: pa.Array) -> pa.Array:
-        scorer = scorer_for(key, sent)
-        found = [scorer.evidence(t.as_py()) for t in texts]
-        return pa.array([list(f) for f in found], pa.list_(pa.float64()))
+    def evidence(texts: pa.Array, read: pa.Array) -> pa.Array:
+        scorer = scorer_for(name, sent)
+        return pa.array([list(scorer.evidence(t, r)) for t, r in zip(texts.to_pylist(), read.to_pylist(), strict=True)], pa.list_(pa.float64()))
 
-    held = rows.where("part = 3").select("toxic", F.arrow_udf(evidence, "array<double>")("text").alias("x")).collect()
+    held = rows.where("part = 3").select("toxic", F.arrow_udf(evidence, "array<double>")("text", "read").alias("x")).collect()
     y = np.array([float(r["toxic"]) for r in held])
     if not len(y) or y.min() == y.max():
         return model, weights, rates, (-4.0, 1.0, 0.0, 0.0)
@@ -409,21 +541,31 @@ def scorer_for(key: str, sent) -> Scorer:
     return _scorers[key]
 
 
-def toxicity_score(spark: SparkSession, learned, text: str = "text") -> Column:
-    """The score of a text column, 0 to 1. The markers sent to the executors come from SAMPLE labelled texts; the
-    character model has 12 bytes for each distinct n-gram of the corpus."""
-    sent, key = spark.sparkContext.broadcast(learned), uuid.uuid4().hex
+def text_key(text: str = "text") -> Column:
+    return F.md5(F.col(text).cast("binary"))
+
+
+def with_toxicity(df: DataFrame, learned, score: str, text: str = "text") -> DataFrame:
+    """df with the score of its text column, 0 to 1, in a new or replaced column. The markers sent to the executors come from
+    SAMPLE labelled texts. Texts with a disguised marker get its readings by a join that broadcasts them only while they are small."""
+    model, *parts = learned
+    if parts[-1] is None:
+        return df.withColumn(score, F.lit(0.0))
+    sent, name = df.sparkSession.sparkContext.broadcast(tuple(parts)), uuid.uuid4().hex
+    read = readings(df.select(text_key(text).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL"), model, sent)
 
-    def scores(texts: pa.Array) -> pa.Array:
-        scorer = scorer_for(key, sent)
-        return pa.array([scorer.score(t.as_py()) for t in texts], pa.float64())
+    def scores(texts: pa.Array, read: pa.Array) -> pa.Array:
+        scorer = scorer_for(name, sent)
+        return pa.array([scorer.score(t, r) for t, r in zip(texts.to_pylist(), read.to_pylist(), strict=True)], pa.float64())
 
-    return F.arrow_udf(scores, "double")(F.col(text))
+    key, found = f"_key_{name}", f"_read_{name}"
+    joined = df.withColumn(key, text_key(text)).join(read.select(F.col("key").alias(key), F.col("read").alias(found)), key, "left")
+    return joined.withColumn(score, F.arrow_udf(scores, "double")(text, found)).drop(key, found)
 
 
 def score_toxicity(df: DataFrame, learned, text: str = "text") -> DataFrame:
     """Adds score and predicted (1 from THRESHOLD on); columns of these names are replaced, all others stay."""
-    return df.withColumn("score", toxicity_score(df.sparkSession, learned, text)).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return with_toxicity(df, learned, "score", text).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
