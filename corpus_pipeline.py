@@ -15,17 +15,18 @@ from gaugeworks.llm.jaccard_join import similar_groups
 from gaugeworks.llm.mixing import mix, word_count
 from gaugeworks.llm.packing import pack, tokenize
 from gaugeworks.llm.pii import mask_pii
-from gaugeworks.llm.toxicity import THRESHOLD, learn_toxicity, with_toxicity
+from gaugeworks.llm.toxicity import THRESHOLD, learn_toxicity, text_key, text_scores
 from gaugeworks.session import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that score THRESHOLD or more. Null and empty texts are clean."""
     learned = learn_toxicity(docs.select("doc_id", "text"), table(ship(spark), sf_dir, "labels").select("doc_id", "toxic"))
-    score = "toxicity"
-    while score in docs.columns:
-        score = f"_{score}"
-    return with_toxicity(docs, learned, score).where(F.col(score) < THRESHOLD).select(docs.columns)
+    key = "key"
+    while key in docs.columns:
+        key = f"_{key}"
+    toxic = text_scores(docs, learned).where(F.col("score") >= THRESHOLD).select(F.col("key").alias(key))
+    return docs.join(toxic, text_key() == F.col(key), "left_anti").select(docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -276,29 +276,30 @@ def features_of(word: str) -> list[str]:
     return [f"={word}", *(word[:n] for n in PREFIXES if len(word) >= n)]
 
 
-def disguises(texts: DataFrame, sent=None) -> DataFrame:
-    """(key, text) -> (key, token): each text's tokens that are not plain; with a scorer's parts in sent, those of them
-    that may mark a text."""
+def disguises(texts: DataFrame) -> DataFrame:
+    """(key, text) -> (key, token): each text's tokens that are not plain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, known = Scorer(*sent.value) if sent else None, {}
+        for b in batches:
+            found = [[t for t in tokens_of(text) if not is_plain(t.strip(EDGE))] for text in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(found, pa.list_(pa.string()))], ["key", "tokens"])
+
+    found = texts.select("key", "text").mapInArrow(run, "key string, tokens array<string>")
+    return found.select("key", F.explode("tokens").alias("token")).distinct()
+
 
-        def wanted(token: str) -> bool:
-            if (w := known.get(token)) is None:
-                if len(known) > HELD_WORDS:
-                    known.clear()
-                w = known[token] = not is_plain(token.strip(EDGE)) and (scorer is None or scorer.can_spell(token))
-            return w
+def notes_of(texts: DataFrame, sent) -> DataFrame:
+    """(key, text) -> (key, n, odds, begins, tokens), no text in it: what each text's plain tokens say to the scorer in
+    sent, and the tokens that may say more once they are read."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*sent.value)
         for b in batches:
-            keys, tokens = [], []
-            for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
-                mine = [t for t in tokens_of(text) if wanted(t)]
-                keys += [key] * len(mine)
-                tokens += mine
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(tokens, pa.string())], ["key", "token"])
+            notes = [scorer.note(text) for text in b.column("text").to_pylist()]
+            types = pa.int64(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array([n[i] for n in notes], t) for i, t in enumerate(types))], ["key", "n", "odds", "begins", "tokens"])
 
-    return texts.select("key", "text").mapInArrow(run, "key string, token string").distinct()
+    return texts.select("key", "text").mapInArrow(run, "key string, n long, odds array<double>, begins array<string>, tokens array<string>")
 
 
 def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,10 +330,10 @@ def read_tokens(tokens: DataFrame, model: CharacterTable) -> DataFrame:
     return tokens.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(read_part, "token string, words array<string>")
 
 
-def readings(texts: DataFrame, model: CharacterTable, sent=None) -> DataFrame:
-    """(key, text) -> (key, read: array of (token, words)): what the disguised tokens of a text were read as, where there are
+def readings(pairs: DataFrame, model: CharacterTable, sent=None) -> DataFrame:
+    """(key, token) -> (key, read: array of (token, words)): what the disguised tokens of a text were read as, where there are
     any. With a scorer's parts in sent, only words that mark. The key is a digest of the text, so copies are read once."""
-    pairs = materialize(disguises(texts, sent), "disguises")
+    pairs = materialize(pairs.distinct(), "disguises")
     words = read_tokens(pairs.select("token").distinct(), model)
     if sent:
 
@@ -379,6 +380,9 @@ def folded(word: str) -> str:
 class Scorer:
     """Scores texts by their plain tokens and by what the others were read as."""
 
+    #: Stands for the weight of a token that has to be read.
+    READ = "read"
+
     def __init__(self, weights: dict[str, float], rates: dict[str, tuple[float, float]], curve: tuple[float, ...] | None):
         self.weights, self.rates, self.curve, self.memo = weights, rates, curve, {}
         self.whole = {f[1:] for f in weights if f[0] == "="}
@@ -426,32 +430,48 @@ class Scorer:
         features = {f for word in words for f in features_of(word)}
         return max((self.weights.get(f, 0.0) for f in features), default=0.0), tuple(f for f in features if f in self.rates)
 
-    def weigh(self, token: str) -> tuple:
-        """The weight of a plain token; empty if it has none or is not plain."""
+    def weigh(self, token: str) -> tuple | str:
+        """The weight of a plain token, empty if it has none; READ for another that may mark."""
         if len(self.memo) > HELD_WORDS:
             self.memo.clear()
         core = token.strip(EDGE)
-        w = self.weight_of([core]) if is_plain(core) and self.may_mark(core) else ()
-        self.memo[token] = w if any(w) else ()
-        return self.memo[token]
-
-    def evidence(self, text: str | None, read: list | None) -> tuple[float, float, float]:
+        if not is_plain(core):
+            w = self.READ if self.can_spell(token) else ()
+        elif not self.may_mark(core) or not any(w := self.weight_of([core])):
+            w = ()
+        self.memo[token] = w
+        return w
+
+    def note(self, text: str | None) -> tuple[int, list[float], list[str], list[str]]:
+        """The number of distinct tokens, the plain ones' log-odds and beginnings with rates, and the tokens to read."""
+        odds, begins, read, known = [], [], [], self.memo.get
+        tokens = tokens_of(text)
+        for t in tokens:
+            if w := (self.weigh(t) if (k := known(t)) is None else k):
+                if w is self.READ:
+                    read.append(t)
+                    continue
+                if w[0]:
+                    odds.append(w[0])
+                begins += w[1]
+        return len(tokens), odds, begins, read
+
+    def evidence(self, n: int, odds: list[float], begins: list[str], read: list | None) -> tuple[float, float, float]:
         """The strongest token's log-odds, the logarithm of the total, and what the most telling beginning says: the
         log-likelihood of its number of distinct words at the rate of toxic texts against the rate of clean ones."""
-        found, begun, known = [], Counter(), self.memo.get
-        tokens = tokens_of(text)
-        weights = [w for t in tokens if (w := self.weigh(t) if (k := known(t)) is None else k)]
-        for odds, begins in [*weights, *map(self.weight_of, known_words(read).values())]:
-            if odds:
-                found.append(odds)
-            begun.update(begins)
-        told = max((n * self.rates[f][0] - len(tokens) * self.rates[f][1] for f, n in begun.items()), default=0.0)
+        found, begun = list(odds), Counter(begins)
+        for words in known_words(read).values():
+            more, also = self.weight_of(words)
+            if more:
+                found.append(more)
+            begun.update(also)
+        told = max((k * self.rates[f][0] - n * self.rates[f][1] for f, k in begun.items()), default=0.0)
         return max(found, default=0.0), math.log1p(math.fsum(found)), max(0.0, min(MOST_NATS, told))
 
-    def score(self, text: str | None, read: list | None) -> float:
+    def score(self, n: int = 0, odds: list[float] = (), begins: list[str] = (), read: list | None = None) -> float:
         if self.curve is None:
             return 0.0
-        z = self.curve[0] + math.fsum(b * x for b, x in zip(self.curve[1:], self.evidence(text, read), strict=True))
+        z = self.curve[0] + math.fsum(b * x for b, x in zip(self.curve[1:], self.evidence(n, odds, begins, read), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -511,7 +531,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     size = {r["toxic"]: r["count"] for r in rows.where("part < 3").groupBy("toxic").count().collect()}
     if len(size) < 2:
         return model, {}, {}, None
-    rows = rows.join(readings(rows, model), "key", "left")
+    rows = rows.join(readings(disguises(rows), model), "key", "left")
     counted = rows.where("part < 3").select("text", "toxic", "read").mapInArrow(count_features, "feature string, marked long, clean long")
     counted = materialize(counted.groupBy("feature").agg(F.sum("marked").alias("marked"), F.sum("clean").alias("clean")).where("marked >= 2"), "counted")
     features = without_top_word(counted.where(~F.col("feature").startswith("#")))
@@ -521,7 +541,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
     def evidence(texts: pa.Array, read: pa.Array) -> pa.Array:
         scorer = scorer_for(name, sent)
-        return pa.array([list(scorer.evidence(t, r)) for t, r in zip(texts.to_pylist(), read.to_pylist(), strict=True)], pa.list_(pa.float64()))
+        return pa.array([list(scorer.evidence(*scorer.note(t)[:3], r)) for t, r in zip(texts.to_pylist(), read.to_pylist(), strict=True)], pa.list_(pa.float64()))
 
     held = rows.where("part = 3").select("toxic", F.arrow_udf(evidence, "array<double>")("text", "read").alias("x")).collect()
     y = np.array([float(r["toxic"]) for r in held])
@@ -545,27 +565,32 @@ def text_key(text: str = "text") -> Column:
     return F.md5(F.col(text).cast("binary"))
 
 
-def with_toxicity(df: DataFrame, learned, score: str, text: str = "text") -> DataFrame:
-    """df with the score of its text column, 0 to 1, in a new or replaced column. The markers sent to the executors come from
-    SAMPLE labelled texts. Texts with a disguised marker get its readings by a join that broadcasts them only while they are small."""
+def text_scores(texts: DataFrame, learned, text: str = "text") -> DataFrame:
+    """(key, score), a row a distinct text, null aside; the key is text_key(). The markers sent to the executors come from
+    SAMPLE labelled texts. A text is looked at once; its notes, not the text, meet the readings of its disguised tokens."""
     model, *parts = learned
-    if parts[-1] is None:
-        return df.withColumn(score, F.lit(0.0))
-    sent, name = df.sparkSession.sparkContext.broadcast(tuple(parts)), uuid.uuid4().hex
-    read = readings(df.select(text_key(text).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL"), model, sent)
+    sent, name = texts.sparkSession.sparkContext.broadcast(tuple(parts)), uuid.uuid4().hex
+    notes = materialize(notes_of(texts.where(F.col(text).isNotNull()).select(text_key(text).alias("key"), F.col(text).alias("text")), sent), "notes")
+    read = readings(notes.select("key", F.explode("tokens").alias("token")), model, sent)
 
-    def scores(texts: pa.Array, read: pa.Array) -> pa.Array:
+    def scores(*columns: pa.Array) -> pa.Array:
         scorer = scorer_for(name, sent)
-        return pa.array([scorer.score(t, r) for t, r in zip(texts.to_pylist(), read.to_pylist(), strict=True)], pa.float64())
+        return pa.array([scorer.score(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)], pa.float64())
 
-    key, found = f"_key_{name}", f"_read_{name}"
-    joined = df.withColumn(key, text_key(text)).join(read.select(F.col("key").alias(key), F.col("read").alias(found)), key, "left")
-    return joined.withColumn(score, F.arrow_udf(scores, "double")(text, found)).drop(key, found)
+    each = notes.drop("tokens").dropDuplicates(["key"]).join(read, "key", "left")
+    out = materialize(each.select("key", F.arrow_udf(scores, "double")("n", "odds", "begins", "read").alias("score")), "scores")
+    discard(notes)
+    discard(read)
+    return out
 
 
 def score_toxicity(df: DataFrame, learned, text: str = "text") -> DataFrame:
     """Adds score and predicted (1 from THRESHOLD on); columns of these names are replaced, all others stay."""
-    return with_toxicity(df, learned, "score", text).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    key, found = f"_key_{uuid.uuid4().hex}", f"_score_{uuid.uuid4().hex}"
+    scores = text_scores(df, learned, text).select(F.col("key").alias(key), F.col("score").alias(found))
+    joined = df.withColumn(key, text_key(text)).join(scores, key, "left")
+    joined = joined.withColumn("score", F.coalesce(found, F.lit(Scorer(*learned[1:]).score()))).drop(key, found)
+    return joined.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
