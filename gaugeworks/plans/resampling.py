@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +63,31 @@ def ln_factorial(x: Column) -> Column:
     return F.when(x <= 20, F.ln(F.factorial(F.least(x, F.lit(20.0)).cast("int")).cast("double"))).otherwise(series)
 
 
+#: Terms that a draw's task holds at a time.
+TERMS = 1 << 18
+
+
+def terms_below(n: pa.Array, lo: pa.Array, hi: pa.Array, p: pa.Array, first: pa.Array, u: pa.Array) -> pa.Array:
+    """How many running sums of the binomial terms lo to hi, the first of which is given, stay below u. Draws of about
+    the same number of terms are rows of one array."""
+    n, lo, hi, p, first, u = (c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in (n, lo, hi, p, first, u))
+    width, out = (hi - lo).astype(np.int64) + 1, np.zeros(len(n), np.int64)
+    order, at = np.argsort(width, kind="stable")[::-1], 0
+    while at < len(order):
+        most = width[order[at]]
+        rows = order[at : at + max(1, TERMS // max(1, most))]
+        at += len(rows)
+        inside = (p[rows] > 0) & (p[rows] < 1)
+        rows = rows[inside]
+        k = lo[rows, None] + np.arange(most)
+        mass = np.empty(k.shape)
+        mass[:, 0] = first[rows]
+        mass[:, 1:] = (p[rows] / (1 - p[rows]))[:, None] * (n[rows, None] - k[:, :-1]) / (k[:, :-1] + 1)
+        below = np.cumsum(np.cumprod(mass, axis=1), axis=1) < u[rows, None]
+        out[rows] = (below & (np.arange(most) < width[rows, None])).sum(axis=1)
+    return pa.array(out)
+
+
 def binomial(n: Column, a: Column, b: Column, u: Column) -> Column:
     """How many of n draws fall on the a of b, by inversion of the distribution at u. Terms beyond ten standard deviations
     are left out, so that the work is in proportion to the root of n."""
@@ -68,14 +95,7 @@ def binomial(n: Column, a: Column, b: Column, u: Column) -> Column:
     mean, spread = n * p, 10 * F.sqrt(n * p * (1 - p)) + 10
     lo, hi = F.greatest(F.lit(0), F.floor(mean - spread)), F.least(n, F.ceil(mean + spread))
     first = F.exp(ln_factorial(n) - ln_factorial(lo) - ln_factorial(n - lo) + lo * F.ln(p) + (n - lo) * F.ln(1 - p))
-    start = F.struct(first.alias("mass"), F.lit(0.0).alias("below"), F.lit(0).cast("long").alias("k"))
-    odds = p / (1 - p)
-
-    def step(at, k):
-        below = at["below"] + at["mass"]
-        return F.struct((at["mass"] * odds * (n - k) / (k + 1)).alias("mass"), below.alias("below"), (at["k"] + (below < u).cast("long")).alias("k"))
-
-    drawn = F.least(n, lo + F.aggregate(F.sequence(lo, hi), start, step, lambda at: at["k"]))
+    drawn = F.least(n, lo + F.arrow_udf(terms_below, "bigint")(*(c.cast("double") for c in (n, lo, hi, p, first, u))))
     return F.when(a == 0, F.lit(0)).when(a == b, n).otherwise(drawn).cast("long")
 
 
