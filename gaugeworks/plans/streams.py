@@ -26,7 +26,7 @@ def st_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 def st_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per interval; intervals without rows stay, as in the batch query."""
     intervals = anchors(spark, sf_dir).select("anchor", F.col("start").cast("timestamp").alias("start"), F.col("stop").cast("timestamp").alias("stop"))
-    counted = feeds.run_to_table(feeds.interval_counts(events(spark, sf_dir, "2 hours"), intervals), "intervals").groupBy("anchor").agg(F.sum("n").alias("n"))
+    counted = feeds.interval_totals(feeds.run_to_table(feeds.interval_counts(events(spark, sf_dir, "2 hours"), intervals), "intervals"), intervals)
     return anchors(spark, sf_dir).select("anchor").join(counted, "anchor", "left").select("anchor", F.coalesce("n", F.lit(0)).alias("n"))
 
 
