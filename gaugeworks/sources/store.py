@@ -2,9 +2,11 @@
 
 A batch is applied in two steps, and each can be repeated. First its plan is written: every row with its action (insert,
 same, conflict or rejected), the reason and the slot of its key. A complete plan is final: applying the same commit again
-reads it and decides nothing anew. Then the slots that get rows are written again, stored rows beside new ones, first to
-a folder of their own and from there over just those partitions. What a lost driver left half done is done again from
-the plan or from that folder. Stored rows are never changed: a key with other content is a conflict and stays out.
+reads it and decides nothing anew. A slot's first part is its base. While that is small, it is written again with its new
+rows, first to a folder of its own and from there over just those partitions; a slot with a larger base gets a part of
+its own for each commit, so that no stored row is written again. The plan says which. What a lost driver left half done
+is done again from the plan or from that folder. Stored rows are never changed: a key with other content is a conflict
+and stays out.
 """
 
 from __future__ import annotations
@@ -28,9 +30,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{uuid.uuid4().hex}/{name}"
 
 
+#: Bytes up to which a slot's base is written again with its new rows.
+BASE_BYTES = 1 << 20
+#: Bits of the filter that keeps stored rows of other keys out of a batch's join.
+FILTER_BITS = 1 << 24
+
+
 def content(df: DataFrame, leave: tuple[str, ...] = ()) -> Column:
     """A digest of a row's columns but those in `leave`, whatever their order."""
-    return F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(df.columns) if c not in leave)), {"ignoreNullFields": "false"}), 256)
+    return F.unhex(F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(df.columns) if c not in leave)), {"ignoreNullFields": "false"}), 256))
+
+
+def among(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are in wanted, and by chance some others: a join that needs no exchange of the rows. With very
+    many wanted keys, nearly all rows pass."""
+    at = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
+    word, bit = F.shiftright(at, 6), F.expr("shiftleft(1L, cast(_at % 64 as int))")
+    words = wanted.select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    return rows.withColumn("_at", at).withColumn("_place", word).join(F.broadcast(words), (F.col("_place") == F.col("_word")) & (F.col("_bits").bitwiseAND(bit) != 0), "left_semi").drop("_at", "_place")
 
 
 #: Key of each table. Outcomes have none of their own: equal ones are one, others stand beside each other.
@@ -64,7 +81,14 @@ class EvidenceStore:
         if not self.exists(self.where(table)):
             return None
         rows = self.spark.read.parquet(self.where(table))
-        return (rows if slots is None else rows.where(F.col("slot").isin(slots))).drop("slot")
+        return (rows if slots is None else rows.where(F.col("slot").isin(slots))).drop("slot", "part")
+
+    def bases(self, table: str) -> list[int]:
+        """The slots that are too large to be written again."""
+        fs = self.spark._jvm.org.apache.hadoop.fs.Path
+        files = fs(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        sizes = {k: files.getContentSummary(fs(p)).getLength() for k in range(self.slots) if self.exists(p := f"{self.where(table)}/slot={k}")}
+        return [k for k, size in sizes.items() if size > BASE_BYTES]
 
     def ledger(self, table: str) -> DataFrame:
         """All plans of a table: what became of every row that came."""
@@ -78,13 +102,14 @@ class EvidenceStore:
         slot = self.spark.range(1).select(self.slot(*wanted)).first()[0]
         for k, v in zip(KEYS[table], wanted, strict=True):
             rows = rows.where(F.col(k) == v)
-        return rows.where(F.col("slot") == slot).drop("slot")
+        return rows.where(F.col("slot") == slot).drop("slot", "part")
 
     def apply(self, table: str, batch: DataFrame, commit: str, order: str | None = None) -> DataFrame:
         """Inserts the batch's new keys and returns its plan. commit names the batch: a repetition changes nothing."""
         plan_at, done_at = f"{self.path}/_plans/{table}/{commit}", f"{self.path}/_done/{table}/{commit}"
         if not self.exists(f"{plan_at}/_SUCCESS"):
-            self.planned(table, batch, order).write.mode("overwrite").parquet(plan_at)
+            part = F.when(F.col("slot").isin(self.bases(table)), f"commit {commit}").otherwise("base")
+            self.planned(table, batch, order).withColumn("part", part).write.mode("overwrite").parquet(plan_at)
         plan = self.spark.read.parquet(plan_at)
         if not self.exists(done_at):
             self.insert(table, plan, f"{self.path}/_next/{table}/{commit}")
@@ -101,9 +126,9 @@ class EvidenceStore:
         whole = F.struct(*(F.col(f"`{c}`") for c in batch.columns))
         rows = rows.groupBy("content", "reason").agg(F.count("*").alias("times"), F.min_by(whole, ahead).alias("_row")).select("content", "reason", "times", "_row.*")
         first = rows.where("reason IS NULL").groupBy(*keys).agg(F.min_by("content", ahead).alias("_first"))
-        held = F.lit("") if table == "outcomes" else F.col("content")
+        held = F.lit(b"") if table == "outcomes" else F.col("content")
         stored = self.read(table)
-        first = first.withColumn("_stored", F.lit(None).cast("string")) if stored is None else first.join(stored.select(*keys, held.alias("_stored")), keys, "left")
+        first = first.withColumn("_stored", F.lit(None).cast("binary")) if stored is None else first.join(among(stored.select(*keys, held.alias("_stored")), (rows if table == "outcomes" else batch).select(*keys), keys), keys, "left")
         rows = rows.join(first, keys, "left")
         stored, counts = F.col("_stored"), F.coalesce("_stored", "_first")
         same = stored.isNotNull() & ((stored == F.col("content")) | F.lit(table == "outcomes"))
@@ -135,16 +160,23 @@ class EvidenceStore:
         return batch.withColumn("reason", nothing)
 
     def insert(self, table: str, plan: DataFrame, staged: str) -> None:
-        """The slots that get rows, written over with their stored and their new rows."""
+        """New rows as parts of their own, or in small slots the base written over with its stored and its new rows."""
         keys = KEYS[table]
         new = plan.where("action = 'insert'").drop("action", "reason", "times")
+        rows = new.where("part <> 'base'")
+        if not rows.isEmpty():
+            self.put(table, rows)
+        new = new.where("part = 'base'")
         touched = sorted(r["slot"] for r in new.select("slot").distinct().collect())  # at most `slots` numbers
         if not touched:
             return
         if not self.exists(f"{staged}/_SUCCESS"):
             rows = new
             if (stored := self.read(table, touched)) is not None:
-                rows = new.unionByName(stored.join(new.select(*keys), keys, "left_anti").withColumn("slot", self.slot(*keys)), allowMissingColumns=True)
+                rows = new.unionByName(stored.join(new.select(*keys), keys, "left_anti").withColumn("slot", self.slot(*keys)).withColumn("part", F.lit("base")), allowMissingColumns=True)
             rows.hint("rebalance", "slot").write.mode("overwrite").parquet(staged)
-        self.spark.read.parquet(staged).hint("rebalance", "slot").write.partitionBy("slot").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.where(table))
+        self.put(table, self.spark.read.parquet(staged))
         self.delete(staged)
+
+    def put(self, table: str, rows: DataFrame) -> None:
+        rows.hint("rebalance", "slot").write.partitionBy("slot", "part").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.where(table))
