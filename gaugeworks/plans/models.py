@@ -50,11 +50,17 @@ def ml_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.summary(scored_rows.unionByName(base), ["family"]).select("family", "n", F.round("brier", 4).alias("brier"), F.round("auc", 4).alias("auc"))
 
 
+#: Rows in a partition of a fit of trees.
+TREE_ROWS = 250_000
+
+
 @query()
 def ml_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees for remaining life beside the training median."""
-    last = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("life"))
-    rows = table(spark, sf_dir, "lineitem").join(last, "l_orderkey").select((F.col("life") - F.col("l_linenumber")).cast("double").alias("y"), F.col("l_linenumber").cast("double").alias("cycle"), "l_quantity", "l_discount", (F.col("l_orderkey") % 5 == 0).alias("test"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+    dealt = lines.repartition(max(8, -(-lines.count() // TREE_ROWS)), "l_orderkey")  # a fit keeps a partition's rows as objects
+    life = F.max("l_linenumber").over(Window.partitionBy("l_orderkey"))
+    rows = dealt.select((life - F.col("l_linenumber")).cast("double").alias("y"), F.col("l_linenumber").cast("double").alias("cycle"), "l_quantity", "l_discount", (F.col("l_orderkey") % 5 == 0).alias("test"))
     model = ML.boosted_regressor(rows.where("NOT test"), ["cycle", "l_quantity", "l_discount"])
     median = rows.where("NOT test").agg(F.percentile("y", F.lit(0.5)).alias("median"))
     test = model.transform(rows.where("test")).crossJoin(F.broadcast(median))
